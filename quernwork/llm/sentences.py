@@ -50,7 +50,7 @@ _FINAL = {
     "ru": "т.д т.п",
 }
 #: Words that go on after "9 p.m." or after a German ordinal.
-_AFTER_TIME = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december est edt pst gmt utc".split())
+_AFTER_TIME = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split())
 _AFTER_ORDINAL = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember stock etage tag woche monat quartal jahr jahrhundert klasse schicht reihe mal kapitel abschnitt platz auflage halle lager stufe".split()
 )
@@ -231,7 +231,6 @@ def _after_quote(text: str, span: tuple[int, int], after: int, hi: int, since: i
 
 def _after_dots(text: str, mark: str, word: str, at: int, after: int, hi: int, spaced: bool, nxt: str, never: frozenset, final: frozenset, lang: str) -> bool:
     """Whether full stops or an ellipsis end the sentence."""
-    cased = nxt.isupper() or nxt.islower()
     wide = ord(nxt) >= 0x2E80
     if len(mark) > 1 or mark == "…":
         if mark.count("…") > 1 or ord(text[at - 1]) >= 0x2E80:
@@ -248,7 +247,7 @@ def _after_dots(text: str, mark: str, word: str, at: int, after: int, hi: int, s
         return not _goes_on(text, after, hi)
     if not spaced:
         # a missing blank: a full word, a stop, and a capital that starts a word; never inside names, codes or Latin between CJK
-        return len(last) > 1 and word.isalpha() and word[1:].islower() and low not in never and low not in final and nxt.isupper() and not wide and (after + 1 >= hi or not text[after + 1] == ".") or (nxt in "\"“«„¿¡(" and len(last) > 2 and word.isalpha() and low not in never)
+        return len(last) > 1 and word.isalpha() and word[1:].islower() and low not in never and low not in final and nxt.isupper() and not wide and (after + 1 >= hi or text[after + 1] != "." or (len(last) > 2 and text[after + 2 : after + 3].isspace())) or (nxt in "\"“«„¿¡(" and len(last) > 2 and word.isalpha() and low not in never)
     if low in never or last in never:
         numbered = low in ("no", "nos", "p", "pp", "ch", "sec", "m", "s", "c", "d", "ex", "art", "min", "max", "mon", "sat", "sun", "mar", "est", "col", "gen", "ed", "me")
         if low in ("no", "nos") and not nxt.isdigit():
@@ -261,9 +260,9 @@ def _after_dots(text: str, mark: str, word: str, at: int, after: int, hi: int, s
             return False  # an initial
         if low == "m" and re.search(r"\b[ap]\.\s?m$", text[max(0, at - 6) : at]):
             return nxt.isupper() and _next_word(text, after, hi) not in _AFTER_TIME
-        return cased and nxt.isupper() or nxt in "\"“«„¿¡"
+        return _opens(text, after, hi)
     if low in final or last in final:
-        return (nxt.isupper() or nxt in "\"“«„¿¡") and _next_word(text, after, hi) not in _AFTER_TIME
+        return _opens(text, after, hi) and _next_word(text, after, hi) not in _AFTER_TIME
     if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", low):  # "b.o.b."
         return nxt.isupper() and word[:1].islower() and _next_word(text, after, hi) not in _AFTER_TIME
     if re.search(r"\d\.[^\W\d_]$", low):  # "9.B."
@@ -273,6 +272,13 @@ def _after_dots(text: str, mark: str, word: str, at: int, after: int, hi: int, s
     return True
 
 
+def _opens(text: str, at: int, hi: int) -> bool:
+    """Whether a capital stands here, if need be behind an opening bracket or quote."""
+    while at < hi and (text[at] in _OPEN or text[at] in "\"'¿¡ "):
+        at += 1
+    return at < hi and text[at].isupper()
+
+
 def _next_word(text: str, at: int, hi: int) -> str:
     m = re.match(r"\w+", text[at:hi])
     return m[0].lower() if m else ""
