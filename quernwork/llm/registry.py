@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["linkage", "places", "sentences"]
+_MODULES = ["linkage", "places", "leakage", "sentences"]
 
 
 def queries() -> dict:
