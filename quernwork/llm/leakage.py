@@ -37,9 +37,8 @@ class Unit:
 
     def terms(self, c: Column) -> Column:
         """array<string> of folded terms."""
-        if self.name == "word":
-            return F.filter(F.split(words_only(fold(c)), " "), lambda w: w != "")
-        return F.filter(F.split(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", ""), ""), lambda w: w != "")
+        t = words_only(fold(c)) if self.name == "word" else F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", "")
+        return F.split(F.nullif(t, F.lit("")), " " if self.name == "word" else "")
 
     def holds(self, c: Column) -> Column:
         """Whether a text can hold such a passage at all."""
@@ -67,36 +66,30 @@ def _runs(item: list[str], doc: list[str], unit: Unit) -> bool:
         at.setdefault(t, []).append(i)
     ends: dict[tuple[int, int], int] = {}  # (item end, doc end) of the run that ends there -> its length
     before: dict[int, int] = {}  # item position -> length of the run that ends there in the previous column
-    columns: list[dict[int, int]] = []
     for j, t in enumerate(doc):
         now = {i: before.get(i - 1, 0) + 1 for i in at.get(t, ())}
         for i, n in now.items():
             if n >= unit.passage:
                 return True
             ends[i, j] = n
-        columns.append(now)
         before = now
     # two runs and one slip between them: the second run starts behind a gap of gi terms of the item and gj of the document
     gaps = [(gi, gj) for gi in range(unit.slip + 1) for gj in range(unit.slip + 1) if gi or gj]
     for (i, j), n in ends.items():
-        if ends.get((i + 1, j + 1)):  # not the end of its run
-            last = False
-        else:
-            last = True
-        a, b = i - n, j - n  # the terms before this run
-        for gi, gj in gaps:
-            first = ends.get((a - gi, b - gj))
-            if first and last and first + n + gi >= unit.passage:
+        if (i + 1, j + 1) in ends:  # the run goes on
+            continue
+        for gi, gj in gaps:  # i - n, j - n: the terms before this run
+            first = ends.get((i - n - gi, j - n - gj), 0)
+            if first and first + n + gi >= unit.passage:
                 return True
-            # the first run may also end earlier than it could, when a repeated term lets both runs overlap
     return False
 
 
 def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id): documents that contain at least unit.passage running terms of an item, at most one word of them changed, added or left out.
 
-    items (item_id, text): a bounded table. Only postings of the items' terms are kept; the index is read twice (rarest and
-    second rarest term of every phrase). Items shorter than a passage, null and blank texts give nothing; repeated items and
+    items (item_id, text): a bounded table. Only postings of the items' terms are kept; phrases are intersected
+    from their rarest term and only documents with a whole phrase are aligned. Items shorter than a passage, null and blank texts give nothing; repeated items and
     documents give each pair once; ties in rarity are broken by the term.
     """
     spark = docs.sparkSession
@@ -116,16 +109,21 @@ def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id",
             window = terms[i : i + unit.seed]
             if all(t in counts for t in window):
                 order = sorted(range(unit.seed), key=lambda k: (counts[window[k]], window[k], k))
-                a, b = order[0], order[1]
-                seeds.add((item, window[a], a, window[b], b - a))
+                seeds.add((item, tuple(window[k] for k in order), tuple(k - order[0] for k in order)))
     if not seeds:
         return empty
-    plan = spark.createDataFrame(sorted({(i, t, u, d) for i, t, _, u, d in seeds}), f"item_id {dict(items.dtypes)['item_id']}, term string, next string, step int")
-    # the two rarest terms of a phrase stand at a fixed distance
-    first = index.join(F.broadcast(plan), "term").select("item_id", "doc_id", F.col("next").alias("term"), (F.col("pos") + F.col("step")).alias("pos"))
-    nexts = spark.createDataFrame(sorted({(u,) for _, _, _, u, _ in seeds}), "term string")
-    second = index.join(F.broadcast(nexts), "term", "left_semi")
-    pairs = first.join(second, ["doc_id", "term", "pos"]).select("doc_id", "item_id").distinct()
+    plan = spark.createDataFrame(
+        [(n, i, ts[0], ts[1], ds[1], list(ts[2:]), list(ds[2:])) for n, (i, ts, ds) in enumerate(sorted(seeds))],
+        f"seed int, item_id {dict(items.dtypes)['item_id']}, term string, next string, step int, rest array<string>, steps array<int>",
+    )
+    # the rarest term gives the places where a phrase may stand; the second rarest must stand at its offset, then all others
+    first = index.join(F.broadcast(plan.select("seed", "term", "next", "step")), "term")
+    first = first.select("seed", "doc_id", F.col("pos").alias("at"), F.col("next").alias("term"), (F.col("pos") + F.col("step")).alias("pos"))
+    both = first.join(index, ["doc_id", "term", "pos"]).select("seed", "doc_id", "at")
+    rest = both.join(F.broadcast(plan.select("seed", "item_id", F.explode(F.arrays_zip("rest", "steps")).alias("x"))), "seed")
+    rest = rest.select("seed", "item_id", "doc_id", "at", F.col("x.rest").alias("term"), (F.col("at") + F.col("x.steps")).alias("pos"))
+    phrases = rest.join(index, ["doc_id", "term", "pos"]).groupBy("seed", "item_id", "doc_id", "at").agg(F.count("*").alias("n"))
+    pairs = phrases.filter(F.col("n") == unit.seed - 2).select("doc_id", "item_id").distinct()
 
     by_id: dict = {}
     for item, terms in known:
