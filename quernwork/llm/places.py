@@ -294,7 +294,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = jobs.filter(r"regexp_replace(coalesce(location, ''), '[\\s ]+', '') <> '' or regexp_replace(coalesce(city, ''), '[\\s ]+', '') <> ''")
     cases = stated.join(F.broadcast(labels), "location", "left_anti")
     found = resolve_places(cases, ["job_id"], "location", "city", places)
-    return found.select("job_id", F.explode(F.when(F.size("place_ids") > 0, F.col("place_ids")).otherwise(F.array(F.lit(0)))).cast("bigint").alias("place_id"))
+    named = found.select("job_id", F.explode(F.when(F.size("place_ids") > 0, F.col("place_ids")).otherwise(F.array(F.lit(0)))).alias("place_id"))
+    return named.select("job_id", F.col("place_id").cast("bigint").alias("place_id"))
 
 
 def p4_unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["linkage", "places", "leakage", "sentences"]
+_MODULES = ["survivor", "linkage", "places", "truncation", "increment", "leakage", "mixing", "sentences"]
 
 
 def queries() -> dict:
