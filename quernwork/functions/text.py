@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -32,12 +33,25 @@ def fold(c: Column | str) -> Column:
     return F.regexp_replace(x, r"[\p{M}\p{Cf}]+", "")
 
 
+@cache
+def _dropped() -> re.Pattern:
+    """Combining marks and format characters of the basic plane, and the tag characters."""
+    hit = [cp for cp in range(0x80, 0x10000) if unicodedata.combining(chr(cp)) or unicodedata.category(chr(cp)) == "Cf"]
+    ranges, start = [], hit[0]
+    for x, y in zip(hit, [*hit[1:], None], strict=True):
+        if y != x + 1:
+            ranges.append(f"{chr(start)}-{chr(x)}")
+            start = y
+    return re.compile("[" + "".join(ranges) + "\U000e0001-\U000e007f]+")
+
+
 def fold_py(s: str | None) -> str:
     """fold() for use inside pandas UDFs, with full NFKD."""
     if not s:
         return ""
-    s = unicodedata.normalize("NFKD", s)
-    return "".join(c for c in s if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower()
+    if s.isascii():
+        return s.lower()
+    return _dropped().sub("", unicodedata.normalize("NFKD", s)).lower()
 
 
 def words_only(c: Column) -> Column:
