@@ -30,7 +30,7 @@ SHINGLE, SIMILAR, DIM, RING = 5, 0.8, 64, 1.25
 LEAST_WORDS = 5
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,5});")
-_POINT = "ref bigint, opening bigint, text_hash bigint, norm int, ring int, vector array<int>, words string"
+_POINT = "ref bigint, opening bigint, text_hash bigint, size int, norm int, ring int, vector binary, packed binary"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,13 +46,13 @@ def ring_of(norm: float) -> int:
     return int(np.floor(np.log(max(norm, 1)) / np.log(RING)))
 
 
-def reach(words: int) -> float:
+def reach(words):
     """No record of similarity SIMILAR or more is farther than this in L1: an unshared distinct word stands in an unshared shingle, at most 2 x (SHINGLE - 1) words at the ends share one, and the unshared shingles of both are (1 - s) / s of one's own."""
     return (1 - SIMILAR) / SIMILAR * words + 2 * (SHINGLE - 1)
 
 
 def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], company_words: dict[str, int]) -> DataFrame:
-    """(ref, opening, text_hash, norm, ring, vector, words) of rows (ref, title, company, location, city, description).
+    """(ref, opening, text_hash, size, norm, ring, vector, packed) of rows (ref, title, company, location, city, description).
 
     Rows whose employer, title, place or description is blank, or whose description has fewer than LEAST_WORDS words, name no
     opening with a description and give no point. One pass without a shuffle.
@@ -71,28 +71,44 @@ def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], compan
                 ws = words_of(d)
                 if len(ws) < LEAST_WORDS or not (ck := company(c)) or not (tp := title(t))[0] or not (pk := place(l, y)):
                     continue
-                v = [0] * DIM
                 distinct = set(ws)
-                for w in distinct:
-                    v[slot(w)] += 1
-                text = " ".join(ws)
-                out.append((ref, _hash("|".join((ck, *tp, pk))), _hash(text), len(distinct), ring_of(len(distinct)), v, text))
-            yield pd.DataFrame(out, columns=["ref", "opening", "text_hash", "norm", "ring", "vector", "words"])
+                v = np.bincount([slot(w) for w in distinct], minlength=DIM).astype("<u4")
+                text = " ".join(ws).encode()
+                out.append((ref, _hash("|".join((ck, *tp, pk)).encode()), _hash(text), len(ws), len(distinct), ring_of(len(distinct)), v.tobytes(), zlib.compress(text, 1)))
+            yield pd.DataFrame(out, columns=["ref", "opening", "text_hash", "size", "norm", "ring", "vector", "packed"])
 
     spec = df.select("ref", "title", "company", "location", "city", "description").filter("description is not null and title is not null and company is not null")
     return spec.mapInPandas(run, _POINT)
 
 
-def _hash(s: str) -> int:
-    b = s.encode()
+def _hash(b: bytes) -> int:
     return (zlib.crc32(b) << 31) ^ zlib.adler32(b) ^ (zlib.crc32(b[::-1]) << 7)
 
 
 def _distinct(df: DataFrame) -> DataFrame:
-    """One point per opening and text, with the smallest ref: exact copies are one point."""
-    return df.groupBy("opening", "text_hash").agg(
-        F.min("ref").alias("first"), *[F.any_value(c).alias(c) for c in ("norm", "ring", "vector", "words")]
-    )
+    """One point per opening and text, with the smallest ref: exact copies are one point. Rows are spread by opening first, which the grouping then needs no second shuffle for."""
+    return df.repartition("opening").groupBy("opening", "text_hash").agg(F.min("ref").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "norm", "ring", "vector", "packed")])
+
+
+def _within_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            x, y = (np.frombuffer(b"".join(b[c]), "<u4").reshape(-1, DIM).astype("i4") for c in ("q_vector", "vector"))
+            b = b[np.abs(x - y).sum(1) <= reach(b["q_size"].to_numpy())]
+        yield b[["opening", "q_text_hash", "text_hash", "first"]]
+
+
+def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingles(packed: bytes) -> set:
+        return shingles_of(zlib.decompress(packed).decode().split(" "))
+
+    for b in batches:
+        keep = []
+        for q, x in zip(b["q_packed"], b["packed"], strict=True):
+            a, c = shingles(q), shingles(x)
+            n = len(a & c)
+            keep.append(n >= SIMILAR * (len(a) + len(c) - n))
+        yield b.loc[keep, ["opening", "q_text_hash", "first"]]
 
 
 class CellIndex:
@@ -103,38 +119,40 @@ class CellIndex:
 
     def append(self, pts: DataFrame) -> None:
         """Adds points (exact copies once) to the cells; earlier parts aren't touched."""
-        _distinct(pts).withColumn("bucket", F.pmod("opening", F.lit(64)).cast("int")).repartition("bucket").sortWithinPartitions("opening", "ring").write.mode("append").parquet(self.path)
+        _distinct(pts).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
-    def probe(self, pts: DataFrame, also: DataFrame | None = None) -> DataFrame:
-        """(opening, text_hash, first): for each distinct point of a batch the smallest ref among its near duplicates in the index (and in `also`), itself included where it is there."""
-        asked = pts.select("opening", "text_hash", "norm", "vector", "words").dropDuplicates(["opening", "text_hash"])
-        r = F.lit((1 - SIMILAR) / SIMILAR) * (F.size(F.split("words", " "))) + 2 * (SHINGLE - 1)
-        low, high = (F.floor(F.log(F.greatest(x, F.lit(1.0))) / float(np.log(RING))).cast("int") for x in (F.col("norm") - r, F.col("norm") + r))
-        cells = asked.withColumn("ring", F.explode(F.sequence(low, high))).select("opening", "ring", *[F.col(c).alias(f"q_{c}") for c in ("text_hash", "norm", "vector", "words")], r.alias("r"))
-        held = self.read().select("opening", "ring", "text_hash", "first", "norm", "vector", "words")
-        if also is not None:
-            held = held.unionByName(also.select(held.columns))
-        near = cells.join(held, ["opening", "ring"])
-        gap = F.aggregate(F.zip_with("q_vector", "vector", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
-        same = F.col("q_text_hash") == F.col("text_hash")
-        close = near.filter(same | ((F.abs(F.col("q_norm") - F.col("norm")) <= F.col("r")) & (gap <= F.col("r"))))
-        exact = close.filter(same | (_similarity("q_words", "words") >= SIMILAR))
-        return exact.groupBy("opening", F.col("q_text_hash").alias("text_hash")).agg(F.min("first").alias("first"))
-
-
-def _similarity(a: str, b: str) -> Column:
-    """Jaccard similarity of five-word shingles, exact."""
+    def probe(self, batch: DataFrame, also: bool = True) -> DataFrame:
+        """(opening, text_hash, first): for each distinct point of a batch the smallest ref among its near duplicates in the index and, with `also`, in the batch itself.
 
-    def shingles(c: str) -> Column:
-        w = F.split(c, " ")
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
-
-    x, y = shingles(a), shingles(b)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+        batch comes from _distinct. Cells are met by an equality join on opening and ring; vectors bound the distance; only
+        pairs within the bound are given their texts and reranked exactly. Equal texts need neither vectors nor texts.
+        """
+        held = self.read()
+        if also:
+            held = held.unionByName(batch.select(held.columns))
+        r = r_of("size")
+        low, high = (F.floor(F.log(F.greatest(x, F.lit(1.0))) / float(np.log(RING))).cast("int") for x in (F.col("norm") - r, F.col("norm") + r))
+        cells = batch.select("opening", F.explode(F.sequence(low, high)).alias("ring"), F.col("text_hash").alias("q_text_hash"), F.col("size").alias("q_size"), F.col("norm").alias("q_norm"), F.col("vector").alias("q_vector"))
+        near = cells.join(held.select("opening", "ring", "text_hash", "first", "norm", "vector"), ["opening", "ring"])
+        near = near.filter((F.col("q_text_hash") != F.col("text_hash")) & (F.abs(F.col("q_norm") - F.col("norm")) <= r_of("q_size")))
+        near = near.select("opening", "q_text_hash", "q_size", "q_vector", "text_hash", "first", "vector")
+        bounded = stored(near.mapInPandas(_within_bound, "opening bigint, q_text_hash bigint, text_hash bigint, first bigint"), "bounded")
+        asked = bounded.select("opening", F.col("q_text_hash").alias("text_hash")).distinct()
+        met = bounded.select("opening", "text_hash").distinct()
+        q_texts = batch.select("opening", "text_hash", "packed").join(asked, ["opening", "text_hash"], "left_semi").withColumnsRenamed({"text_hash": "q_text_hash", "packed": "q_packed"})
+        texts = held.select("opening", "text_hash", "packed").join(met, ["opening", "text_hash"], "left_semi").dropDuplicates(["opening", "text_hash"])
+        pairs = bounded.join(q_texts, ["opening", "q_text_hash"]).join(texts, ["opening", "text_hash"]).select("opening", "q_text_hash", "q_packed", "packed", "first")
+        exact = pairs.mapInPandas(_rerank, "opening bigint, q_text_hash bigint, first bigint")
+        same = batch.select("opening", "text_hash").join(held.select("opening", "text_hash", "first"), ["opening", "text_hash"]).withColumnRenamed("text_hash", "q_text_hash")
+        return exact.unionByName(same).groupBy("opening", F.col("q_text_hash").alias("text_hash")).agg(F.min("first").alias("first"))
+
+
+def r_of(size: str) -> Column:
+    """reach() of a column."""
+    return F.lit((1 - SIMILAR) / SIMILAR) * F.col(size) + 2 * (SHINGLE - 1)
 
 
 #: Prefixes that some sources set before an id.
@@ -186,8 +204,8 @@ def repeats(postings: DataFrame, jobs: DataFrame, links: DataFrame, places: Data
     index = CellIndex(postings.sparkSession, index_path)
     index.append(points(history, places, titles, companies))
     pts = stored(points(postings.select(F.col("ingest_seq").alias("ref"), *fields), places, titles, companies), "batch-points")
-    nearest = index.probe(pts, _distinct(pts))
-    by_text = pts.join(nearest, ["opening", "text_hash"]).filter(F.col("first") < F.col("ref")).select(F.col("ref").alias("ingest_seq"))
+    nearest = index.probe(stored(_distinct(pts), "batch-cells"))
+    by_text = pts.select("ref", "opening", "text_hash").join(nearest, ["opening", "text_hash"]).filter(F.col("first") < F.col("ref")).select(F.col("ref").alias("ingest_seq"))
     return by_id.unionByName(by_hash).unionByName(by_text).distinct()
 
 
