@@ -28,7 +28,7 @@ def is_placeholder(c: Column) -> Column:
 def distinct_lines(c: Column) -> Column:
     """The number of distinct non-blank lines, list markers and outer blanks aside; 0 for null, blank and placeholder texts."""
     plain = F.regexp_replace(c, r"(?i)</(?:p|li|div|tr|h\d)>|<br\s*/?>", "\n")
-    bare = F.transform(F.split(plain, r"[\r\n]+"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s ]*(?:(?:[-*•·▪◦–—]|\(?\d{1,3}[.)])[\s ]+)?", ""), r"[\s ]+$", ""))
+    bare = F.transform(F.split(plain, r"[\r\n]+"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s\u00A0]*(?:(?:[-*•·▪◦–—]|\(?\d{1,3}[.)])[\s\u00A0]+)?", ""), r"[\s\u00A0]+$", ""))
     lines = F.array_distinct(F.filter(bare, lambda x: ~x.rlike(r"^(?:[-*•·▪◦–—]|\d{1,3}[.)])?$")))
     return F.when(c.isNull() | is_placeholder(c), 0).otherwise(F.size(lines))
 
