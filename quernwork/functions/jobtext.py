@@ -23,7 +23,7 @@ YEAR_HOURS, LEAST_YEARLY, MOST_HOURLY = 2080, 15_000, 200
 def clean(c: Column | str) -> Column:
     """Text without outer space and doubled blanks; '' for null and for words that mean nothing. Line feeds stay."""
     c = F.col(c) if isinstance(c, str) else c
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\f\x0B]+", " "), r"^[\s ]+|[\s ]+$", "")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\f\x0B]+", " "), r"^[\s\u00A0]+|[\s\u00A0]+$", "")
     return F.when(F.lower(t).isin(*_NOTHING), "").otherwise(t)
 
 
@@ -179,7 +179,7 @@ def html_text_py(s: str | None) -> str:
     p = _Text()
     p.feed(s)
     p.close()
-    text = unicodedata.normalize("NFC", "".join(p.out)).replace(" ", " ")
+    text = unicodedata.normalize("NFC", "".join(p.out)).replace("\u00a0", " ")
     lines = [re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in text.split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from quernwork.functions.jobtext import content_hash
-from quernwork.operators import closure as C, incremental as I, predicates as P, resolve as R, review as V
+from quernwork.operators import closure as C, evidence as E, incremental as I, predicates as P, resolve as R, review as V
 from quernwork.plans.text_plan import _REASON, KEY, RULES
 from quernwork.session import table
 
@@ -388,3 +388,65 @@ def replay_order(spark: SparkSession, d: str) -> DataFrame:
     """Raw snapshots numbered for a replay."""
     raw = table(spark, d, "job_sources").filter("raw is not null").select("source", "source_id", "job_id", "first_seen").withColumn("day", F.to_date("first_seen"))
     return R.replay(raw, ["day", "first_seen", "source", "source_id", "job_id"]).agg(F.count("*").alias("snapshots"), F.max("seq").alias("last_seq"))
+
+
+_KEYED = "(select distinct job_id, coalesce('jid:' || nullif(regexp_extract(url, '[?&]jid=([^&#]+)', 1), ''), url) as k from job_sources where job_id is not null and url is not null)"
+
+
+@query(
+    f"""with g as (select k, max((j.updated_at, j.job_id)) as g from {_KEYED} k join jobs j using (job_id) where length(trim(j.description)) > 0 group by 1),
+    b as (select k.job_id, k.k from {_KEYED} k join jobs j using (job_id) where not coalesce(length(trim(j.description)) > 0, false))
+    select b.job_id, arg_max(g.g[2], g.g) as from_job from b join g using (k) group by 1"""
+)
+def sibling_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return E.sibling_texts(table(spark, d, "job_sources"), table(spark, d, "jobs"))
+
+
+_PAGES = {s: (f".{s}.invalid", r"^/(jobs)/([A-Z]?\d+)$") for s in ("greenhouse", "lever", "ashby", "workday")}
+
+
+@query(
+    "select coalesce(case " + " ".join(f"when regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '\\.{s}\\.invalid$') and regexp_matches(url, '^https?://[^/]+/jobs/[A-Z]?[0-9]+$') then '{s}'" for s in ("greenhouse", "lever", "ashby", "workday")) + " end, 'none') as page, count(*) as links from job_sources group by 1"
+)
+def employer_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Links by the kind of employer's page that their URL is."""
+    page = E.employer_link("url", _PAGES)["source"]
+    return table(spark, d, "job_sources").groupBy(F.coalesce(page, F.lit("none")).alias("page")).agg(F.count("*").alias("links"))
+
+
+@query("select group_id, count(distinct job_id) as members, count(distinct case when job_id not in (select job_id from reviews) then job_id end) as unreviewed from dup_groups group by 1")
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "dup_groups").distinct()
+    done = table(spark, d, "reviews").select("job_id").distinct().withColumn("_r", F.lit(True))
+    return g.join(done, "job_id", "left").groupBy("group_id").agg(F.count("*").alias("members"), F.count_if(F.col("_r").isNull()).alias("unreviewed"))
+
+
+@query(
+    """with g as (select distinct group_id, job_id from dup_groups), c as (select group_id, min(job_id) as canonical_id, list_sort(list(job_id)) as ids from g group by 1)
+    select g.job_id, c.canonical_id, case when len(c.ids) = 1 then 'alone' when g.job_id = c.canonical_id then 'canonical' else 'duplicate' end as role from g join c using (group_id)"""
+)
+def canonical_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Each member's canonical record (the smallest id of its group) and role; groups are reduced to their minimum, never gathered."""
+    g = table(spark, d, "dup_groups").distinct()
+    c = g.groupBy("group_id").agg(F.min("job_id").alias("canonical_id"), F.count("*").alias("n"))
+    role = F.when(F.col("n") == 1, "alone").when(F.col("job_id") == F.col("canonical_id"), "canonical").otherwise("duplicate")
+    return g.join(c, "group_id").select("job_id", "canonical_id", role.alias("role"))
+
+
+@query(
+    f"""with p as (select *, row_number() over (partition by source, source_id order by ingest_seq desc) as rn from postings where coalesce(trim(description), '') <> ''), n as (select source, source_id, description, salary from p where rn = 1),
+    l as (select source, source_id, min(job_id) as job_id from job_sources where job_id is not null group by 1, 2), d as (select job_id, arg_max(n.description, (source, source_id)) as nd, arg_max(n.salary, (source, source_id)) as ns from n join l using (source, source_id) group by 1),
+    x as (select j.job_id, j.updated_at, j.description, coalesce(d.nd, j.description) as d2, j.salary, case when length(trim(coalesce(j.salary, ''))) = 0 and d.job_id is not null then coalesce(d.ns, j.salary) else j.salary end as s2 from jobs j left join d using (job_id))
+    select job_id, d2 is distinct from description as described, s2 is distinct from salary as paid, case when d2 is distinct from description or s2 is distinct from salary then {_N} else updated_at end as updated_at from x"""
+)
+def enriched_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """What fetched details (the described postings of known links) change in the store."""
+    p = table(spark, d, "postings").filter("coalesce(trim(description), '') <> ''").select("source", "source_id", "description", "salary", "ingest_seq")
+    last = R.latest_wins(p, ["source", "source_id"], ["ingest_seq"])
+    known = table(spark, d, "job_sources").filter("job_id is not null").groupBy("source", "source_id").agg(F.min("job_id").alias("job_id"))
+    key = F.struct("source", "source_id")
+    details = last.join(known, ["source", "source_id"]).groupBy("job_id").agg(F.max_by("description", key).alias("description"), F.max_by("salary", F.when(F.col("salary").isNotNull(), key)).alias("salary")).withColumn("outcome", F.lit("ok"))
+    jobs = table(spark, d, "jobs").select("job_id", "description", "salary", "updated_at", "description_attempted_at", "description_checked_at")
+    new = E.apply_details(jobs, details, now())
+    old = jobs.select("job_id", F.col("description").alias("od"), F.col("salary").alias("os"))
+    return new.join(old, "job_id").select("job_id", (~F.col("description").eqNullSafe(F.col("od"))).alias("described"), (~F.col("salary").eqNullSafe(F.col("os"))).alias("paid"), "updated_at")
