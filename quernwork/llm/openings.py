@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernwork.functions.text import fold, fold_py, source_key, words_only
-from quernwork.llm.places import EntryTree, PlaceResolver, _mojibake, place_rows, squeeze
+from quernwork.llm.places import PlaceResolver, _mojibake, edit_distance, place_rows, squeeze
 
 #: A word of a title counts as frequent from this share of all rows on, a word of a company from that one; so the
 #: lists hold at most words-per-row / share entries, whatever the number of rows.
-TITLE_SHARE, COMPANY_SHARE, LEAST_ROWS = 1e-3, 1e-5, 4
-MOST_WORDS = 3_000_000
+TITLE_SHARE, COMPANY_SHARE, LEAST_ROWS = 1e-3, 1e-4, 4
+MOST_WORDS = 200_000
 #: A frequent word gives way to a neighbour this many times as frequent.
 OVERWHELMING = 40
 
@@ -59,20 +59,30 @@ def frequent_words(frames: list[DataFrame], column: str, share: float) -> dict[s
     return {r.w: r["count"] for r in out}
 
 
+def _shorter(w: str) -> set[str]:
+    """A word and what is left of it without one letter; two words within edit distance 1 share one of these."""
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
 class Spelling:
     """Words put right: a word outside the list becomes its most frequent neighbour; one in the list only where the neighbour is overwhelmingly more frequent."""
 
     def __init__(self, counts: dict[str, int], least: int = 3) -> None:
         self.counts, self.least = counts, least
-        self.tree = EntryTree([(w, None) for w in counts])
+        self.top = max(counts.values(), default=0)
+        self.by_part: dict[str, list[str]] = {}
+        for w in counts:
+            for part in _shorter(w):
+                self.by_part.setdefault(part, []).append(w)
         self.right = lru_cache(200_000)(self._right)
 
     def _right(self, w: str) -> str:
         n = self.counts.get(w, 1)
-        if len(w) < self.least or any(ch.isdigit() for ch in w) or (w in self.counts and n * OVERWHELMING > max(self.counts.values(), default=0)):
+        if len(w) < self.least or any(ch.isdigit() for ch in w) or (w in self.counts and n * OVERWHELMING > self.top):
             return w
-        near = [x for d, x in self.tree.within(w, 1) if d == 1 and self.counts[x] >= (OVERWHELMING if w in self.counts else 3) * n]
-        alike = [x for x in near if len(x) != len(w) or sorted(x) == sorted(w)]  # a lost, doubled or exchanged letter
+        wanted = (OVERWHELMING if w in self.counts else 3) * n
+        near = {x for part in _shorter(w) for x in self.by_part.get(part, ()) if x != w and self.counts[x] >= wanted and edit_distance(w, x) == 1}
+        alike = {x for x in near if len(x) != len(w) or sorted(x) == sorted(w)}  # a lost, doubled or exchanged letter
         return max(alike or near, key=lambda x: (self.counts[x], x), default=w)
 
 
