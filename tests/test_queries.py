@@ -13,7 +13,7 @@ Q, SQL = registry.queries(), registry.oracle_sql()
 
 def norm(pdf):
     def text(v):
-        if v is None or v != v or str(v) == "NaT":
+        if str(v) in ("None", "nan", "NaT", "<NA>"):
             return "NULL"
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return f"{float(v):.6f}".rstrip("0").rstrip(".")
