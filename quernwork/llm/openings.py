@@ -34,6 +34,7 @@ _COMPANY_SHORT = {
 }
 _LEGAL = frozenset("inc incorporated ltd limited ltee limitee corp corporation co company llc llp lp plc gmbh sa sarl sas ulc group groupe holdings partners partner partenaires".split())
 _COMPANY_TAIL = frozenset("canada careers career jobs hr dept department recruiting recruitment hiring".split())
+_KNOWN = frozenset(_COMPANY_SHORT) | frozenset(_COMPANY_SHORT.values()) | _LEGAL | _COMPANY_TAIL
 _SENIORITY = frozenset("junior senior assistant lead associate principal chief head intern trainee".split())
 _GRADES = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6"} | {str(i): str(i) for i in range(1, 10)}
 _ADDED = re.compile(
@@ -91,7 +92,7 @@ def company_key(s: str | None, spelling: Spelling) -> str:
     t = fold_py(s)
     t = re.sub(r"^.*?\b(?:d\s*/?\s*b\s*/?\s*a|doing business as|o/a|trading as)\b\.?\s*", " ", t)
     words = re.findall(r"[a-z0-9&]+", t)
-    words = [_COMPANY_SHORT.get(w, w) for w in (spelling.right(w) for w in words)]
+    words = [_COMPANY_SHORT.get(w, w) for w in (w if w in _KNOWN else spelling.right(w) for w in words)]
     if words[:1] in (["the"], ["les"], ["le"], ["la"]):
         words = words[1:]
     while len(words) > 1 and words[-1] in _LEGAL | _COMPANY_TAIL:

@@ -133,6 +133,10 @@ def squeeze(s: str | None) -> str:
 FOREIGN = re.compile(
     r"\b(?:usa|u\.?s\.?a?\.?|united states(?: of america)?|united kingdom|u\.?k\.?|england|scotland|wales|ireland|northern ireland|great britain|netherlands|france|germany|belgium|australia|new zealand|mexico|india|spain|italy|poland|portugal|etats unis|royaume uni|pays bas)(?![a-z])"
 )
+#: Provinces by code and name; the list of places may lack some of them.
+PROVINCES = {c.lower(): c for c in "AB BC MB NB NL NS NT NU ON PE QC SK YT".split()} | {
+    "alberta": "AB", "british columbia": "BC", "manitoba": "MB", "new brunswick": "NB", "newfoundland and labrador": "NL", "nova scotia": "NS", "northwest territories": "NT", "nunavut": "NU", "ontario": "ON", "prince edward island": "PE", "quebec": "QC", "saskatchewan": "SK", "yukon": "YT",
+}
 _STREETS = r"road|rd|street|str|avenue|ave|boulevard|blvd|boul|drive|dr|lane|ln|crescent|cres|court|highway|hwy|way|route|trail|parkway|pkwy|terrace|concession|line|sideroad"
 _STREET = re.compile(rf"^\s*(?:(?:unit|suite|bureau)\s*\S+,?\s*)?\d+[a-z]?(?:-\d+)?,?\s+(?:(?:rue|boul(?:evard)?|av(?:enue)?|chemin|ch|rang|route|montee|place)\b\.?\s[^,]*(?:,|$)|[^,]*?\b(?:{_STREETS})\b\.?(?:\s+(?:n|s|e|w|north|south|east|west|ne|nw|se|sw)\b)?)")
 _STREET_MID = re.compile(rf"(?:^|(?<=,))\s*\d+[a-z]?\s+[^,]*?\b(?:{_STREETS})\b\.?")
@@ -164,7 +168,7 @@ class PlaceResolver:
     def __init__(self, rows: list[tuple]) -> None:
         self.by_key: dict[str, set[int]] = defaultdict(set)
         self.province: dict[int, str] = {}
-        self.codes: dict[str, str] = {}
+        self.codes: dict[str, str] = dict(PROVINCES)
         for pid, name, code, province, alt in rows:
             if code:
                 self.codes[fold_py(code)] = code
