@@ -8,14 +8,17 @@ offset-adjusted lists, rarest term first; the documents that survive are aligned
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quernwork.functions.text import fold, words_only
+from quernwork.functions.text import fold_py
 from quernwork.session import bounded_rows, stored, table
 
 #: So many evaluation items may be given at once (they and their terms travel to all tasks); more are checked in several calls.
@@ -35,11 +38,6 @@ class Unit:
     def seed(self) -> int:
         return (self.passage - self.slip) // 2
 
-    def terms(self, c: Column) -> Column:
-        """array<string> of folded terms."""
-        t = words_only(fold(c)) if self.name == "word" else F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", "")
-        return F.split(F.nullif(t, F.lit("")), " " if self.name == "word" else "")
-
     def holds(self, c: Column) -> Column:
         """Whether a text can hold such a passage at all."""
         return F.length(c) >= self.passage if self.name == "word" else c.rlike(_CJK)
@@ -48,15 +46,82 @@ class Unit:
 WORDS, CHARS = Unit("word", 14, 1), Unit("char", 20, 2)
 
 
-def postings(docs: DataFrame, unit: Unit, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional inverted index (term, doc_id, pos), stored in the shared folder; of all terms, or of those of a bounded list only.
+#: One row of the stored index: the postings of a shard of documents. A document's terms stand at consecutive places, two documents at least GAP apart.
+_SHARD = "docs array<%s>, bases array<bigint>, terms array<string>, starts array<int>, places array<int>"
+#: More than any passage has terms: no phrase reaches from one document into the next.
+GAP = 64
+
+
+def terms_of(text: str | None, unit: Unit) -> list[str]:
+    """Folded terms of a text."""
+    return re.findall(r"[^\W_]+" if unit.name == "word" else r"[^\W_]", fold_py(text))
+
+
+def build_index(docs: DataFrame, unit: Unit, vocabulary: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional inverted index, stored in the shared folder, sharded by document: each row holds for a batch of documents the places of every term (of all terms, or of a bounded vocabulary).
 
-    One pass over the documents without a shuffle. Null and blank texts have no postings.
+    One pass without a shuffle. Null and blank texts have no postings.
     """
-    spread = docs.filter(unit.holds(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.posexplode(unit.terms(F.col(text_col))).alias("pos", "term"))
-    if terms is not None:
-        spread = spread.join(F.broadcast(terms), "term", "left_semi")
-    return stored(spread.select("term", "doc_id", "pos"), f"postings-{unit.name}")
+    kind = dict(docs.dtypes)[id_col]
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, bases, at, lists = [], [], 0, defaultdict(list)
+            for i, t in zip(b["id"], b["text"], strict=True):
+                ts = terms_of(t, unit)
+                if not ts:
+                    continue
+                ids.append(i)
+                bases.append(at)
+                for k, w in enumerate(ts, at):
+                    if vocabulary is None or w in vocabulary:
+                        lists[w].append(k)
+                at += len(ts) + GAP
+            names = list(lists)
+            starts = np.cumsum([0, *(len(lists[w]) for w in names)]).tolist()
+            yield pd.DataFrame({"docs": [ids], "bases": [bases], "terms": [names], "starts": [starts], "places": [[p for w in names for p in lists[w]]]})
+
+    spec = docs.filter(unit.holds(F.col(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return stored(spec.mapInPandas(invert, _SHARD % kind), f"postings-{unit.name}")
+
+
+def term_counts(index: DataFrame) -> DataFrame:
+    """(term, n): postings of every term in all shards."""
+    ends = F.arrays_zip("terms", F.slice("starts", 2, F.size("terms")).alias("b"), F.slice("starts", 1, F.size("terms")).alias("a"))
+    return index.select(F.explode(ends).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum(F.col("x.b") - F.col("x.a")).alias("n"))
+
+
+def phrase_hits(index: DataFrame, seeds: list[tuple], id_type: str, item_type: str) -> DataFrame:
+    """(doc_id, item_id) of documents with a whole phrase. seeds: (item, terms rarest first, their offsets from the rarest). Lists are intersected from the rarest term at adjusted offsets; equal phrases of several items are intersected once."""
+    by_phrase: dict[tuple, set] = defaultdict(set)
+    for item, terms, offsets in seeds:
+        by_phrase[terms, offsets].add(item)
+
+    def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for row in b.itertuples(index=False):
+                bases, starts, places = np.asarray(row.bases), row.starts, np.asarray(row.places)
+                lists = {t: places[starts[k] : starts[k + 1]] for k, t in enumerate(row.terms)}
+                for (terms, offsets), items in by_phrase.items():
+                    at = lists.get(terms[0])
+                    if at is None:
+                        continue
+                    for t, off in zip(terms[1:], offsets[1:], strict=True):
+                        other = lists.get(t)
+                        if other is None:
+                            at = at[:0]
+                        else:
+                            k = np.searchsorted(other, at + off)
+                            at = at[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] == at + off)]
+                        if not len(at):
+                            break
+                    if len(at):
+                        for d in set((np.searchsorted(bases, at, side="right") - 1).tolist()):
+                            out |= {(row.docs[d], item) for item in items}
+            yield pd.DataFrame(sorted(out, key=str), columns=["doc_id", "item_id"])
+
+    return index.mapInPandas(intersect, f"doc_id {id_type}, item_id {item_type}")
 
 
 def _runs(item: list[str], doc: list[str], unit: Unit) -> bool:
@@ -88,21 +153,19 @@ def _runs(item: list[str], doc: list[str], unit: Unit) -> bool:
 def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id): documents that contain at least unit.passage running terms of an item, at most one word of them changed, added or left out.
 
-    items (item_id, text): a bounded table. Only postings of the items' terms are kept; phrases are intersected
-    from their rarest term and only documents with a whole phrase are aligned. Items shorter than a passage, null and blank texts give nothing; repeated items and
+    items (item_id, text): a bounded table. Only postings of the items' terms are kept, in an index sharded by document; phrases are
+    intersected from their rarest term within each shard, and only documents with a whole phrase are aligned. No postings are shuffled. Items shorter than a passage, null and blank texts give nothing; repeated items and
     documents give each pair once; ties in rarity are broken by the term.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    rows = bounded_rows(items.select("item_id", unit.terms(F.col("text")).alias("terms")).filter("terms is not null").distinct(), MOST_ITEMS, "the evaluation items")
-    known = {(r.item_id, tuple(r.terms)) for r in rows if len(r.terms) >= unit.passage}
+    rows = bounded_rows(items.select("item_id", "text").filter("text is not null").distinct(), MOST_ITEMS, "the evaluation items")
+    known = {(r.item_id, ts) for r in rows if len(ts := tuple(terms_of(r.text, unit))) >= unit.passage}
     empty = spark.createDataFrame([], f"doc_id {kind}, item_id {dict(items.dtypes)['item_id']}")
     if not known:
         return empty
-    vocabulary = spark.createDataFrame([(t,) for t in sorted({t for _, ts in known for t in ts})], "term string")
-    index = postings(docs, unit, vocabulary, id_col, text_col)
-    counts = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most the items' terms
-
+    index = build_index(docs, unit, frozenset(t for _, ts in known for t in ts), id_col, text_col)
+    counts = {r.term: r.n for r in term_counts(index).collect()}  # at most the items' terms
     seeds = set()
     for item, terms in known:
         for i in range(len(terms) - unit.seed + 1):
@@ -112,18 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id",
                 seeds.add((item, tuple(window[k] for k in order), tuple(k - order[0] for k in order)))
     if not seeds:
         return empty
-    plan = spark.createDataFrame(
-        [(n, i, ts[0], ts[1], ds[1], list(ts[2:]), list(ds[2:])) for n, (i, ts, ds) in enumerate(sorted(seeds))],
-        f"seed int, item_id {dict(items.dtypes)['item_id']}, term string, next string, step int, rest array<string>, steps array<int>",
-    )
-    # the rarest term gives the places where a phrase may stand; the second rarest must stand at its offset, then all others
-    first = index.join(F.broadcast(plan.select("seed", "term", "next", "step")), "term")
-    first = first.select("seed", "doc_id", F.col("pos").alias("at"), F.col("next").alias("term"), (F.col("pos") + F.col("step")).alias("pos"))
-    both = first.join(index, ["doc_id", "term", "pos"]).select("seed", "doc_id", "at")
-    rest = both.join(F.broadcast(plan.select("seed", "item_id", F.explode(F.arrays_zip("rest", "steps")).alias("x"))), "seed")
-    rest = rest.select("seed", "item_id", "doc_id", "at", F.col("x.rest").alias("term"), (F.col("at") + F.col("x.steps")).alias("pos"))
-    phrases = rest.join(index, ["doc_id", "term", "pos"]).groupBy("seed", "item_id", "doc_id", "at").agg(F.count("*").alias("n"))
-    pairs = phrases.filter(F.col("n") == unit.seed - 2).select("doc_id", "item_id").distinct()
+    pairs = phrase_hits(index, sorted(seeds), kind, dict(items.dtypes)["item_id"]).distinct()
 
     by_id: dict = {}
     for item, terms in known:
@@ -131,10 +183,10 @@ def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id",
 
     def check(batches: Iterator[pd.DataFrame], by_id: dict) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [any(_runs(item, list(t), unit) for item in by_id[i]) for i, t in zip(b["item_id"], b["terms"], strict=True)]
+            keep = [any(_runs(item, terms_of(t, unit), unit) for item in by_id[i]) for i, t in zip(b["item_id"], b["text"], strict=True)]
             yield b.loc[keep, ["doc_id", "item_id"]]
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), unit.terms(F.col(text_col)).alias("terms"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(pairs, "doc_id").mapInPandas(partial(check, by_id=by_id), empty.schema).distinct()
 
 
