@@ -76,6 +76,9 @@ _BEFORE = re.compile(r"[^\s\"'«»“”„‘’(\[（「]*$")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 
 
+_PAIRED = re.compile(f"[{re.escape(''.join(sorted({*_OPEN, *_CLOSERS})))}]")
+
+
 def language(code: str | None, text: str) -> str:
     """A language for the abbreviation lists: from the script, from the code where it is a known one, else from frequent words."""
     for ch in text[:400]:
@@ -104,8 +107,8 @@ _ABBR = {k: _abbreviations(k) for k in {*_LANGS.values(), "*"}}
 def _spans(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     """Balanced quotations and brackets of the block, outermost only, as (position of the opening, of the closing mark)."""
     out, stack = [], []
-    for i in range(lo, hi):
-        ch = text[i]
+    for m in _PAIRED.finditer(text, lo, hi):
+        i, ch = m.start(), m[0]
         if ch == '"' or ch == "＂":
             if stack and stack[-1][1] == ch:
                 j, _ = stack.pop()
