@@ -10,6 +10,7 @@ the exact similarity of five-word shingles. A batch is appended to the cells aft
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -82,7 +83,7 @@ def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], compan
 
 
 def _hash(b: bytes) -> int:
-    return (zlib.crc32(b) << 31) ^ zlib.adler32(b) ^ (zlib.crc32(b[::-1]) << 7)
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
 def _distinct(df: DataFrame) -> DataFrame:
