@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernwork.functions.text import fold_py, source_key
-from quernwork.llm.openings import COMPANY_SHARE, TITLE_SHARE, Spelling, company_key, frequent_words, place_key, raw_fields, title_parts
+from quernwork.llm.openings import TITLE_SHARE, Corrections, Spelling, company_key, frequent_words, misspelt_companies, place_key, put_right, raw_fields, title_parts
 from quernwork.llm.places import PlaceResolver, place_rows
 from quernwork.session import shared_dir, stored, table
 
@@ -31,7 +31,7 @@ SHINGLE, SIMILAR, DIM, RING = 5, 0.8, 64, 1.25
 LEAST_WORDS = 5
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,5});")
-_POINT = "ref bigint, opening bigint, text_hash bigint, size int, norm int, ring int, vector binary, packed binary"
+_POINT = "ref bigint, _company string, company_key string, rest string, text_hash bigint, size int, norm int, ring int, vector binary, packed binary"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,16 +52,16 @@ def reach(words):
     return (1 - SIMILAR) / SIMILAR * words + 2 * (SHINGLE - 1)
 
 
-def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], company_words: dict[str, int]) -> DataFrame:
+def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], misspelt: DataFrame | dict) -> DataFrame:
     """(ref, opening, text_hash, size, norm, ring, vector, packed) of rows (ref, title, company, location, city, description).
 
     Rows whose employer, title, place or description is blank, or whose description has fewer than LEAST_WORDS words, name no
-    opening with a description and give no point. One pass without a shuffle.
+    opening with a description and give no point. misspelt (misspelt_companies()) is joined to the points by the employer's name.
     """
     rows = place_rows(places)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver, ts, cs = PlaceResolver(rows), Spelling(title_words), Spelling(company_words, 4)
+        resolver, ts, cs = PlaceResolver(rows), Spelling(title_words), Corrections({})
         place = lru_cache(200_000)(lambda a, b: place_key(resolver, a, b))
         company = lru_cache(200_000)(lambda s: company_key(s, cs))
         title = lru_cache(200_000)(lambda s: title_parts(s, ts))
@@ -75,11 +75,13 @@ def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], compan
                 distinct = set(ws)
                 v = np.bincount([slot(w) for w in distinct], minlength=DIM).astype("<u4")
                 text = " ".join(ws).encode()
-                out.append((ref, _hash("|".join((ck, *tp, pk)).encode()), _hash(text), len(ws), len(distinct), ring_of(len(distinct)), v.tobytes(), zlib.compress(text, 1)))
-            yield pd.DataFrame(out, columns=["ref", "opening", "text_hash", "size", "norm", "ring", "vector", "packed"])
+                out.append((ref, c, ck, "|".join((*tp, pk)), _hash(text), len(ws), len(distinct), ring_of(len(distinct)), v.tobytes(), zlib.compress(text, 1)))
+            yield pd.DataFrame(out, columns=["ref", "_company", "company_key", "rest", "text_hash", "size", "norm", "ring", "vector", "packed"])
 
     spec = df.select("ref", "title", "company", "location", "city", "description").filter("description is not null and title is not null and company is not null")
-    return spec.mapInPandas(run, _POINT)
+    # 60 bits of a digest name an opening
+    opening = F.conv(F.substring(F.sha1(F.concat_ws("|", "company_key", "rest")), 1, 15), 16, 10).cast("bigint")
+    return put_right(spec.mapInPandas(run, _POINT), misspelt).filter("company_key <> ''").select("ref", opening.alias("opening"), "text_hash", "size", "norm", "ring", "vector", "packed")
 
 
 def _hash(b: bytes) -> int:
@@ -186,7 +188,7 @@ def repeats(postings: DataFrame, jobs: DataFrame, links: DataFrame, places: Data
     smaller than its own. History is indexed once and stored; all batches are probed together, each posting only
     against what came before it, which gives the same result as one batch after the other. Null ids, hashes and descriptions repeat nothing.
     """
-    titles, companies = frequent_words([jobs], "title", TITLE_SHARE), frequent_words([jobs], "company", COMPANY_SHARE)
+    titles = frequent_words([jobs], "title", TITLE_SHARE)
     p_keys = with_id_key(postings, "source", "source_id").select("ingest_seq", "id", F.nullif("content_hash", F.lit("")).alias("hash"))
 
     new_ids = p_keys.select("id").distinct()
@@ -202,9 +204,10 @@ def repeats(postings: DataFrame, jobs: DataFrame, links: DataFrame, places: Data
     history = jobs.select(F.lit(-1).cast("bigint").alias("ref"), *fields).unionByName(
         raw_fields(links.filter("raw is not null")).select(F.lit(-1).cast("bigint").alias("ref"), *fields)
     )
+    misspelt = misspelt_companies(jobs, [history, postings])
     index = CellIndex(postings.sparkSession, index_path)
-    index.append(points(history, places, titles, companies))
-    pts = stored(points(postings.select(F.col("ingest_seq").alias("ref"), *fields), places, titles, companies), "batch-points")
+    index.append(points(history, places, titles, misspelt))
+    pts = stored(points(postings.select(F.col("ingest_seq").alias("ref"), *fields), places, titles, misspelt), "batch-points")
     nearest = index.probe(stored(_distinct(pts), "batch-cells"))
     by_text = pts.select("ref", "opening", "text_hash").join(nearest, ["opening", "text_hash"]).filter(F.col("first") < F.col("ref")).select(F.col("ref").alias("ingest_seq"))
     return by_id.unionByName(by_hash).unionByName(by_text).distinct()

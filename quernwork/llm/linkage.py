@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernwork.functions.text import source_key
-from quernwork.llm.openings import COMPANY_SHARE, OPENING, TITLE_SHARE, frequent_words, opening_forms, raw_fields
+from quernwork.llm.openings import OPENING, TITLE_SHARE, frequent_words, misspelt_companies, opening_forms, raw_fields
 from quernwork.session import stored, table
 
 #: Pairs of at least this posterior are links.
@@ -158,11 +158,11 @@ def link_openings(links: DataFrame, jobs: DataFrame, places: DataFrame, assigned
     match for another link of it. One row per link; among several jobs the most confident, then the
     smallest job_id. Repeated links count once. Links without title, company or place match nothing.
     """
-    titles, companies = frequent_words([jobs], "title", TITLE_SHARE), frequent_words([jobs], "company", COMPANY_SHARE)
+    titles, misspelt = frequent_words([jobs], "title", TITLE_SHARE), misspelt_companies(jobs, [links])
     key = F.xxhash64(*OPENING).alias("opening")
-    j = stored(opening_forms(jobs, ["job_id"], places, titles, companies).select("*", key), "jobs")
+    j = stored(opening_forms(jobs, ["job_id"], places, titles, misspelt).select("*", key), "jobs")
     asked = links.dropDuplicates(["source", "source_id", "title", "company", "location", "city"])
-    l = stored(opening_forms(asked, ["source", "source_id"], places, titles, companies).select("*", key), "links")
+    l = stored(opening_forms(asked, ["source", "source_id"], places, titles, misspelt).select("*", key), "links")
     scored = posteriors(stored(vote(candidate_pairs(l, j)), "votes"), VOTES)
     exact = F.lit(True)
     for c in ["company_key", *_TITLE]:

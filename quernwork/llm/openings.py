@@ -1,7 +1,8 @@
 """Canonical forms of employer, title and place, however they are written.
 
 Misspelt words are put right with the corpus's own frequent words: a word that is rare beside a neighbour at edit
-distance 1 is taken for a slip of it. The lists of frequent words are bounded by their share of all rows.
+distance 1 is taken for a slip of it. The list of title words is bounded by their share of all rows. Employers have
+a long tail, so their words count from LEAST_ROWS rows on, however many rows there are, and meet their neighbours in a join.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quernwork.functions.text import fold, fold_py, source_key, words_only
 from quernwork.llm.places import PlaceResolver, _mojibake, edit_distance, place_rows, squeeze
+from quernwork.session import stored
 
-#: A word of a title counts as frequent from this share of all rows on, a word of a company from that one; so the
-#: lists hold at most words-per-row / share entries, whatever the number of rows.
-TITLE_SHARE, COMPANY_SHARE, LEAST_ROWS = 1e-3, 1e-4, 4
+#: A word of a title counts as frequent from this share of all rows on; so the list holds at most words-per-row / share
+#: entries, whatever the number of rows. A word of a company counts from LEAST_ROWS rows on.
+TITLE_SHARE, LEAST_ROWS = 1e-3, 4
 MOST_WORDS = 200_000
 #: A frequent word gives way to a neighbour this many times as frequent.
 OVERWHELMING = 40
@@ -87,11 +89,25 @@ class Spelling:
         return max(alike or near, key=lambda x: (self.counts[x], x), default=w)
 
 
-def company_key(s: str | None, spelling: Spelling) -> str:
+class Corrections:
+    """Words put right by given corrections; all others stay as they are."""
+
+    def __init__(self, right: dict[str, str]) -> None:
+        self.known = right
+
+    def right(self, w: str) -> str:
+        return self.known.get(w, w)
+
+
+def company_words(s: str | None) -> list[str]:
+    """The words of an employer's name as they are written, without a numbered shell."""
+    t = re.sub(r"^.*?\b(?:d\s*/?\s*b\s*/?\s*a|doing business as|o/a|trading as)\b\.?\s*", " ", fold_py(s))
+    return re.findall(r"[a-z0-9&]+", t)
+
+
+def company_key(s: str | None, spelling: Spelling | Corrections) -> str:
     """Brand and trade of an employer, without article, numbered shell, legal form and what is added to a name."""
-    t = fold_py(s)
-    t = re.sub(r"^.*?\b(?:d\s*/?\s*b\s*/?\s*a|doing business as|o/a|trading as)\b\.?\s*", " ", t)
-    words = re.findall(r"[a-z0-9&]+", t)
+    words = company_words(s)
     words = [_COMPANY_SHORT.get(w, w) for w in (w if w in _KNOWN else spelling.right(w) for w in words)]
     if words[:1] in (["the"], ["les"], ["le"], ["la"]):
         words = words[1:]
@@ -100,6 +116,62 @@ def company_key(s: str | None, spelling: Spelling) -> str:
     return " ".join(w for w in words if w not in _LEGAL) or " ".join(words)
 
 
+def _parts(w: str) -> Column:
+    """_shorter() of a column."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(F.col(w), F.lit(1), i - 1), F.substring(F.col(w), i + 1, F.length(w))))
+    return F.array_distinct(F.concat(F.array(w), cut))
+
+
+def corrections(counts: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
+    """(w, right): the words (w) that Spelling(counts, least) would change, and what it makes of them, with nothing on the driver.
+
+    counts (w, count) may be of any size. Words meet at what is left of them without one letter, so a key has no more
+    words than one letter can be put in, whatever the number of rows.
+    """
+    asked = words.filter((F.length("w") >= least) & ~F.col("w").rlike("[0-9]")).distinct().join(counts, "w", "left")
+    asked = asked.select("w", F.when(F.col("count").isNull(), 3).otherwise(F.col("count") * OVERWHELMING).alias("wanted"))
+    pairs = asked.withColumn("part", F.explode(_parts("w"))).join(counts.select(F.col("w").alias("x"), "count").withColumn("part", F.explode(_parts("x"))), "part")
+    pairs = pairs.filter("x <> w and count >= wanted and abs(length(x) - length(w)) <= 1").select("w", "x", "count").distinct()
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[[edit_distance(w, x) == 1 for w, x in zip(b["w"], b["x"], strict=True)]]
+            # a lost, doubled or exchanged letter
+            yield b.assign(alike=[len(x) != len(w) or sorted(x) == sorted(w) for w, x in zip(b["w"], b["x"], strict=True)])
+
+    best = pairs.mapInPandas(near, "w string, x string, count bigint, alike boolean").groupBy("w").agg(F.max(F.struct("alike", "count", "x")).alias("best"))
+    return best.select("w", F.col("best.x").alias("right"))
+
+
+def misspelt_companies(jobs: DataFrame, others: list[DataFrame]) -> DataFrame:
+    """(_company, _right): the names among the `company` of all frames whose key a correction changes, and that key. The words of jobs are the reference."""
+    names = jobs.select("company")
+    for f in others:
+        names = names.unionByName(f.select("company"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(s, w) for s in b["company"] for w in dict.fromkeys(company_words(s)) if w not in _KNOWN], columns=["company", "w"])
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            right = [company_key(s, Corrections({f["w"]: f["right"] for f in x})) for s, x in zip(b["company"], b["fixes"], strict=True)]
+            yield pd.DataFrame({"_company": b["company"], "_right": right})
+
+    used = stored(names.filter("company is not null").distinct().mapInPandas(split, "company string, w string"), "company-words")
+    counts = jobs.select(F.explode(_words(F.col("company"))).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_ROWS)
+    fixed = used.join(corrections(stored(counts, "company-counts"), used.select("w")), "w").groupBy("company").agg(F.collect_list(F.struct("w", "right")).alias("fixes"))
+    return stored(fixed.mapInPandas(keys, "_company string, _right string"), "misspelt-companies")
+
+
+def put_right(forms: DataFrame, misspelt: DataFrame | dict) -> DataFrame:
+    """forms (_company, company_key, ...) with the keys of misspelt employers put right, without _company."""
+    if not isinstance(misspelt, DataFrame):
+        return forms.drop("_company")
+    cols = [F.coalesce("_right", "company_key").alias(c) if c == "company_key" else F.col(c) for c in forms.columns if c != "_company"]
+    return forms.join(misspelt, "_company", "left").select(cols)
+
+
 def title_parts(s: str | None, spelling: Spelling) -> tuple[str, str, str, str]:
     """(words of topic and role in alphabetical order, seniority, grade, client code) of a title."""
     t = fold_py(s)
@@ -127,29 +199,30 @@ def place_key(resolver: PlaceResolver, location: str | None, city: str | None) -
     return "~" + k if (k := squeeze(_mojibake(entry or ""))) else ""
 
 
-def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, title_words: dict[str, int], company_words: dict[str, int]) -> DataFrame:
+def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, title_words: dict[str, int], misspelt: DataFrame) -> DataFrame:
     """(keys..., company_key, title_words, seniority, grade, client, place_key) of rows with title, company, location and city.
 
-    Blank and null fields give ''. No shuffle; equal values of a task are worked out once.
+    Blank and null fields give ''. Equal values of a task are worked out once; misspelt (misspelt_companies()) is joined by the employer's name.
     """
     rows = place_rows(places)
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", company_key string, title_words string, seniority string, grade string, client string, place_key string"
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", _company string, company_key string, title_words string, seniority string, grade string, client string, place_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver, ts, cs = PlaceResolver(rows), Spelling(title_words), Spelling(company_words, 4)
+        resolver, ts, cs = PlaceResolver(rows), Spelling(title_words), Corrections({})
         place = lru_cache(200_000)(lambda a, b: place_key(resolver, a, b))
         company = lru_cache(200_000)(lambda s: company_key(s, cs))
         title = lru_cache(200_000)(lambda s: title_parts(s, ts))
         for b in batches:
             parts = [title(s) for s in b["_title"]]
-            out = b[keys].copy()
+            out = b[[*keys, "_company"]].copy()
             out["company_key"] = [company(s) for s in b["_company"]]
             for i, name in enumerate(("title_words", "seniority", "grade", "client")):
                 out[name] = [p[i] for p in parts]
             out["place_key"] = [place(x, y) for x, y in zip(b["_location"], b["_city"], strict=True)]
             yield out
 
-    return df.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("title", "company", "location", "city")]).mapInPandas(run, schema)
+    spec = df.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("title", "company", "location", "city")])
+    return put_right(spec.mapInPandas(run, schema), misspelt)
 
 
 #: The parts that make one opening.
@@ -167,4 +240,4 @@ def raw_fields(links: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["OPENING", "RAW_SCHEMA", "Spelling", "company_key", "frequent_words", "opening_forms", "place_key", "raw_fields", "source_key", "title_parts"]
+__all__ = ["OPENING", "RAW_SCHEMA", "Corrections", "Spelling", "company_key", "corrections", "frequent_words", "misspelt_companies", "opening_forms", "place_key", "put_right", "raw_fields", "source_key", "title_parts"]

@@ -50,3 +50,21 @@ def test_link_openings(spark):
     assert got == [("s", "1", "a")]
     assert L.link_openings(links.limit(0), jobs, places(spark), assigned).count() == 0
     assert L.link_openings(links, jobs.limit(0), places(spark), assigned).count() == 0
+
+
+def test_rare_employers_stay_references(spark):
+    """A brand of five rows puts its misspellings right, however many rows others have."""
+    many = spark.range(120_000).selectExpr("concat('j', id) as job_id", "'Mill Hand' as title", "'Zamorrin Mills' as company", "'Nordbury' as location", "'' as city")
+    few = spark.createDataFrame([(f"f{n}", "Kiln Clerk", "Orbobury Foods", "Nordbury", "") for n in range(5)], "job_id string, title string, company string, location string, city string")
+    links = spark.createDataFrame([("s", "1", "Kiln Clerk", "Orbobruy Foods", "Nordbury", ""), ("s", "2", "Kiln Clerk", None, "Nordbury", "")], "source string, source_id string, title string, company string, location string, city string")
+    got = L.link_openings(links, many.unionByName(few), places(spark), spark.createDataFrame([], "source string, job_id string")).collect()
+    assert [(r.source_id, r.job_id) for r in got] == [("1", "f0")]
+
+
+def test_corrections_equal_spelling(spark):
+    """The join finds what looking up every word finds."""
+    counts = {"kalumpell": 200, "kalupell": 15, "tarrowick": 900, "tarrowikc": 5, "orbobury": 4, "orbobory": 9, "foods": 80, "food": 300}
+    words = [*counts, "kalummpell", "orboburi", "orbobruy", "tarrowic", "zzzz", "fods", "foo", "fo0ds", "tarowick", "orbobry"]
+    s = O.Spelling(counts, 4)
+    got = {r.w: r.right for r in O.corrections(spark.createDataFrame(list(counts.items()), "w string, count bigint"), spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    assert got == {w: s.right(w) for w in words if s.right(w) != w} and got["orbobruy"] == "orbobury"
