@@ -126,6 +126,24 @@ def annual_maximum(maximum: Column, currency: Column, unit: Column) -> Column:
     return F.when(known & (yearly >= LEAST_YEARLY), yearly)
 
 
+def stated_annual_maximum(statements: Column, per_year: dict[str, float]) -> Column:
+    """struct<annual_maximum, unit>: the most that pay statements (pay_statements()) come to in a year and the unit it is stated in; both null where nothing is stated, the amount null where none can be read.
+
+    per_year: years' factors of units; hours count as in annual_maximum(). A statement without currency is in CAD.
+    """
+
+    def yearly(p: Column) -> Column:
+        factor = F.lit(None).cast("double")
+        for unit, x in per_year.items():
+            factor = F.when(p["unit"] == unit, x).otherwise(factor)
+        as_is = p["unit"].isNull() | (p["unit"] == "hour")
+        kind = F.when(p["unit"] == "hour", "hourly").when(p["unit"].isNotNull(), "annual")
+        amount = annual_maximum(F.when(as_is, p["high"]).otherwise(p["high"] * factor), p["currency"], kind)
+        return F.struct(F.round(amount, 2).alias("annual_maximum"), p["unit"].alias("unit"))
+
+    return F.array_max(F.transform(statements, yearly))
+
+
 OPEN_PAY = r"negotiable|commensurate|depend(?:s|ing|ent)? (?:on|upon) (?:experience|qualifications)|\bdoe\b|based on experience|to be discussed"
 CASUAL = r"\b(?:casual|on[- ]call|as needed|relief)\b"
 

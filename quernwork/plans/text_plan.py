@@ -9,7 +9,8 @@ from quernwork.functions.pay import pay_statements
 from quernwork.functions.text import fold
 from quernwork.operators import predicates as P
 from quernwork.operators.resolve import MATERIAL
-from quernwork.session import table
+from quernwork.operators.units import REFERENCE_ROWS
+from quernwork.session import bounded_rows, table
 from quernwork.sources.snapshots import SNAPSHOT, parse_snapshots
 
 QUERIES, SQL = {}, {}
@@ -187,6 +188,14 @@ def annual_maxima(spark: SparkSession, d: str) -> DataFrame:
     return j.select("job_id", "unit", F.round(X.annual_maximum(F.col("top"), F.col("cur"), F.col("unit")), 2).alias("annual_maximum"))
 
 
+@query()
+def annual_maxima_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The most that every job's pay comes to in a year, whatever form its salary has; null where none can be read (scanner, no SQL form)."""
+    per_year = {r.unit: float(r.per_year) for r in bounded_rows(table(spark, d, "pay_units").select("unit", "per_year"), REFERENCE_ROWS, "pay_units")}
+    top = X.stated_annual_maximum(pay_statements("salary"), per_year)
+    return table(spark, d, "jobs").select("job_id", top.alias("top")).select("job_id", "top.unit", "top.annual_maximum")
+
+
 @query(
     r"""select job_id, regexp_matches(lower(coalesce(salary, '') || ' ' || coalesce(description, '')), 'negotiable|commensurate|depend(s|ing|ent)? (on|upon) (experience|qualifications)|\bdoe\b|based on experience|to be discussed') as open from jobs"""
 )

@@ -75,3 +75,20 @@ def test_bands(spark):
     df = spark.createDataFrame([(0.0,), (9.99,), (10.0,), (20.0,), (35.0,), (40.0,), (None,), (-1.0,)], "x double")
     assert [r[0] for r in df.select(band_of(F.col("x"), bands, "band_id", "low", "high")).collect()] == [1, 1, 2, None, 9, None, None, None]
     assert df.select(band_of(F.col("x"), bands.limit(0), "band_id", "low", "high")).collect()[0][0] is None
+
+
+def test_annual_maxima_of_all_jobs(spark, tmp_path):
+    """Every job has its row, and dirty salaries are read."""
+    from quernwork.plans import registry
+
+    want = {
+        "30 - 40 CAD hourly": ("hour", 83200.0), "34,000 - 52,500.5 CAD yearly": ("year", 52500.5), "$34,000/yr": ("year", 34000.0), "CAD 104k to CAD 117k annually": ("year", 117000.0), "C$118-141K yearly": ("year", 141000.0),
+        "29,05 $ - 32,50 $ l'heure": ("hour", 67600.0), "Up to CAD 6,000/month": ("month", 72000.0), "$4,480 every two weeks": ("biweek", 116480.0), "25": (None, 52000.0), "34500 - 39500": (None, None),
+        "CAD 87,672 annually, i.e. CAD 42.15 hourly": ("year", 87672.0), "€3,500 to €4,250/mo": ("month", None), "5,000 CAD yearly": ("year", None), "TBD": (None, None), "": (None, None), None: (None, None),
+    }
+    rows = list(want)
+    spark.createDataFrame(list(enumerate(rows)), "job_id int, salary string").write.parquet(f"{tmp_path}/jobs.parquet")
+    units = [("hour", 2080.0), ("day", 260.0), ("week", 52.0), ("biweek", 26.0), ("month", 12.0), ("year", 1.0)]
+    spark.createDataFrame(units, "unit string, per_year double").write.parquet(f"{tmp_path}/pay_units.parquet")
+    got = {rows[r.job_id]: (r.unit, r.annual_maximum) for r in registry.queries()["annual_maxima_of_all"](spark, str(tmp_path)).collect()}
+    assert got == want
