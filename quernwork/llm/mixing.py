@@ -89,11 +89,12 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None =
     sizes (source, tokens); the mixture is to have total_tokens, by default as many as the listed sources have.
     Source names are compared without case, blanks and separators. Sources without documents and sources not listed get and give nothing.
     """
-    have = {
-        r.key: (r.tokens, r.documents)
-        for r in sizes.filter("tokens > 0").groupBy(source_key("source").alias("key")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")).filter("key is not null").limit(MOST_SOURCES).collect()
-    }
     rows = bounded_rows(targets.select("source", "weight", "max_repeats", source_key("source").alias("key")).filter("weight > 0"), MOST_SOURCES, "the targets")
+    # only the targets' sums reach the driver, however many sources the documents have
+    listed = sizes.sparkSession.createDataFrame([(k,) for k in {r.key for r in rows} if k is not None], "key string")
+    known = sizes.filter("tokens > 0").withColumn("key", source_key("source")).join(F.broadcast(listed), "key")
+    sums = known.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
+    have = {r.key: (r.tokens, r.documents) for r in bounded_rows(sums, MOST_SOURCES, "the targets' documents by source")}
     total = total_tokens if total_tokens is not None else sum(have.get(k, (0, 0))[0] for k in {r.key for r in rows})
     weights = sum(r.weight for r in rows)
     out = []

@@ -44,3 +44,10 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "a", "hello world"), (2, "a", None), (3, None, "  "), (4, "a", "<|endoftext|>")], "doc_id long, source string, text string")
     got = {r.doc_id: r.tokens for r in M.token_counts(df).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_many_sources(spark):
+    """Listed sources are found among any number of others."""
+    sizes = spark.range(30_000).selectExpr("id as doc_id", "concat('s', id) as source", "10L as tokens")
+    plan = M.plan_mix(sizes, spark.createDataFrame([(f"S{n * 500}", 1.0, 3) for n in range(50)], "source string, weight double, max_repeats int"))
+    assert [(p["tokens"], p["documents"]) for p in plan] == [(10, 1)] * 50
