@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +26,6 @@ _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "‹": "›", "“": "”", "
 _CLOSERS = frozenset(_OPEN.values()) | {'"', "'", "＂"}
 _QUOTES = frozenset("«»‹›“”„‚‘’「」『』\"'")
 _DASHES = "—–―"
-#: A quotation longer than this many characters is taken for an unbalanced mark.
-LONGEST_QUOTE = 600
 
 #: Abbreviations that don't end a sentence, by language ("*": all). "initial" ones never do, "final" ones may before a capital.
 _NEVER = {
@@ -79,20 +78,32 @@ _URL = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 _PAIRED = re.compile(f"[{re.escape(''.join(sorted({*_OPEN, *_CLOSERS})))}]")
 
 
+#: Scripts that name a language. One decides where it has this share of the letters, Latin ones and its own.
+_SCRIPTS = [(lang, re.compile(f"[{lo}-{hi}]+")) for lang, lo, hi in (("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"), ("ja", "぀", "ヿ"), ("ru", "Ѐ", "ӿ"))]
+_SCRIPT_SHARE = 0.1
+_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+_HAN = re.compile("[一-鿿]+")
+
+
+def _letters(pattern: re.Pattern, text: str) -> int:
+    return sum(map(len, pattern.findall(text)))
+
+
 def language(code: str | None, text: str) -> str:
-    """A language for the abbreviation lists: from the script, from the code where it is a known one, else from frequent words."""
-    for ch in text[:400]:
-        if ch > "ͯ":
-            for lang, lo, hi in (("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"), ("ja", "぀", "ヿ"), ("ru", "Ѐ", "ӿ")):
-                if lo <= ch <= hi:
-                    return lang
+    """A language for the abbreviation lists, from the whole text: from the script, from the code where it is a known one, else from frequent words."""
+    latin = 0
+    if not text.isascii():
+        latin = _letters(_LATIN, text)
+        n, lang = max(((_letters(p, text), lang) for lang, p in _SCRIPTS), key=lambda x: x[0])
+        if n and n >= _SCRIPT_SHARE * (n + latin):
+            return lang
     known = _LANGS.get(re.split(r"[-_]", (code or "").strip().lower())[0])
     if known:
         return known
-    if re.search("[一-鿿]", text[:400]):
+    if not text.isascii() and (n := _letters(_HAN, text)) and n >= _SCRIPT_SHARE * (n + latin):
         return "zh"
-    words = re.findall(r"[^\W\d_]+", text[:2000].lower())
-    score = {k: sum(words.count(w) for w in v) for k, v in _STOP.items()}
+    words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+    score = {k: sum(words[w] for w in v) for k, v in _STOP.items()}
     best = max(score, key=score.get)
     return best if score[best] else "en"
 
@@ -105,15 +116,24 @@ _ABBR = {k: _abbreviations(k) for k in {*_LANGS.values(), "*"}}
 
 
 def _spans(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Balanced quotations and brackets of the block, outermost only, as (position of the opening, of the closing mark)."""
+    """Balanced quotations and brackets of the block, outermost only, as (position of the opening, of the closing mark).
+
+    Of any length: a mark without a partner in its block is unbalanced, so a straight quotation mark that can only open
+    takes the place of an open one, and one that can only close opens nothing.
+    """
     out, stack = [], []
     for m in _PAIRED.finditer(text, lo, hi):
         i, ch = m.start(), m[0]
         if ch == '"' or ch == "＂":
+            before, after = (text[i - 1] if i > lo else " "), (text[i + 1] if i + 1 < hi else " ")
+            opens, closes = before.isspace() or before in _OPEN, not after.isalnum() and not before.isspace()
             if stack and stack[-1][1] == ch:
                 j, _ = stack.pop()
-                out.append((j, i))
-            else:
+                if opens and after.isalnum():
+                    stack.append((i, ch))
+                else:
+                    out.append((j, i))
+            elif opens or not closes:
                 stack.append((i, ch))
         elif ch == "'":
             before, after = (text[i - 1] if i > lo else " "), (text[i + 1] if i + 1 < hi else " ")
@@ -125,16 +145,14 @@ def _spans(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
         else:
             for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[k][1] == ch:
-                    if i - stack[k][0] <= LONGEST_QUOTE:
-                        out.append((stack[k][0], i))
+                    out.append((stack[k][0], i))
                     del stack[k:]
                     break
             else:
                 if ch in _OPEN and not (ch == "‘" and i > lo and text[i - 1].isalnum()):
                     stack.append((i, _OPEN[ch]))
-    out = [(a, b) for a, b in sorted(out) if b - a <= LONGEST_QUOTE]
     outer: list[tuple[int, int]] = []
-    for a, b in out:
+    for a, b in sorted(out):
         if not outer or a > outer[-1][1]:
             outer.append((a, b))
     return outer

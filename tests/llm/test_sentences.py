@@ -52,3 +52,14 @@ def test_frame(spark):
     got = sorted((tuple(r) for r in sentences(df).collect()), key=str)
     assert got == sorted([(1, 0, 4), (1, 5, 9), (1, 0, 4), (1, 5, 9), (None, 0, 2)], key=str)
     assert sentences(df.limit(0)).count() == 0
+
+
+def test_long_quotations_and_late_scripts():
+    """Length decides nothing: a long quotation or bracket is treated as a short one, and the whole text tells the language."""
+    for a, b in ("«»", "()", '""', "“”"):
+        few, many = (f"The foreman told us {a}{'It is cold here. ' * n}We stay.{b} and went home. Then we left." for n in (2, 60))
+        assert len(units(few)) == len(units(many)) == 2
+    head = "1234 5678 " * 60
+    assert language(None, head + "Ο φούρνος είναι ζεστός. " * 10) == "el" and language("xx", head + "Печь горячая. " * 10) == "ru"
+    assert language(None, "Zyx qwv. " * 300 + "Der Ofen ist nicht warm und das Lager ist voll. " * 9) == "de"
+    assert language(None, "The gap of the dryer is 5 μm and the rest is to be set by you. " * 3) == "en"
