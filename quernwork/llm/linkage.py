@@ -153,8 +153,9 @@ def link_openings(links: DataFrame, jobs: DataFrame, places: DataFrame, assigned
     """(source, source_id, job_id, confidence): for each link the job that is the same opening.
 
     links (source, source_id, title, company, location, city) and jobs (job_id, ...) are matched by the posterior of
-    the vote model; a pair that it accepts is then held against the exact canonical parts: employer and full title must
-    be equal and the places must overlap. assigned (source, job_id): a job that has a link of a source is never a
+    the vote model; a pair that it accepts is then held against the exact canonical parts: full title must be equal, the
+    places must overlap, and the employer must be equal or, where no job has the link's brand, one of the same trade with a brand
+    at one edit, the only one such among its candidates. assigned (source, job_id): a job that has a link of a source is never a
     match for another link of it. One row per link; among several jobs the most confident, then the
     smallest job_id. Repeated links count once. Links without title, company or place match nothing.
     """
@@ -165,8 +166,14 @@ def link_openings(links: DataFrame, jobs: DataFrame, places: DataFrame, assigned
     l = stored(opening_forms(asked, ["source", "source_id"], places, titles, misspelt).select("*", key), "links")
     scored = posteriors(stored(vote(candidate_pairs(l, j)), "votes"), VOTES)
     exact = F.lit(True)
-    for c in ["company_key", *_TITLE]:
+    for c in _TITLE:
         exact = exact & (F.col(f"l_{c}") == F.col(f"r_{c}"))
+    # a brand that any job has, whatever its trade, is another employer's name and no slip
+    brands = j.select(F.substring_index("company_key", " ", 1).alias("brand")).distinct()
+    near = scored.filter("v_company = 0").select("l_company_key", "r_company_key", F.substring_index("l_company_key", " ", 1).alias("brand")).distinct().join(brands, "brand", "left_anti")
+    meant = near.groupBy("l_company_key").agg(F.min("r_company_key").alias("meant"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    scored = scored.join(meant, "l_company_key", "left")
+    exact = exact & ((F.col("l_company_key") == F.col("r_company_key")) | ((F.col("v_company") == 0) & F.col("meant").isNotNull()))
     accepted = scored.filter((F.col("confidence") >= ACCEPT) & exact & (F.col("v_place") == 1) & (F.col("l_title_words") != "") & (F.col("l_company_key") != ""))
     accepted = accepted.select(F.xxhash64(*[f"l_{c}" for c in OPENING]).alias("opening"), F.xxhash64(*[f"r_{c}" for c in OPENING]).alias("job_opening"), "confidence")
 

@@ -68,3 +68,17 @@ def test_corrections_equal_spelling(spark):
     s = O.Spelling(counts, 4)
     got = {r.w: r.right for r in O.corrections(spark.createDataFrame(list(counts.items()), "w string, count bigint"), spark.createDataFrame([(w,) for w in words], "w string")).collect()}
     assert got == {w: s.right(w) for w in words if s.right(w) != w} and got["orbobruy"] == "orbobury"
+
+
+def test_brand_within_one_edit(spark):
+    """A pair that the model accepts comes out though its brand, too rare for a reference word, differs by one letter; not where the spelling is another employer's or could be two."""
+    jobs, links = [], []
+    for n in range(40):
+        jobs.append((f"m{n:02}", f"Kiln Clerk {'abcdefghijklmnopqrstuvwxyz'[n % 26] * 3}", f"Zamorrin{'abcdefgh'[n % 8] * 4} Mills", "Nordbury", ""))
+        links.append(("s", f"m{n}", *jobs[-1][1:]))
+    jobs += [("a", "Dryer Hand", "Orbobury Foods", "Nordbury", ""), ("b", "Mill Hand", "Tarrowick Seeds", "Nordbury", ""), ("c", "Mill Hand", "Tarrowock Seeds", "Tambmere", ""), ("d", "Dock Hand", "Velmora Foods", "Nordbury", ""), ("e", "Dock Hand", "Velmore Foods", "Nordbury", "")]
+    links += [("s", "1", "Dryer Hand", "Orboburi Foods", "Nordbury", ""), ("s", "2", "Mill Hand", "Tarrowock Seeds", "Nordbury", ""), ("s", "3", "Dock Hand", "Velmoru Foods", "Nordbury", ""), ("s", "4", "Dryer Hand", "Orboburi Seeds", "Nordbury", "")]
+    df = spark.createDataFrame(jobs, "job_id string, title string, company string, location string, city string")
+    asked = spark.createDataFrame(links, "source string, source_id string, title string, company string, location string, city string")
+    got = {r.source_id: r.job_id for r in L.link_openings(asked, df, places(spark), spark.createDataFrame([], "source string, job_id string")).collect()}
+    assert {k: v for k, v in got.items() if k.isdigit()} == {"1": "a"}
