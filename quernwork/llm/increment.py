@@ -4,8 +4,8 @@ Every accepted record is a point: its opening (employer, full title, place) as a
 description distance reaches, and its description as hashed counts of distinct words, a vector of DIM small
 counts under the L1 distance. Cells are formed by the opening and, within it, by rings of the distance to the
 origin. As the L1 distance is a metric, a record nearer than r to a query q lies in the query's own opening and in a ring
-that meets [|q| - r, |q| + r]; all other cells are skipped unread. Survivors of the vector bound are held against
-the exact similarity of five-word shingles. A batch is appended to the cells after it was probed.
+that meets [|q| - r, |q| + r]; all other cells are left out by the join, though read. Survivors of the vector bound are held against
+the exact similarity of five-word shingles. A batch can be appended to the cells after it was probed.
 """
 
 from __future__ import annotations
