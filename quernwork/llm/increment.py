@@ -4,8 +4,14 @@ Every accepted record is a point: its opening (employer, full title, place) as a
 description distance reaches, and its description as hashed counts of distinct words, a vector of DIM small
 counts under the L1 distance. Cells are formed by the opening and, within it, by rings of the distance to the
 origin. As the L1 distance is a metric, a record nearer than r to a query q lies in the query's own opening and in a ring
-that meets [|q| - r, |q| + r]; all other cells are left out by the join, though read. Survivors of the vector bound are held against
-the exact similarity of five-word shingles. A batch can be appended to the cells after it was probed.
+that meets [|q| - r, |q| + r]; no other cell can hold a nearer match. Where a cell is crowded its points are met over the
+shingles of their prefix only, one of which any two similar texts share. Survivors of the vector bound are held
+against the exact similarity of five-word shingles.
+
+The index is a folder of tables: cells with vectors and packed texts, keys of ids and hashes, both laid out in BUCKETS buckets,
+and the counts of words that spellings are held against. A batch reads only the buckets that its own openings and keys fall into, and
+no source table; afterwards it is appended. Word counts are taken once, when the index is made, so the key of
+an opening is the same for ever.
 """
 
 from __future__ import annotations
@@ -21,17 +27,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernwork.functions.text import fold_py, source_key
-from quernwork.llm.openings import TITLE_SHARE, Corrections, Spelling, company_key, frequent_words, misspelt_companies, place_key, put_right, raw_fields, title_parts
-from quernwork.llm.places import PlaceResolver, place_rows
-from quernwork.session import shared_dir, stored, table
+from quernwork.llm.openings import Canonical, raw_fields, slips, with_fixes, word_counts
+from quernwork.llm.places import place_rows
+from quernwork.session import bounded_rows, shared_dir, stored, table
 
 #: Words of a shingle, the similarity that makes two descriptions nearly the same, the dimension of a vector, and the growth of the rings.
 SHINGLE, SIMILAR, DIM, RING = 5, 0.8, 64, 1.25
 #: Descriptions of fewer words (placeholders among them) are no description.
 LEAST_WORDS = 5
+#: Buckets of the stored tables (an index keeps the number it was made with), and the points from which a cell is crowded.
+BUCKETS, CROWDED = 16, 64
+#: p6_found delivers the postings in so many parts, in the order of their arrival; each is probed, then appended.
+DELIVERIES = 2
 
-_TAG = re.compile(r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,5});")
-_POINT = "ref bigint, _company string, company_key string, rest string, text_hash bigint, size int, norm int, ring int, vector binary, packed binary"
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>|&(?:[a-z]{2,8}|#\d{1,5});")
+_POINT = "ref bigint, company_key string, rest string, text_hash bigint, size int, norm int, ring int, prefix array<bigint>, vector binary, packed binary"
+_TABLES = {
+    "cells": "opening bigint, ring int, text_hash bigint, first bigint, size int, norm int, prefix array<bigint>, vector binary, packed binary",
+    "keys": "key string, first bigint",
+}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,6 +57,30 @@ def shingles_of(words: list[str]) -> set:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+@lru_cache(500_000)
+def _word_hash(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+
+
+#: Odd multipliers, one for each place in a shingle; the products wrap.
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+
+
+def shingle_hashes(words: list[str]) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, ascending; one for a text shorter than a shingle."""
+    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    n = max(1, len(h) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(h))):
+        out += h[k : k + n] * _PLACE[k]
+    return np.unique((out ^ (out >> np.uint64(29))) * _PLACE[0])
+
+
+def prefix_of(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hashes of a set, so many that two sets of similarity SIMILAR or more share one of them."""
+    return hashes[: len(hashes) - int(np.ceil(SIMILAR * len(hashes) - 1e-9)) + 1]
+
+
 def ring_of(norm: float) -> int:
     return int(np.floor(np.log(max(norm, 1)) / np.log(RING)))
 
@@ -52,36 +90,35 @@ def reach(words):
     return (1 - SIMILAR) / SIMILAR * words + 2 * (SHINGLE - 1)
 
 
-def points(df: DataFrame, places: DataFrame, title_words: dict[str, int], misspelt: DataFrame | dict) -> DataFrame:
-    """(ref, opening, text_hash, size, norm, ring, vector, packed) of rows (ref, title, company, location, city, description).
+def points(df: DataFrame, places: DataFrame, titles: DataFrame | None = None, companies: DataFrame | None = None) -> DataFrame:
+    """(ref, opening, text_hash, size, norm, ring, prefix, vector, packed) of rows (ref, title, company, location, city, description).
 
     Rows whose employer, title, place or description is blank, or whose description has fewer than LEAST_WORDS words, name no
-    opening with a description and give no point. misspelt (misspelt_companies()) is joined to the points by the employer's name.
+    opening with a description and give no point. titles and companies: slips() of the two columns, or None. Counts of a
+    vector end at 255, which can only bring two vectors nearer, so the bound stays one.
     """
     rows = place_rows(places)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver, ts, cs = PlaceResolver(rows), Spelling(title_words), Corrections({})
-        place = lru_cache(200_000)(lambda a, b: place_key(resolver, a, b))
-        company = lru_cache(200_000)(lambda s: company_key(s, cs))
-        title = lru_cache(200_000)(lambda s: title_parts(s, ts))
+        forms = Canonical(rows)
         slot = lru_cache(200_000)(lambda w: zlib.crc32(w.encode()) % DIM)
         for b in batches:
             out = []
-            for ref, t, c, l, y, d in zip(b["ref"], b["title"], b["company"], b["location"], b["city"], b["description"], strict=True):
+            for ref, t, tf, c, cf, l, y, d in zip(b["ref"], b["title"], b["title_fixes"], b["company"], b["company_fixes"], b["location"], b["city"], b["description"], strict=True):
                 ws = words_of(d)
-                if len(ws) < LEAST_WORDS or not (ck := company(c)) or not (tp := title(t))[0] or not (pk := place(l, y)):
+                if len(ws) < LEAST_WORDS or not (ck := forms.company(c, cf)) or not (tp := forms.title(t, tf))[0] or not (pk := forms.place(l, y)):
                     continue
                 distinct = set(ws)
-                v = np.bincount([slot(w) for w in distinct], minlength=DIM).astype("<u4")
+                v = np.minimum(np.bincount([slot(w) for w in distinct], minlength=DIM), 255).astype("u1")
                 text = " ".join(ws).encode()
-                out.append((ref, c, ck, "|".join((*tp, pk)), _hash(text), len(ws), len(distinct), ring_of(len(distinct)), v.tobytes(), zlib.compress(text, 1)))
-            yield pd.DataFrame(out, columns=["ref", "_company", "company_key", "rest", "text_hash", "size", "norm", "ring", "vector", "packed"])
+                prefix = prefix_of(shingle_hashes(ws)).view(np.int64)
+                out.append((ref, ck, "|".join((*tp, pk)), _hash(text), len(ws), len(distinct), ring_of(len(distinct)), prefix, v.tobytes(), zlib.compress(text, 1)))
+            yield pd.DataFrame(out, columns=["ref", "company_key", "rest", "text_hash", "size", "norm", "ring", "prefix", "vector", "packed"])
 
     spec = df.select("ref", "title", "company", "location", "city", "description").filter("description is not null and title is not null and company is not null")
     # 60 bits of a digest name an opening
     opening = F.conv(F.substring(F.sha1(F.concat_ws("|", "company_key", "rest")), 1, 15), 16, 10).cast("bigint")
-    return put_right(spec.mapInPandas(run, _POINT), misspelt).filter("company_key <> ''").select("ref", opening.alias("opening"), "text_hash", "size", "norm", "ring", "vector", "packed")
+    return with_fixes(spec, titles, companies).mapInPandas(run, _POINT).select("ref", opening.alias("opening"), "text_hash", "size", "norm", "ring", "prefix", "vector", "packed")
 
 
 def _hash(b: bytes) -> int:
@@ -89,15 +126,15 @@ def _hash(b: bytes) -> int:
 
 
 def _distinct(df: DataFrame) -> DataFrame:
-    """One point per opening and text, with the smallest ref: exact copies are one point. Rows are spread by opening first, which the grouping then needs no second shuffle for."""
-    return df.repartition("opening").groupBy("opening", "text_hash").agg(F.min("ref").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "norm", "ring", "vector", "packed")])
+    """One point per opening and text, with the smallest ref: exact copies are one point, and a hot opening is spread over its texts."""
+    return df.groupBy("opening", "text_hash").agg(F.min("ref").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "norm", "ring", "prefix", "vector", "packed")])
 
 
 def _within_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
-            x, y = (np.frombuffer(b"".join(b[c]), "<u4").reshape(-1, DIM).astype("i4") for c in ("q_vector", "vector"))
-            b = b[np.abs(x - y).sum(1) <= reach(b["q_size"].to_numpy())]
+            x, y = (np.frombuffer(b"".join(b[c]), "u1").reshape(-1, DIM).astype("i2") for c in ("q_vector", "vector"))
+            b = b[np.abs(x - y).sum(1, dtype="i4") <= reach(b["q_size"].to_numpy())]
         yield b[["opening", "q_text_hash", "text_hash", "first"]]
 
 
@@ -115,41 +152,63 @@ def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class CellIndex:
-    """Inverted-file cells in a folder that all executors share: Parquet parts, one for each appended batch."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def append(self, pts: DataFrame) -> None:
-        """Adds points (exact copies once) to the cells; earlier parts aren't touched."""
-        _distinct(pts).write.mode("append").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def probe(self, batch: DataFrame, also: bool = True) -> DataFrame:
-        """(opening, text_hash, first): for each distinct point of a batch the smallest ref among its near duplicates in the index and, with `also`, in the batch itself.
-
-        batch comes from _distinct. Cells are met by an equality join on opening and ring; vectors bound the distance; only
+    """The stored index in a folder that all executors share. Each delivery is a part of its own, so writing one again replaces it and touches no other."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets, self.parts = spark, path, buckets, 0
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame, name: str, key: str) -> None:
+        # rebalancing gives a bucket to one task, and a hot one to several
+        spread = self.spark.sql("select /*+ rebalance(bucket) */ * from {df}", df=df.withColumn("bucket", self._bucket(key)))
+        spread.sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/delivery={self.parts}")
+
+    def append(self, pts: DataFrame, keys: DataFrame | None = None) -> None:
+        """Adds a delivery: points (of _distinct) to the cells, keys (key, first) to the keys. Earlier deliveries aren't touched."""
+        self._write(pts.select("opening", "ring", "text_hash", "first", "size", "norm", "prefix", "vector", "packed"), "cells", "opening")
+        if keys is not None:
+            self._write(keys, "keys", "key")
+        self.parts += 1
+
+    def read(self, name: str, key: str, asked: DataFrame) -> DataFrame:
+        """The buckets of a table that the keys of `asked` fall into; the scan skips all others by their folders."""
+        wanted = [r.bucket for r in bounded_rows(asked.select(self._bucket(key).alias("bucket")).distinct(), self.buckets, "the buckets")]
+        if not self.parts:
+            return self.spark.createDataFrame([], _TABLES[name])
+        held = self.spark.read.schema(f"{_TABLES[name]}, delivery int, bucket int").parquet(f"{self.path}/{name}")
+        return held.filter(F.col("bucket").isin(wanted)).drop("delivery", "bucket")
+
+    def probe(self, batch: DataFrame) -> DataFrame:
+        """(opening, text_hash, first): for each distinct point of a batch (of _distinct) the smallest ref among its near duplicates in the index and in the batch itself.
+
+        Cells are met by an equality join on opening and ring (and, in crowded cells, a shingle of the prefix); vectors bound the distance; only
         pairs within the bound are given their texts and reranked exactly. Equal texts need neither vectors nor texts.
         """
-        held = self.read()
-        if also:
-            held = held.unionByName(batch.select(held.columns))
+        held = self.read("cells", "opening", batch)
+        held = held.unionByName(batch.select(held.columns))
+        cells, texts = held.drop("packed"), held.select("opening", "text_hash", "packed")
+        crowd = cells.groupBy("opening", "ring").agg((F.count("*") > CROWDED).alias("crowded")).filter("crowded")
+
+        def met(df: DataFrame) -> DataFrame:
+            by = F.when(F.col("crowded"), F.col("prefix")).otherwise(F.array(F.lit(0).cast("bigint")))
+            return df.join(crowd, ["opening", "ring"], "left").withColumn("by", F.explode(by)).drop("crowded", "prefix")
+
         r = r_of("size")
         low, high = (F.floor(F.log(F.greatest(x, F.lit(1.0))) / float(np.log(RING))).cast("int") for x in (F.col("norm") - r, F.col("norm") + r))
-        cells = batch.select("opening", F.explode(F.sequence(low, high)).alias("ring"), F.col("text_hash").alias("q_text_hash"), F.col("size").alias("q_size"), F.col("norm").alias("q_norm"), F.col("vector").alias("q_vector"))
-        near = cells.join(held.select("opening", "ring", "text_hash", "first", "norm", "vector"), ["opening", "ring"])
+        asking = batch.select("opening", F.explode(F.sequence(low, high)).alias("ring"), "prefix", F.col("text_hash").alias("q_text_hash"), F.col("size").alias("q_size"), F.col("norm").alias("q_norm"), F.col("vector").alias("q_vector"))
+        near = met(asking).join(met(cells.drop("size")), ["opening", "ring", "by"])
         near = near.filter((F.col("q_text_hash") != F.col("text_hash")) & (F.abs(F.col("q_norm") - F.col("norm")) <= r_of("q_size")))
         near = near.select("opening", "q_text_hash", "q_size", "q_vector", "text_hash", "first", "vector")
-        bounded = stored(near.mapInPandas(_within_bound, "opening bigint, q_text_hash bigint, text_hash bigint, first bigint"), "bounded")
+        bounded = stored(near.mapInPandas(_within_bound, "opening bigint, q_text_hash bigint, text_hash bigint, first bigint").distinct(), "bounded")
         asked = bounded.select("opening", F.col("q_text_hash").alias("text_hash")).distinct()
-        met = bounded.select("opening", "text_hash").distinct()
+        wanted = bounded.select("opening", "text_hash").distinct()
         q_texts = batch.select("opening", "text_hash", "packed").join(asked, ["opening", "text_hash"], "left_semi").withColumnsRenamed({"text_hash": "q_text_hash", "packed": "q_packed"})
-        texts = held.select("opening", "text_hash", "packed").join(met, ["opening", "text_hash"], "left_semi").dropDuplicates(["opening", "text_hash"])
-        pairs = bounded.join(q_texts, ["opening", "q_text_hash"]).join(texts, ["opening", "text_hash"]).select("opening", "q_text_hash", "q_packed", "packed", "first")
+        x_texts = texts.join(wanted, ["opening", "text_hash"], "left_semi").dropDuplicates(["opening", "text_hash"])
+        pairs = bounded.join(q_texts, ["opening", "q_text_hash"]).join(x_texts, ["opening", "text_hash"]).select("opening", "q_text_hash", "q_packed", "packed", "first")
         exact = pairs.mapInPandas(_rerank, "opening bigint, q_text_hash bigint, first bigint")
-        same = batch.select("opening", "text_hash").join(held.select("opening", "text_hash", "first"), ["opening", "text_hash"]).withColumnRenamed("text_hash", "q_text_hash")
+        same = batch.select("opening", "text_hash").join(cells.select("opening", "text_hash", "first"), ["opening", "text_hash"]).withColumnRenamed("text_hash", "q_text_hash")
         return exact.unionByName(same).groupBy("opening", F.col("q_text_hash").alias("text_hash")).agg(F.min("first").alias("first"))
 
 
@@ -175,49 +234,102 @@ def with_id_key(df: DataFrame, source: str, source_id: str, name: str = "id") ->
     return out.drop("_t", "_host", "_query", "_bare", "_id")
 
 
-def first_seen(keys: DataFrame, key: str, ref: str) -> DataFrame:
-    """(key, first): the smallest ref of every key; null keys are left out."""
-    return keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(ref).alias("first"))
+_FIELDS = ["title", "company", "location", "city", "description"]
+
+
+def keys_of(df: DataFrame, ref: Column, source: str | None = None, source_id: str | None = None, content_hash: str | None = None) -> DataFrame:
+    """(key, ref): the keys under which a record is found again, its id at its source and its content hash. Null and blank ones give none."""
+    both = []
+    if source_id:
+        df = with_id_key(df, source, source_id, "_id_key")
+        both.append(F.concat(F.lit("i|"), F.col("_id_key")))
+    if content_hash:
+        both.append(F.concat(F.lit("h|"), F.nullif(F.trim(content_hash), F.lit(""))))
+    return df.select(ref.alias("ref"), F.explode(F.array_compact(F.array(*both))).alias("key"))
 
 
-def repeats(postings: DataFrame, jobs: DataFrame, links: DataFrame, places: DataFrame, index_path: str) -> DataFrame:
-    """(ingest_seq): postings that repeat a row of jobs or job_sources or a posting with a smaller ingest_seq.
+def _first(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.min("ref").alias("first"))
 
-    A repeat has the same source and id, or the same content hash, or is the same opening with a description of similarity
-    SIMILAR. History has ref -1, so a single order holds for all: a posting repeats where the first ref of its key is
-    smaller than its own. History is indexed once and stored; all batches are probed together, each posting only
-    against what came before it, which gives the same result as one batch after the other. Null ids, hashes and descriptions repeat nothing.
+
+class History:
+    """All that was ever accepted, as an index on disk.
+
+    History.create() makes one from the tables accepted so far and History.open() takes up a stored one, without these tables.
+    Accepted rows have ref -1, postings their ingest_seq, so a single order holds for all: a posting repeats where the
+    first ref of one of its keys or near duplicates is smaller than its own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, places: DataFrame, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.places, self.index = spark, path, places, CellIndex(spark, path, buckets)
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, places: DataFrame, jobs: DataFrame, links: DataFrame, buckets: int = BUCKETS) -> History:
+        """An index of jobs (title, company, location, city, description, content_hash) and links (source, source_id, raw). The words of jobs are the spellings that later ones are held against."""
+        out = cls(spark, path, places, buckets)
+        for column in ("title", "company"):
+            word_counts(jobs, column).write.mode("overwrite").parquet(f"{path}/words-{column}")
+        old = F.lit(-1).cast("bigint")
+        records = jobs.select(old.alias("ref"), *_FIELDS).unionByName(raw_fields(links.filter("raw is not null")).select(old.alias("ref"), *_FIELDS))
+        keys = keys_of(jobs, old, content_hash="content_hash").unionByName(keys_of(links, old, "source", "source_id"))
+        out.index.append(_distinct(out._points(records)), _first(keys))
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, places: DataFrame, deliveries: int, buckets: int = BUCKETS) -> History:
+        """A stored index that holds so many deliveries, the first one included. places must be the list that it was made with."""
+        out = cls(spark, path, places, buckets)
+        out.index.parts = deliveries
+        return out
+
+    def _points(self, records: DataFrame) -> DataFrame:
+        found = []
+        for column in ("title", "company"):
+            counts = self.spark.read.schema("w string, count bigint").parquet(f"{self.path}/words-{column}")
+            found.append(slips([records], column, counts))
+        return points(records, self.places, *found)
+
+    def deliver(self, postings: DataFrame) -> DataFrame:
+        """(ingest_seq): the postings of a batch that repeat something accepted before or a posting of the batch with a smaller ingest_seq; then the batch is accepted itself.
+
+        A repeat has the same source and id, or the same content hash, or is the same opening with a description of similarity
+        SIMILAR. Null ids, hashes and descriptions repeat nothing. Reads only the buckets that the batch falls into.
+        """
+        keys = stored(keys_of(postings, F.col("ingest_seq"), "source", "source_id", "content_hash"), "batch-keys")
+        own = _first(keys)
+        held = self.index.read("keys", "key", own).join(own.select("key"), "key", "left_semi")
+        by_key = keys.join(_first(held.withColumnRenamed("first", "ref").unionByName(keys.select("key", "ref"))), "key").filter("first < ref").select("ref")
+        pts = stored(self._points(postings.select(F.col("ingest_seq").alias("ref"), *_FIELDS)), "batch-points")
+        batch = stored(_distinct(pts), "batch-cells")
+        by_text = pts.select("ref", "opening", "text_hash").join(self.index.probe(batch), ["opening", "text_hash"]).filter("first < ref").select("ref")
+        found = by_key.unionByName(by_text).select(F.col("ref").alias("ingest_seq")).distinct()
+        self.index.append(batch, own)
+        return found
+
+
+def repeats(postings: DataFrame, jobs: DataFrame, links: DataFrame, places: DataFrame, path: str, deliveries: int = DELIVERIES) -> DataFrame:
+    """(ingest_seq): postings that repeat a row of jobs or links or a posting with a smaller ingest_seq.
+
+    An index of jobs and links is made at `path` and then given the postings in `deliveries` parts in the order of
+    ingest_seq. Where the parts end has no influence on the rows.
     """
-    titles = frequent_words([jobs], "title", TITLE_SHARE)
-    p_keys = with_id_key(postings, "source", "source_id").select("ingest_seq", "id", F.nullif("content_hash", F.lit("")).alias("hash"))
-
-    new_ids = p_keys.select("id").distinct()
-    old_ids = with_id_key(links.select("source", "source_id"), "source", "source_id").select("id").join(new_ids, "id", "left_semi").distinct().select("id", F.lit(-1).cast("bigint").alias("ingest_seq"))
-    ids = first_seen(old_ids.unionByName(p_keys.select("id", "ingest_seq")), "id", "ingest_seq")
-    new_hashes = p_keys.select("hash").distinct()
-    old_hashes = jobs.select(F.col("content_hash").alias("hash")).join(new_hashes, "hash", "left_semi").distinct().select("hash", F.lit(-1).cast("bigint").alias("ingest_seq"))
-    hashes = first_seen(old_hashes.unionByName(p_keys.select("hash", "ingest_seq")), "hash", "ingest_seq")
-    by_id = p_keys.join(ids, "id").filter("first < ingest_seq").select("ingest_seq")
-    by_hash = p_keys.join(hashes, "hash").filter("first < ingest_seq").select("ingest_seq")
-
-    fields = ["title", "company", "location", "city", "description"]
-    history = jobs.select(F.lit(-1).cast("bigint").alias("ref"), *fields).unionByName(
-        raw_fields(links.filter("raw is not null")).select(F.lit(-1).cast("bigint").alias("ref"), *fields)
-    )
-    misspelt = misspelt_companies(jobs, [history, postings])
-    index = CellIndex(postings.sparkSession, index_path)
-    index.append(points(history, places, titles, misspelt))
-    pts = stored(points(postings.select(F.col("ingest_seq").alias("ref"), *fields), places, titles, misspelt), "batch-points")
-    nearest = index.probe(stored(_distinct(pts), "batch-cells"))
-    by_text = pts.select("ref", "opening", "text_hash").join(nearest, ["opening", "text_hash"]).filter(F.col("first") < F.col("ref")).select(F.col("ref").alias("ingest_seq"))
-    return by_id.unionByName(by_hash).unionByName(by_text).distinct()
+    history = History.create(postings.sparkSession, path, places, jobs, links)
+    cuts = [k / deliveries for k in range(1, deliveries)]
+    ends = (postings.agg(F.percentile_approx("ingest_seq", cuts).alias("q")).first().q or []) if cuts else []
+    edges = [None, *sorted(set(ends)), None]
+    found = None
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part = postings.filter((F.lit(True) if lo is None else F.col("ingest_seq") > lo) & (F.lit(True) if hi is None else F.col("ingest_seq") <= hi))
+        rows = history.deliver(part)
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings that repeat something accepted before."""
     import uuid
 
-    path = f"{shared_dir(spark)}/quernwork-{uuid.uuid4().hex}/cells"
+    path = f"{shared_dir(spark)}/quernwork-{uuid.uuid4().hex}/history"
     return repeats(*(table(spark, sf_dir, t) for t in ("postings", "jobs", "job_sources", "places")), path)
 
 

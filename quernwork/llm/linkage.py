@@ -2,7 +2,9 @@
 
 Labelling functions vote on candidate pairs (+1 same, -1 different, 0 no opinion); a generative model of the
 votes learns each function's accuracy and the correlations between functions without any labels, and gives each
-pair a posterior probability.
+pair a posterior probability. The posterior alone decides. What is known of the functions goes into the model: each looks at a
+part that makes the opening what it is and abstains where a slip of writing may be at work, so equal openings hardly ever
+draw a vote against.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernwork.functions.text import source_key
-from quernwork.llm.openings import OPENING, TITLE_SHARE, frequent_words, misspelt_companies, opening_forms, raw_fields
+from quernwork.llm.openings import OPENING, opening_forms, raw_fields, slips, word_counts
 from quernwork.session import stored, table
 
 #: Pairs of at least this posterior are links.
@@ -22,17 +24,24 @@ ACCEPT = 0.5
 
 #: Pseudo-counts of the votes -1, 0, 1 among different and equal pairs: what is believed of a function before any pair is seen. They matter for a handful of pairs only.
 _BELIEF = np.array([[1.2, 0.2, 0.6], [0.1, 0.2, 1.7]])
+#: The largest share of equal pairs that a function may vote against, whatever the votes of the others.
+SLIP = 1e-3
+#: The weight of _BELIEF about different pairs, as a share of all pairs: without it they could be thought to agree in everything.
+BELIEF = 0.25
 
 
 class VoteModel:
     """Two latent classes over votes in {-1, 0, 1}; within a class the votes form a tree, so that correlated functions don't count twice.
 
+    slip bounds the probability of a vote against among equal pairs: with a small one, a vote against outweighs any number of correlated ones for it. belief is the
+    weight, as a share of all pairs, of what is believed of different pairs: that a function by itself lets about a third of them pass.
+
     Fitted by expectation maximisation on counts of vote patterns (3 ** functions of them at most, whatever
     the number of pairs). The tree is the maximum spanning tree of the conditional mutual information given the
     current posteriors (Chow and Liu), learned anew in each of the first rounds.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> None:
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, slip: float = 1.0, belief: float = 0.0) -> None:
         self.x = np.asarray(patterns, dtype=int) + 1
         n, w = np.asarray(counts, dtype=float), self.x.shape[1]
         votes = self.x - 1
@@ -46,10 +55,13 @@ class VoteModel:
             self.prior = (r.sum(1) + 1) / (n.sum() + 2)
             self.tables = []
             for j, q in enumerate(self.parent):
-                t = np.tile(_BELIEF[:, None, :], (1, 3, 1))
+                t = np.tile((_BELIEF * [[1 + belief * n.sum()], [1]])[:, None, :], (1, 3, 1))
                 for c in range(2):
                     np.add.at(t[c], (self.x[:, q] if q >= 0 else np.zeros(len(n), int), self.x[:, j]), r[c])
-                self.tables.append(t / t.sum(2, keepdims=True))
+                t /= t.sum(2, keepdims=True)
+                t[1, :, 0] = np.minimum(t[1, :, 0], slip)
+                t[1, :, 1:] *= ((1 - t[1, :, 0]) / t[1, :, 1:].sum(1))[:, None]
+                self.tables.append(t)
             new = self.posterior(self.x - 1)
             done = np.abs(new - p).max(initial=0) < 1e-9
             p = new
@@ -82,7 +94,7 @@ class VoteModel:
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
 
 
-def posteriors(votes: DataFrame, names: list[str], most_patterns: int = 100_000) -> DataFrame:
+def posteriors(votes: DataFrame, names: list[str], most_patterns: int = 100_000, slip: float = 1.0, belief: float = 0.0) -> DataFrame:
     """votes with `confidence`: the posterior of each row's pattern. Only the pattern counts reach the driver."""
     rows = votes.groupBy(*names).count().limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
@@ -90,7 +102,7 @@ def posteriors(votes: DataFrame, names: list[str], most_patterns: int = 100_000)
     if not rows:
         return votes.withColumn("confidence", F.lit(None).cast("double"))
     x = np.array([[r[n] for n in names] for r in rows])
-    model = VoteModel(x, np.array([r["count"] for r in rows]))
+    model = VoteModel(x, np.array([r["count"] for r in rows]), slip=slip, belief=belief)
     known = votes.sparkSession.createDataFrame(
         [(*map(int, a), float(p)) for a, p in zip(x, model.posterior(x), strict=True)], ", ".join(f"`{n}` int" for n in names) + ", confidence double"
     )
@@ -112,69 +124,76 @@ def _blocks() -> list[Column]:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs (l_..., r_...) of distinct openings that share a block key. Equal openings are one row on either side, so copies don't multiply."""
+    """Distinct pairs (l_..., r_...) of distinct openings that share a block key. Equal openings are one row on either side, so copies don't multiply. Openings without employer, title or place are in no pair."""
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        forms = df.select(*OPENING).distinct().withColumn("_key", F.explode(F.array_compact(F.array_distinct(F.array(*_blocks())))))
+        named = df.filter("company_key <> '' and title_words <> '' and place_key <> ''")
+        forms = named.select(*OPENING).distinct().withColumn("_key", F.explode(F.array_compact(F.array_distinct(F.array(*_blocks())))))
         return forms.select("_key", *[F.col(c).alias(f"{p}_{c}") for c in OPENING])
 
     return side(left, "l").join(side(right, "r"), "_key").drop("_key").distinct()
 
 
-def vote(pairs: DataFrame) -> DataFrame:
-    """pairs with the votes of all labelling functions."""
+def _brand(c: str) -> Column:
+    return F.substring_index(c, " ", 1)
 
-    def same(c: str) -> Column:
-        return F.when(F.col(f"l_{c}") == F.col(f"r_{c}"), 1).otherwise(-1)
 
-    def brand(p: str) -> Column:
-        return F.substring_index(f"{p}_company_key", " ", 1)
+def _trade(c: str) -> Column:
+    return F.substring_index(c, " ", -1)
+
+
+def meant_brands(pairs: DataFrame, openings: DataFrame) -> DataFrame:
+    """(l_company_key, r_company_key): names without a namesake, and the one employer of the same trade at one edit among their candidates.
+
+    A brand that any of the openings has, whatever its trade, is another employer's name and no slip; a name with several such neighbours stays undecided.
+    """
+    brands = openings.select(_brand("company_key").alias("brand")).distinct()
+    apart = F.levenshtein(_brand("l_company_key"), _brand("r_company_key"), 1) == 1
+    near = pairs.filter((_trade("l_company_key") == _trade("r_company_key")) & apart).select("l_company_key", "r_company_key", _brand("l_company_key").alias("brand")).distinct()
+    one = near.join(brands, "brand", "left_anti").groupBy("l_company_key").agg(F.min("r_company_key").alias("r_company_key"), F.count("*").alias("n"))
+    return one.filter("n = 1").drop("n")
 
-    def trade(p: str) -> Column:
-        return F.substring_index(f"{p}_company_key", " ", -1)
 
-    near = (trade("l") == trade("r")) & (F.levenshtein(brand("l"), brand("r"), 1) >= 0)
+def vote(pairs: DataFrame, meant: DataFrame) -> DataFrame:
+    """pairs with the votes of all labelling functions. An employer's name that is taken for a slip (meant, of meant_brands()) is no reason for or against."""
+
+    def same(c: str) -> Column:
+        return F.when(F.col(f"l_{c}") == F.col(f"r_{c}"), 1).otherwise(-1)
+
     neither = (F.col("l_client") == "") & (F.col("r_client") == "")
-    blank = (F.col("l_place_key") == "") | (F.col("r_place_key") == "")
     overlap = F.arrays_overlap(F.split("l_place_key", " "), F.split("r_place_key", " "))
     cols = {
         "v_words": same("title_words"),
         "v_rank": same("seniority"),
         "v_grade": same("grade"),
         "v_client": F.when(neither, 0).otherwise(same("client")),
-        "v_company": F.when(F.col("l_company_key") == F.col("r_company_key"), 1).when(near, 0).otherwise(-1),
-        "v_trade": F.when(trade("l") == trade("r"), 1).otherwise(-1),
-        "v_place": F.when(blank, 0).when(overlap, 1).otherwise(-1),
+        "v_company": F.when(F.col("l_company_key") == F.col("r_company_key"), 1).when(F.col("_meant"), 0).otherwise(-1),
+        "v_trade": F.when(_trade("l_company_key") == _trade("r_company_key"), 1).otherwise(-1),
+        "v_place": F.when(overlap, 1).otherwise(-1),
     }
-    return pairs.withColumns({k: v.cast("int") for k, v in cols.items()})
+    return pairs.join(meant.withColumn("_meant", F.lit(True)), ["l_company_key", "r_company_key"], "left").withColumns({k: v.cast("int") for k, v in cols.items()}).drop("_meant")
+
+
+def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The candidate pairs of two tables of openings with all votes and the posterior `confidence`."""
+    pairs = stored(candidate_pairs(left, right), "candidates")
+    return posteriors(stored(vote(pairs, meant_brands(pairs, right)), "votes"), VOTES, slip=SLIP, belief=BELIEF)
 
 
 def link_openings(links: DataFrame, jobs: DataFrame, places: DataFrame, assigned: DataFrame) -> DataFrame:
     """(source, source_id, job_id, confidence): for each link the job that is the same opening.
 
     links (source, source_id, title, company, location, city) and jobs (job_id, ...) are matched by the posterior of
-    the vote model; a pair that it accepts is then held against the exact canonical parts: full title must be equal, the
-    places must overlap, and the employer must be equal or, where no job has the link's brand, one of the same trade with a brand
-    at one edit, the only one such among its candidates. assigned (source, job_id): a job that has a link of a source is never a
+    the vote model, ACCEPT or more. assigned (source, job_id): a job that has a link of a source is never a
     match for another link of it. One row per link; among several jobs the most confident, then the
     smallest job_id. Repeated links count once. Links without title, company or place match nothing.
     """
-    titles, misspelt = frequent_words([jobs], "title", TITLE_SHARE), misspelt_companies(jobs, [links])
+    found = [stored(slips([jobs, links], c, stored(word_counts(jobs, c), f"{c}-counts")), f"{c}-slips") for c in ("title", "company")]
     key = F.xxhash64(*OPENING).alias("opening")
-    j = stored(opening_forms(jobs, ["job_id"], places, titles, misspelt).select("*", key), "jobs")
+    j = stored(opening_forms(jobs, ["job_id"], places, *found).select("*", key), "jobs")
     asked = links.dropDuplicates(["source", "source_id", "title", "company", "location", "city"])
-    l = stored(opening_forms(asked, ["source", "source_id"], places, titles, misspelt).select("*", key), "links")
-    scored = posteriors(stored(vote(candidate_pairs(l, j)), "votes"), VOTES)
-    exact = F.lit(True)
-    for c in _TITLE:
-        exact = exact & (F.col(f"l_{c}") == F.col(f"r_{c}"))
-    # a brand that any job has, whatever its trade, is another employer's name and no slip
-    brands = j.select(F.substring_index("company_key", " ", 1).alias("brand")).distinct()
-    near = scored.filter("v_company = 0").select("l_company_key", "r_company_key", F.substring_index("l_company_key", " ", 1).alias("brand")).distinct().join(brands, "brand", "left_anti")
-    meant = near.groupBy("l_company_key").agg(F.min("r_company_key").alias("meant"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    scored = scored.join(meant, "l_company_key", "left")
-    exact = exact & ((F.col("l_company_key") == F.col("r_company_key")) | ((F.col("v_company") == 0) & F.col("meant").isNotNull()))
-    accepted = scored.filter((F.col("confidence") >= ACCEPT) & exact & (F.col("v_place") == 1) & (F.col("l_title_words") != "") & (F.col("l_company_key") != ""))
+    l = stored(opening_forms(asked, ["source", "source_id"], places, *found).select("*", key), "links")
+    accepted = scored_pairs(l, j).filter(F.col("confidence") >= ACCEPT)
     accepted = accepted.select(F.xxhash64(*[f"l_{c}" for c in OPENING]).alias("opening"), F.xxhash64(*[f"r_{c}" for c in OPENING]).alias("job_opening"), "confidence")
 
     # for each opening and source that asks: the best job without a link of that source. The askers of an opening are at most

@@ -1,14 +1,15 @@
 """Canonical forms of employer, title and place, however they are written.
 
 Misspelt words are put right with the corpus's own frequent words: a word that is rare beside a neighbour at edit
-distance 1 is taken for a slip of it. The list of title words is bounded by their share of all rows. Employers have
-a long tail, so their words count from LEAST_ROWS rows on, however many rows there are, and meet their neighbours in a join.
+distance 1 is taken for a slip of it. Words count from LEAST_ROWS rows on, however many rows there are; words and their
+neighbours meet in a join, and no list of words is ever on the driver. The counts that words are held against are a table of
+(w, count): an index that must find its own keys again stores it once and never counts anew.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -18,11 +19,9 @@ from quernwork.functions.text import fold, fold_py, source_key, words_only
 from quernwork.llm.places import PlaceResolver, _mojibake, edit_distance, place_rows, squeeze
 from quernwork.session import stored
 
-#: A word of a title counts as frequent from this share of all rows on; so the list holds at most words-per-row / share
-#: entries, whatever the number of rows. A word of a company counts from LEAST_ROWS rows on.
-TITLE_SHARE, LEAST_ROWS = 1e-3, 4
-MOST_WORDS = 200_000
-#: A frequent word gives way to a neighbour this many times as frequent.
+#: A word counts as known from so many rows on.
+LEAST_ROWS = 4
+#: A known word gives way to a neighbour this many times as frequent.
 OVERWHELMING = 40
 
 #: Short forms in titles and companies, legal forms, and what adverts add to a title.
@@ -49,44 +48,9 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(words_only(fold(c)), " "), lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]"))
 
 
-def frequent_words(frames: list[DataFrame], column: str, share: float) -> dict[str, int]:
-    """The words of a text column in at least `share` of all rows (and in LEAST_ROWS of them), with their counts. At most words-per-row / share words reach the driver."""
-    rows = frames[0].select(column)
-    for f in frames[1:]:
-        rows = rows.unionByName(f.select(column))
-    counts = rows.select(F.explode(_words(F.col(column))).alias("w")).groupBy("w").count()
-    total = rows.count()
-    out = counts.filter(F.col("count") >= max(LEAST_ROWS, share * total)).limit(MOST_WORDS + 1).collect()
-    if len(out) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} frequent words in {column}")
-    return {r.w: r["count"] for r in out}
-
-
-def _shorter(w: str) -> set[str]:
-    """A word and what is left of it without one letter; two words within edit distance 1 share one of these."""
-    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
-
-
-class Spelling:
-    """Words put right: a word outside the list becomes its most frequent neighbour; one in the list only where the neighbour is overwhelmingly more frequent."""
-
-    def __init__(self, counts: dict[str, int], least: int = 3) -> None:
-        self.counts, self.least = counts, least
-        self.top = max(counts.values(), default=0)
-        self.by_part: dict[str, list[str]] = {}
-        for w in counts:
-            for part in _shorter(w):
-                self.by_part.setdefault(part, []).append(w)
-        self.right = lru_cache(200_000)(self._right)
-
-    def _right(self, w: str) -> str:
-        n = self.counts.get(w, 1)
-        if len(w) < self.least or any(ch.isdigit() for ch in w) or (w in self.counts and n * OVERWHELMING > self.top):
-            return w
-        wanted = (OVERWHELMING if w in self.counts else 3) * n
-        near = {x for part in _shorter(w) for x in self.by_part.get(part, ()) if x != w and self.counts[x] >= wanted and edit_distance(w, x) == 1}
-        alike = {x for x in near if len(x) != len(w) or sorted(x) == sorted(w)}  # a lost, doubled or exchanged letter
-        return max(alike or near, key=lambda x: (self.counts[x], x), default=w)
+def word_counts(df: DataFrame, column: str) -> DataFrame:
+    """(w, count): the words of a text column in LEAST_ROWS rows or more."""
+    return df.select(F.explode(_words(F.col(column))).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_ROWS)
 
 
 class Corrections:
@@ -105,7 +69,7 @@ def company_words(s: str | None) -> list[str]:
     return re.findall(r"[a-z0-9&]+", t)
 
 
-def company_key(s: str | None, spelling: Spelling | Corrections) -> str:
+def company_key(s: str | None, spelling: Corrections) -> str:
     """Brand and trade of an employer, without article, numbered shell, legal form and what is added to a name."""
     words = company_words(s)
     words = [_COMPANY_SHORT.get(w, w) for w in (w if w in _KNOWN else spelling.right(w) for w in words)]
@@ -123,10 +87,11 @@ def _parts(w: str) -> Column:
 
 
 def corrections(counts: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
-    """(w, right): the words (w) that Spelling(counts, least) would change, and what it makes of them, with nothing on the driver.
+    """(w, right): the words (w) that are slips of a neighbour at distance 1, and that neighbour, the most frequent one; a lost, doubled or exchanged letter goes before a replaced one.
 
-    counts (w, count) may be of any size. Words meet at what is left of them without one letter, so a key has no more
-    words than one letter can be put in, whatever the number of rows.
+    A word that counts (w, count) doesn't have gives way to any known neighbour, one that it has only to a neighbour OVERWHELMING
+    times as frequent. Words of under `least` letters and such with digits stay. counts may be of any size: words meet at what is left of
+    them without one letter, so a key has no more words than one letter can be put in, whatever the number of rows.
     """
     asked = words.filter((F.length("w") >= least) & ~F.col("w").rlike("[0-9]")).distinct().join(counts, "w", "left")
     asked = asked.select("w", F.when(F.col("count").isNull(), 3).otherwise(F.col("count") * OVERWHELMING).alias("wanted"))
@@ -143,36 +108,51 @@ def corrections(counts: DataFrame, words: DataFrame, least: int = 4) -> DataFram
     return best.select("w", F.col("best.x").alias("right"))
 
 
-def misspelt_companies(jobs: DataFrame, others: list[DataFrame]) -> DataFrame:
-    """(_company, _right): the names among the `company` of all frames whose key a correction changes, and that key. The words of jobs are the reference."""
-    names = jobs.select("company")
-    for f in others:
-        names = names.unionByName(f.select("company"))
+def slips(frames: list[DataFrame], column: str, counts: DataFrame) -> DataFrame:
+    """(column, fixes array<struct<w, right>>): the values of a column (title or company) of all frames that have misspelt words, and what these become. counts: word_counts()."""
+    names = frames[0].select(column)
+    for f in frames[1:]:
+        names = names.unionByName(f.select(column))
+    words_of, least = _SPLIT[column]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(s, w) for s in b["company"] for w in dict.fromkeys(company_words(s)) if w not in _KNOWN], columns=["company", "w"])
+            yield pd.DataFrame([(s, w) for s in b["name"] for w in dict.fromkeys(words_of(s))], columns=["name", "w"])
+
+    used = stored(names.select(F.col(column).alias("name")).filter("name is not null").distinct().mapInPandas(split, "name string, w string"), f"{column}-words")
+    fixed = used.join(corrections(counts, used.select("w"), least), "w").groupBy("name").agg(F.collect_list(F.struct("w", "right")).alias("fixes"))
+    return fixed.withColumnRenamed("name", column)
+
+
+def with_fixes(df: DataFrame, titles: DataFrame | None, companies: DataFrame | None) -> DataFrame:
+    """df with title_fixes and company_fixes (null for values without a slip), from slips()."""
+    for column, found in (("title", titles), ("company", companies)):
+        named = f"{column}_fixes"
+        df = df.join(found.withColumnRenamed("fixes", named), column, "left") if found is not None else df.withColumn(named, F.lit(None).cast("array<struct<w: string, right: string>>"))
+    return df
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            right = [company_key(s, Corrections({f["w"]: f["right"] for f in x})) for s, x in zip(b["company"], b["fixes"], strict=True)]
-            yield pd.DataFrame({"_company": b["company"], "_right": right})
 
-    used = stored(names.filter("company is not null").distinct().mapInPandas(split, "company string, w string"), "company-words")
-    counts = jobs.select(F.explode(_words(F.col("company"))).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_ROWS)
-    fixed = used.join(corrections(stored(counts, "company-counts"), used.select("w")), "w").groupBy("company").agg(F.collect_list(F.struct("w", "right")).alias("fixes"))
-    return stored(fixed.mapInPandas(keys, "_company string, _right string"), "misspelt-companies")
+class Canonical:
+    """Canonical parts of one task: equal values are worked out once."""
 
+    def __init__(self, rows: list[tuple]) -> None:
+        resolver, none = PlaceResolver(rows), Corrections({})
+        self.place = lru_cache(200_000)(lambda a, b: place_key(resolver, a, b))
+        self._company = lru_cache(200_000)(lambda s: company_key(s, none))
+        self._title = lru_cache(200_000)(lambda s: title_parts(s, none))
 
-def put_right(forms: DataFrame, misspelt: DataFrame | dict) -> DataFrame:
-    """forms (_company, company_key, ...) with the keys of misspelt employers put right, without _company."""
-    if not isinstance(misspelt, DataFrame):
-        return forms.drop("_company")
-    cols = [F.coalesce("_right", "company_key").alias(c) if c == "company_key" else F.col(c) for c in forms.columns if c != "_company"]
-    return forms.join(misspelt, "_company", "left").select(cols)
+    def company(self, s: str | None, fixes: object) -> str:
+        return self._company(s) if fixes is None else company_key(s, _of(fixes))
 
+    def title(self, s: str | None, fixes: object) -> tuple[str, str, str, str]:
+        return self._title(s) if fixes is None else title_parts(s, _of(fixes))
 
-def title_parts(s: str | None, spelling: Spelling) -> tuple[str, str, str, str]:
+
+def _of(fixes: object) -> Corrections:
+    return Corrections({f["w"]: f["right"] for f in fixes})
+
+
+def title_parts(s: str | None, spelling: Corrections) -> tuple[str, str, str, str]:
     """(words of topic and role in alphabetical order, seniority, grade, client code) of a title."""
     t = fold_py(s)
     codes = sorted({m[1] for m in _CLIENT.finditer(t)})
@@ -190,6 +170,13 @@ def title_parts(s: str | None, spelling: Spelling) -> tuple[str, str, str, str]:
     return " ".join(sorted(w for w in words if w not in _SENIORITY)), " ".join(rank), " ".join(sorted(grades)), " ".join(codes)
 
 
+#: For each column of which slips are put right: its words that may be misspelt, and the fewest letters of one.
+_SPLIT: dict[str, tuple[Callable, int]] = {
+    "company": (lambda s: [w for w in company_words(s) if w not in _KNOWN], 4),
+    "title": (lambda s: [w for w in re.findall(r"[a-z0-9]+", fold_py(s)) if w not in _GRADES and w not in _TITLE_SHORT], 3),
+}
+
+
 def place_key(resolver: PlaceResolver, location: str | None, city: str | None) -> str:
     """The ids of the places that location (else city) names; where the list has none, the folded text of the entry; '' for blank ones."""
     ids = resolver.resolve(location, city) or (resolver.resolve(None, city) if city and city.strip() else [])
@@ -199,30 +186,28 @@ def place_key(resolver: PlaceResolver, location: str | None, city: str | None) -
     return "~" + k if (k := squeeze(_mojibake(entry or ""))) else ""
 
 
-def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, title_words: dict[str, int], misspelt: DataFrame) -> DataFrame:
+def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, titles: DataFrame | None, companies: DataFrame | None) -> DataFrame:
     """(keys..., company_key, title_words, seniority, grade, client, place_key) of rows with title, company, location and city.
 
-    Blank and null fields give ''. Equal values of a task are worked out once; misspelt (misspelt_companies()) is joined by the employer's name.
+    Blank and null fields give ''. titles and companies are slips() of the two columns, or None where nothing is put right.
     """
     rows = place_rows(places)
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", _company string, company_key string, title_words string, seniority string, grade string, client string, place_key string"
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", company_key string, title_words string, seniority string, grade string, client string, place_key string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver, ts, cs = PlaceResolver(rows), Spelling(title_words), Corrections({})
-        place = lru_cache(200_000)(lambda a, b: place_key(resolver, a, b))
-        company = lru_cache(200_000)(lambda s: company_key(s, cs))
-        title = lru_cache(200_000)(lambda s: title_parts(s, ts))
+        forms = Canonical(rows)
         for b in batches:
-            parts = [title(s) for s in b["_title"]]
-            out = b[[*keys, "_company"]].copy()
-            out["company_key"] = [company(s) for s in b["_company"]]
+            parts = [forms.title(s, f) for s, f in zip(b["_title"], b["_title_fixes"], strict=True)]
+            out = b[keys].copy()
+            out["company_key"] = [forms.company(s, f) for s, f in zip(b["_company"], b["_company_fixes"], strict=True)]
             for i, name in enumerate(("title_words", "seniority", "grade", "client")):
                 out[name] = [p[i] for p in parts]
-            out["place_key"] = [place(x, y) for x, y in zip(b["_location"], b["_city"], strict=True)]
+            out["place_key"] = [forms.place(x, y) for x, y in zip(b["_location"], b["_city"], strict=True)]
             yield out
 
-    spec = df.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("title", "company", "location", "city")])
-    return put_right(spec.mapInPandas(run, schema), misspelt)
+    fields = ("title", "company", "location", "city", "title_fixes", "company_fixes")
+    spec = with_fixes(df.select(*dict.fromkeys([*keys, "title", "company", "location", "city"])), titles, companies).select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
+    return spec.mapInPandas(run, schema)
 
 
 #: The parts that make one opening.
@@ -240,4 +225,4 @@ def raw_fields(links: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["OPENING", "RAW_SCHEMA", "Corrections", "Spelling", "company_key", "corrections", "frequent_words", "misspelt_companies", "opening_forms", "place_key", "put_right", "raw_fields", "source_key", "title_parts"]
+__all__ = ["OPENING", "RAW_SCHEMA", "Canonical", "Corrections", "company_key", "corrections", "opening_forms", "place_key", "raw_fields", "slips", "source_key", "title_parts", "with_fixes", "word_counts"]

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quernwork.llm import increment as I
 from quernwork.session import shared_dir
 
@@ -46,15 +48,39 @@ def test_repeats(spark):
         (9, "x", "9", *base, "", "TBD", "h9"),  # placeholders are no description
     ]
     posts = spark.createDataFrame([(*r, "clash") for r in rows], POST)
-    got = sorted(r[0] for r in I.repeats(posts, jobs, links, places, f"{shared_dir(spark)}/cells-1").collect())
-    assert got == [1, 3, 4, 6, 8]
+    for deliveries in (1, 3):  # where the deliveries end makes no difference
+        got = sorted(r[0] for r in I.repeats(posts, jobs, links, places, f"{shared_dir(spark)}/cells-1-{deliveries}", deliveries).collect())
+        assert got == [1, 3, 4, 6, 8]
     assert I.repeats(posts.limit(0), jobs, links, places, f"{shared_dir(spark)}/cells-2").count() == 0
     none = sorted(r[0] for r in I.repeats(posts, jobs.limit(0), links.limit(0), places.limit(0), f"{shared_dir(spark)}/cells-3").collect())
     assert 6 in none and 8 in none and 1 not in none
 
 
-def test_batches_equal_one_pass_and_brute_force(spark):
-    """Probing and appending batch by batch finds what one pass over all batches finds, and what comparing all pairs finds."""
+def test_a_stored_index_needs_no_source_table(spark):
+    """A later session checks a batch with the index alone, reads only the buckets that the batch falls into, and finds the same rows."""
+    places = spark.createDataFrame([(1, "Nordbury", "ON", "Ontario", None)], PLACES)
+    fields = "title string, company string, location string, city string, description string, content_hash string"
+    jobs = spark.createDataFrame([(f"j{n}", "Kiln Clerk", f"Brand{'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10]} Foods", "Nordbury", "", text(n), f"h{n}") for n in range(100)], "job_id string, " + fields)
+    links = spark.createDataFrame([("lever", f"b:{n}", None, None, None) for n in range(50)], "source string, source_id string, raw string, job_id string, first_seen timestamp_ntz")
+    post = lambda n, i, k, t: (n, "lever", i, "Kiln Clerk", f"Brand{k} Foods", "Nordbury", "", t, f"p{n}", "x")
+    posts = [post(1, "b:3", "zz", text(900)), post(2, "n:1", "ck", changed(text(2), 9)), post(3, "n:2", "zz", changed(text(900), 5)), post(4, "N:1 ", "xx", text(901))]
+    df = spark.createDataFrame(posts, POST)
+    path = f"{shared_dir(spark)}/cells-kept"
+    first = I.History.create(spark, path, places, jobs, links)
+    assert [r[0] for r in first.deliver(df.filter("ingest_seq = 1")).collect()] == [1]
+    later = I.History.open(spark, path, places, deliveries=2)
+    batch = df.filter("ingest_seq = 2")
+    cells = later.index.read("cells", "opening", later._points(batch.withColumnRenamed("ingest_seq", "ref")))
+    everything = spark.read.parquet(f"{path}/cells")
+    files = lambda d: d.select(F.input_file_name()).distinct().count()
+    assert files(cells) == 1 < files(everything)
+    assert "bucket" in cells._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+    assert [r[0] for r in later.deliver(batch).collect()] == [2]
+    assert sorted(r[0] for r in later.deliver(df.filter("ingest_seq > 2")).collect()) == [3, 4]
+
+
+def test_batches_equal_one_pass_and_brute_force(spark, monkeypatch):
+    """Probing and appending batch by batch finds what one pass over all batches finds, and what comparing all pairs finds; crowded cells lose nothing."""
     places = spark.createDataFrame([(1, "Nordbury", "ON", "Ontario", None)], PLACES)
     rnd = random.Random(2)
     rows = []
@@ -64,25 +90,42 @@ def test_batches_equal_one_pass_and_brute_force(spark):
             t = changed(t, rnd.randrange(40))
         rows.append((n, "Kiln Clerk", f"Foo{rnd.choice('ab')} Foods", "Nordbury", "", t))
     df = spark.createDataFrame(rows, "ref long, title string, company string, location string, city string, description string")
-    pts = I.points(df, places, {}, {})
-    whole = I.CellIndex(spark, f"{shared_dir(spark)}/cells-w")
-    whole.append(pts.limit(0))
-    near = whole.probe(I._distinct(pts))
-    one = {r.ref for r in pts.join(near, ["opening", "text_hash"]).filter("first < ref").collect()}
-    step = I.CellIndex(spark, f"{shared_dir(spark)}/cells-s")
-    step.append(pts.limit(0))
-    found = set()
-    for k in range(3):
-        batch = pts.filter(f"ref between {40 * k} and {40 * k + 39}")
-        hit = step.probe(I._distinct(batch))
-        found |= {r.ref for r in batch.join(hit, ["opening", "text_hash"]).filter("first < ref").collect()}
-        step.append(batch)
+    pts = I.points(df, places)
     brute = set()
     sh = [(r[2], I.shingles_of(I.words_of(r[5]))) for r in rows]
     for i, (c, s) in enumerate(sh):
         if any(c == d and len(s & t) >= I.SIMILAR * len(s | t) for d, t in sh[:i]):
             brute.add(i)
-    assert one == found == brute
+    for crowded in (64, 3):
+        monkeypatch.setattr(I, "CROWDED", crowded)
+        near = I.CellIndex(spark, f"{shared_dir(spark)}/cells-w{crowded}").probe(I._distinct(pts))
+        assert {r.ref for r in pts.join(near, ["opening", "text_hash"]).filter("first < ref").collect()} == brute
+        step = I.CellIndex(spark, f"{shared_dir(spark)}/cells-s{crowded}", 8)
+        found = set()
+        for k in range(3):
+            batch = I._distinct(pts.filter(f"ref between {40 * k} and {40 * k + 39}"))
+            hit = step.probe(batch)
+            found |= {r.ref for r in pts.filter(f"ref between {40 * k} and {40 * k + 39}").join(hit, ["opening", "text_hash"]).filter("first < ref").collect()}
+            step.append(batch)
+        assert found == brute
+
+
+def test_similar_sets_share_a_prefix():
+    rnd = random.Random(5)
+    for _ in range(300):
+        a = [rnd.choice("abcdefgh") + str(rnd.randrange(30)) for _ in range(rnd.randrange(5, 80))]
+        b = list(a)
+        for _ in range(rnd.randrange(3)):
+            b[rnd.randrange(len(b))] = "q" + str(rnd.randrange(99))
+        sa, sb = I.shingles_of(a), I.shingles_of(b)
+        ha, hb = I.shingle_hashes(a), I.shingle_hashes(b)
+        assert len(ha) == len(sa) and len(set(ha) & set(hb)) == len(sa & sb)
+        if len(sa & sb) >= I.SIMILAR * len(sa | sb):
+            assert set(I.prefix_of(ha)) & set(I.prefix_of(hb))
+
+
+def test_long_tags_are_markup():
+    assert I.words_of(f"<a title='{'x ' * 200}'>one</a> 3 < 4 and 5 > 2") == ["one", "3", "4", "and", "5", "2"]
 
 
 def test_reach_is_a_bound():
