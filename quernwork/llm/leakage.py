@@ -12,7 +12,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quernwork.functions.text import fold_py
 from quernwork.session import bounded_rows, stored, table
 
-#: So many evaluation items may be given at once (they and their terms travel to all tasks); more are checked in several calls.
+#: So many evaluation items are searched at once (they and their phrases travel to all tasks); more are searched one part after the other.
 MOST_ITEMS = 20_000
 _CJK = r"[぀-ヿ㐀-䶿一-鿿豈-﫿]"
 
@@ -57,66 +57,76 @@ def terms_of(text: str | None, unit: Unit) -> list[str]:
     return re.findall(r"[^\W_]+" if unit.name == "word" else r"[^\W_]", fold_py(text))
 
 
-def build_index(docs: DataFrame, unit: Unit, vocabulary: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional inverted index, stored in the shared folder, sharded by document: each row holds for a batch of documents the places of every term (of all terms, or of a bounded vocabulary).
+def build_index(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional inverted index of all terms, stored in the shared folder, sharded by document: each row holds for a batch of documents the places of every term.
 
-    One pass without a shuffle. Null and blank texts have no postings.
+    One pass without a shuffle; any number of item sets can be searched in it. Null and blank texts have no postings.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, bases, at, lists = [], [], 0, defaultdict(list)
+            ids, bases, at, flat, place = [], [], 0, [], []
             for i, t in zip(b["id"], b["text"], strict=True):
                 ts = terms_of(t, unit)
                 if not ts:
                     continue
                 ids.append(i)
                 bases.append(at)
-                for k, w in enumerate(ts, at):
-                    if vocabulary is None or w in vocabulary:
-                        lists[w].append(k)
+                flat += ts
+                place.append(np.arange(at, at + len(ts), dtype=np.int32))
                 at += len(ts) + GAP
-            names = list(lists)
-            starts = np.cumsum([0, *(len(lists[w]) for w in names)]).tolist()
-            yield pd.DataFrame({"docs": [ids], "bases": [bases], "terms": [names], "starts": [starts], "places": [[p for w in names for p in lists[w]]]})
+            if not ids:
+                continue
+            codes, names = pd.factorize(np.array(flat, dtype=object))
+            order = np.argsort(codes, kind="stable")
+            starts = np.concatenate([[0], np.cumsum(np.bincount(codes))]).astype(np.int32)
+            yield pd.DataFrame({"docs": [ids], "bases": [bases], "terms": [names.tolist()], "starts": [starts], "places": [np.concatenate(place)[order]]})
 
     spec = docs.filter(unit.holds(F.col(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return stored(spec.mapInPandas(invert, _SHARD % kind), f"postings-{unit.name}")
 
 
-def term_counts(index: DataFrame) -> DataFrame:
-    """(term, n): postings of every term in all shards."""
-    ends = F.arrays_zip("terms", F.slice("starts", 2, F.size("terms")).alias("b"), F.slice("starts", 1, F.size("terms")).alias("a"))
-    return index.select(F.explode(ends).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum(F.col("x.b") - F.col("x.a")).alias("n"))
+def term_counts(index: DataFrame, terms: set[str]) -> DataFrame:
+    """(term, n): postings of the given terms (a bounded set) in all shards."""
+    wanted = F.broadcast(index.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string"))
+    ends = F.arrays_zip(F.col("terms").alias("term"), F.slice("starts", 2, F.size("terms")).alias("b"), F.slice("starts", 1, F.size("terms")).alias("a"))
+    return index.select(F.explode(ends).alias("x")).select("x.*").join(wanted, "term").groupBy("term").agg(F.sum(F.col("b") - F.col("a")).alias("n"))
 
 
 def phrase_hits(index: DataFrame, seeds: list[tuple], id_type: str, item_type: str) -> DataFrame:
-    """(doc_id, item_id) of documents with a whole phrase. seeds: (item, terms rarest first, their offsets from the rarest). Lists are intersected from the rarest term at adjusted offsets; equal phrases of several items are intersected once."""
+    """(doc_id, item_id) of documents with a whole phrase. seeds: (item, terms rarest first, their offsets from the rarest).
+
+    Lists are intersected from the rarest term at adjusted offsets, and only phrases are looked at whose rarest term a shard
+    has; equal phrases of several items are intersected once. The phrases travel once to every executor.
+    """
     by_phrase: dict[tuple, set] = defaultdict(set)
     for item, terms, offsets in seeds:
         by_phrase[terms, offsets].add(item)
+    by_rarest: dict[str, list] = defaultdict(list)
+    for (terms, offsets), items in by_phrase.items():
+        by_rarest[terms[0]].append((terms[1:], offsets[1:], items))
+    sent = index.sparkSession.sparkContext.broadcast((dict(by_rarest), frozenset(t for terms, _ in by_phrase for t in terms)))
 
     def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrases, known = sent.value
         for b in batches:
             out = set()
             for row in b.itertuples(index=False):
                 bases, starts, places = np.asarray(row.bases), row.starts, np.asarray(row.places)
-                lists = {t: places[starts[k] : starts[k + 1]] for k, t in enumerate(row.terms)}
-                for (terms, offsets), items in by_phrase.items():
-                    at = lists.get(terms[0])
-                    if at is None:
-                        continue
-                    for t, off in zip(terms[1:], offsets[1:], strict=True):
-                        other = lists.get(t)
-                        if other is None:
-                            at = at[:0]
-                        else:
-                            k = np.searchsorted(other, at + off)
-                            at = at[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] == at + off)]
-                        if not len(at):
-                            break
-                    if len(at):
+                lists = {t: places[starts[k] : starts[k + 1]] for k, t in enumerate(row.terms) if t in known}
+                for rarest, first in lists.items():
+                    for terms, offsets, items in phrases.get(rarest, ()):
+                        at = first
+                        for t, off in zip(terms, offsets, strict=True):
+                            other = lists.get(t)
+                            if other is None:
+                                at = at[:0]
+                            else:
+                                k = np.searchsorted(other, at + off)
+                                at = at[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] == at + off)]
+                            if not len(at):
+                                break
                         for d in set((np.searchsorted(bases, at, side="right") - 1).tolist()):
                             out |= {(row.docs[d], item) for item in items}
             yield pd.DataFrame(sorted(out, key=str), columns=["doc_id", "item_id"])
@@ -150,22 +160,34 @@ def _runs(item: list[str], doc: list[str], unit: Unit) -> bool:
     return False
 
 
-def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id): documents that contain at least unit.passage running terms of an item, at most one word of them changed, added or left out.
 
-    items (item_id, text): a bounded table. Only postings of the items' terms are kept, in an index sharded by document; phrases are
-    intersected from their rarest term within each shard, and only documents with a whole phrase are aligned. No postings are shuffled. Items shorter than a passage, null and blank texts give nothing; repeated items and
+    items (item_id, text) may be of any number: MOST_ITEMS of them are searched at a time, all in the one index of all terms
+    (build_index(), made here unless it is given). Phrases are intersected from their rarest term within each shard, and only documents
+    with a whole phrase are aligned. No postings are shuffled. Items shorter than a passage, null and blank texts give nothing; repeated items and
     documents give each pair once; ties in rarity are broken by the term.
     """
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    rows = bounded_rows(items.select("item_id", "text").filter("text is not null").distinct(), MOST_ITEMS, "the evaluation items")
+    usable = items.select("item_id", "text").filter("text is not null").distinct()
+    empty = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {dict(items.dtypes)['item_id']}")
+    groups = max(1, -(-usable.count() // MOST_ITEMS))
+    if index is None and usable.head(1):
+        index = build_index(docs, unit, id_col, text_col)
+    # groups by hash are uneven: twice the mean bounds them
+    parts = [usable] if groups == 1 else [usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * groups)) == g) for g in range(2 * groups)]
+    found = [x for p in parts if (x := _search(docs, index, p, unit, id_col, text_col, empty)) is not None]
+    return reduce(DataFrame.unionByName, found, empty).distinct() if found else empty
+
+
+def _search(docs: DataFrame, index: DataFrame, items: DataFrame, unit: Unit, id_col: str, text_col: str, empty: DataFrame) -> DataFrame | None:
+    """leaks() of a bounded number of items."""
+    kind = dict(docs.dtypes)[id_col]
+    rows = bounded_rows(items, MOST_ITEMS, "the evaluation items")
     known = {(r.item_id, ts) for r in rows if len(ts := tuple(terms_of(r.text, unit))) >= unit.passage}
-    empty = spark.createDataFrame([], f"doc_id {kind}, item_id {dict(items.dtypes)['item_id']}")
     if not known:
-        return empty
-    index = build_index(docs, unit, frozenset(t for _, ts in known for t in ts), id_col, text_col)
-    counts = {r.term: r.n for r in term_counts(index).collect()}  # at most the items' terms
+        return None
+    counts = {r.term: r.n for r in term_counts(index, {t for _, ts in known for t in ts}).collect()}  # at most the items' terms
     seeds = set()
     for item, terms in known:
         for i in range(len(terms) - unit.seed + 1):
@@ -174,20 +196,21 @@ def leaks(docs: DataFrame, items: DataFrame, unit: Unit, id_col: str = "doc_id",
                 order = sorted(range(unit.seed), key=lambda k: (counts[window[k]], window[k], k))
                 seeds.add((item, tuple(window[k] for k in order), tuple(k - order[0] for k in order)))
     if not seeds:
-        return empty
+        return None
     pairs = phrase_hits(index, sorted(seeds), kind, dict(items.dtypes)["item_id"]).distinct()
 
     by_id: dict = {}
     for item, terms in known:
         by_id.setdefault(item, []).append(list(terms))
+    sent = docs.sparkSession.sparkContext.broadcast(by_id)
 
-    def check(batches: Iterator[pd.DataFrame], by_id: dict) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [any(_runs(item, terms_of(t, unit), unit) for item in by_id[i]) for i, t in zip(b["item_id"], b["text"], strict=True)]
+            keep = [any(_runs(item, terms_of(t, unit), unit) for item in sent.value[i]) for i, t in zip(b["item_id"], b["text"], strict=True)]
             yield b.loc[keep, ["doc_id", "item_id"]]
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(pairs, "doc_id").mapInPandas(partial(check, by_id=by_id), empty.schema).distinct()
+    return texts.join(pairs, "doc_id").mapInPandas(check, empty.schema)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

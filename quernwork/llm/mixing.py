@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernwork.functions.text import source_key
-from quernwork.session import bounded_rows, table
+from quernwork.session import bounded_rows, stored, table
 
 #: A folder with the public tokenizers' files, and the one that sizes are counted with.
 TOKENIZERS = os.environ.get("QUERNWORK_TOKENIZERS", "/opt/tokenizers")
@@ -43,22 +43,16 @@ def token_counts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     return df.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
+def _pmf(rate: float, most: int) -> np.ndarray:
+    """Poisson probabilities of 0, 1, ... most - 1, by their logarithms, so that no rate is too large."""
+    k = np.arange(most, dtype=float)
+    return np.exp(k * math.log(rate) - rate - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])) if rate > 0 and most else (k == 0).astype(float)
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """The mean of min(K, cap) for K Poisson with this rate."""
-    p, total = math.exp(-rate), 0.0
-    for k in range(cap):
-        total += k * p if k else 0.0
-        p = p * rate / (k + 1)
-    below = sum(_pmf(rate, cap))
-    return total + cap * max(0.0, 1 - below)
-
-
-def _pmf(rate: float, most: int) -> list[float]:
-    out, p = [], math.exp(-rate)
-    for k in range(most):
-        out.append(p)
-        p = p * rate / (k + 1)
-    return out
+    p = _pmf(rate, cap)
+    return float(np.arange(cap) @ p + cap * max(0.0, 1 - p.sum()))
 
 
 def rate_for(mean: float, cap: int) -> float:
@@ -67,17 +61,30 @@ def rate_for(mean: float, cap: int) -> float:
         return 0.0
     if mean >= cap:
         return math.inf
-    lo, hi = 0.0, 1.0
-    while capped_mean(hi, cap) < mean:
-        hi *= 2
-        if hi > 600:
-            return math.inf
-    for _ in range(80):
+    lo, hi = 0.0, max(1.0, mean)
+    while capped_mean(hi, cap) < mean and hi < 2.0**60:
+        lo, hi = hi, hi * 2
+    for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if capped_mean(mid, cap) < mean else (lo, mid)
     return (lo + hi) / 2
 
 
+def reachable(wanted: dict[str, float], most: dict[str, float]) -> dict[str, float]:
+    """Sizes in proportion to what is wanted, none above its most: what the sources at their cap leave over goes to the others by their weights."""
+    out, free, total = {}, dict(wanted), sum(wanted.values())
+    while free:
+        weight = sum(free.values())
+        full = {k for k in free if most[k] <= total * free[k] / weight} if weight else set(free)
+        if not full:
+            return out | {k: total * w / weight for k, w in free.items()}
+        for k in full:
+            out[k] = min(most[k], total)
+            total -= out[k]
+            del free[k]
+    return out
+
+
 def _uniform(seed: int, *cols: Column | str) -> Column:
     """A number in [0, 1) hashed from the seed and the columns."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**40)) / float(2**40)
@@ -103,9 +110,10 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None =
         wanted = total * r.weight / weights if weights else 0.0
         mean = min(wanted / tokens, float(r.max_repeats)) if tokens else 0.0
         rate = rate_for(mean, r.max_repeats)
-        steps = [1.0] * r.max_repeats if rate == 0 else [0.0] * r.max_repeats if math.isinf(rate) else [float(x) for x in np.cumsum(_pmf(rate, r.max_repeats))]
+        steps = [1.0] * r.max_repeats if rate == 0 else [0.0] * r.max_repeats if math.isinf(rate) else np.cumsum(_pmf(rate, r.max_repeats)).tolist()
         out.append({"key": r.key, "source": r.source, "share": r.weight / weights, "max_repeats": r.max_repeats, "tokens": int(tokens), "documents": int(documents), "wanted": wanted, "mean": mean, "steps": steps})
-    return out
+    filled = reachable({p["source"]: p["wanted"] for p in out}, {p["source"]: float(p["tokens"] * p["max_repeats"]) for p in out})
+    return [p | {"reachable": filled[p["source"]]} for p in out]
 
 
 def repeats(sizes: DataFrame, plan: list[dict], seed: int) -> DataFrame:
@@ -123,20 +131,26 @@ def mixture(sizes: DataFrame, plan: list[dict], seed: int = 1) -> DataFrame:
     return copies.withColumn("position", F.xxhash64(F.lit(seed + 1), "doc_id", "copy")).orderBy("position")
 
 
-def shares(sizes: DataFrame, plan: list[dict], seed: int = 1) -> DataFrame:
-    """One row per target source: target and achieved share, tokens at hand, wanted and achieved, shortfall, and the largest number of uses. Shares refer to the planned and to the achieved total."""
-    spark = sizes.sparkSession
-    used = repeats(sizes, plan, seed).groupBy(source_key("source").alias("_key")).agg(
-        F.sum(F.col("tokens") * F.col("times")).alias("used"), F.count_if(F.col("times") > 0).alias("documents_used"), F.max("times").alias("most_uses")
-    )
-    rows = [(p["key"], p["source"], p["share"], p["max_repeats"], p["documents"], p["tokens"], p["wanted"], p["mean"]) for p in plan]
-    known = spark.createDataFrame(rows, "_key string, source string, target_share double, max_repeats int, documents bigint, tokens bigint, wanted_tokens double, mean_repeats double")
-    out = known.join(F.broadcast(used), "_key", "left").withColumn("used_tokens", F.coalesce("used", F.lit(0)).cast("bigint"))
-    total = out.agg(F.sum("used_tokens").alias("_total"))
-    return out.crossJoin(F.broadcast(total)).select(
+def shares(mixed: DataFrame, plan: list[dict]) -> DataFrame:
+    """One row per target source, counted in the mixture itself (of mixture()): target share, share reached, and the share reachable where what capped sources leave over goes to the others; tokens at hand, wanted and used, shortfall, and the largest number of uses.
+
+    Target shares refer to the planned total, reached ones to the mixture's, reachable ones to the total under the caps.
+    """
+    spark = mixed.sparkSession
+    # a document's copies first, so that a source's sums need only one row a document
+    each = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("times"))
+    used = each.groupBy(source_key("source").alias("_key")).agg(F.sum("tokens").alias("used"), F.count("*").alias("documents_used"), F.max("times").cast("int").alias("most_uses"))
+    total = sum(p["reachable"] for p in plan)
+    rows = [(p["key"], p["source"], p["share"], p["reachable"] / total if total else 0.0, p["max_repeats"], p["documents"], p["tokens"], p["wanted"], p["mean"]) for p in plan]
+    known = spark.createDataFrame(rows, "_key string, source string, target_share double, reachable double, max_repeats int, documents bigint, tokens bigint, wanted_tokens double, mean_repeats double")
+    # the listed sources only: a row for each target
+    out = known.join(used, "_key", "left").withColumn("used_tokens", F.coalesce("used", F.lit(0)).cast("bigint"))
+    whole = out.agg(F.sum("used_tokens").alias("_total"))
+    return out.crossJoin(F.broadcast(whole)).select(
         "source",
         F.round("target_share", 6).alias("target_share"),
         F.round(F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0), 6).alias("achieved_share"),
+        F.round("reachable", 6).alias("reachable_share"),
         "max_repeats", "documents", "tokens",
         F.round("wanted_tokens").cast("bigint").alias("wanted_tokens"),
         "used_tokens",
@@ -147,22 +161,21 @@ def shares(sizes: DataFrame, plan: list[dict], seed: int = 1) -> DataFrame:
     )
 
 
-def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernwork.session import stored
-
-    return stored(token_counts(table(spark, sf_dir, "documents")), "token-counts")
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    sizes = stored(token_counts(table(spark, sf_dir, "documents")), "token-counts")
+    plan = plan_mix(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixture(sizes, plan), plan
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The achieved shares of the mixture of documents to the weights of mix_targets, shortfalls included."""
-    sizes = _sizes(spark, sf_dir)
-    return shares(sizes, plan_mix(sizes, table(spark, sf_dir, "mix_targets")))
+    """The achieved shares of the mixture of documents to the weights of mix_targets, shortfalls included; the mixture is written and then counted."""
+    mixed, plan = _mixed(spark, sf_dir)
+    return shares(stored(mixed, "mixture"), plan)
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture itself in its global order."""
-    sizes = _sizes(spark, sf_dir)
-    return mixture(sizes, plan_mix(sizes, table(spark, sf_dir, "mix_targets")))
+    return _mixed(spark, sf_dir)[0]
 
 
 QUERIES = {"p8_shares": p8_shares, "p8_mixture": p8_mixture}

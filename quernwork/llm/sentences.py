@@ -15,13 +15,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernwork.session import table
 
-#: Terminators. "." and the ellipsis are ambiguous; the others always end a sentence unless a lower-case letter or a speech tag follows a closing quote.
-STRONG = "!?。！？।॥؟۔｡︒‼⁇⁈⁉‽።፧፨᙮។៕༎။᠃᠉꘎꘏𑁇𑁈꩝꩞꩟꫰꫱⸮"
-DOTS = ".．․…"
+#: Terminators without the standard's property: full-width, double and stylistic forms.
+_MORE = "？！｡︒‽⸮༎꘏"
+#: The standard's sentence terminators of all scripts (Sentence_Terminal) and the ones above. "." and the ellipsis are ambiguous (DOTS); the others always end a sentence unless a lower-case letter or a speech tag follows a closing quote.
+_TERMINAL = regex.compile(r"\p{Sentence_Terminal}")
+STRONG = "".join(dict.fromkeys([*(c for c in map(chr, range(0x20000)) if c not in ".．․…﹒" and _TERMINAL.match(c)), *_MORE]))
+DOTS = ".．․…﹒"
 _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "‹": "›", "“": "”", "„": "“", "‚": "‘", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "‘": "’", "［": "］", "〔": "〕"}
 _CLOSERS = frozenset(_OPEN.values()) | {'"', "'", "＂"}
 _QUOTES = frozenset("«»‹›“”„‚‘’「」『』\"'")

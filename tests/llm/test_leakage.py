@@ -57,3 +57,14 @@ def test_characters(spark):
     docs = spark.createDataFrame([(1, "前文。" + item[6:34].replace("、", "") + "後文"), (2, item[6:20]), (3, "english only " * 10)], "doc_id long, text string")
     its = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert [tuple(r) for r in K.leaks(docs, its, K.CHARS).collect()] == [(1, 5)]
+
+
+def test_items_in_several_parts(spark, monkeypatch):
+    """More items than are searched at once find the same, in one index."""
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(500)}" for _ in range(30)) for _ in range(20)]
+    docs = spark.createDataFrame([(n, f"before {t} behind") for n, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    monkeypatch.setattr(K, "MOST_ITEMS", 12)
+    index = K.build_index(docs, K.WORDS)
+    assert sorted(tuple(r) for r in K.leaks(docs, items, K.WORDS, index=index).collect()) == [(n, n) for n in range(20)]

@@ -63,3 +63,14 @@ def test_long_quotations_and_late_scripts():
     assert language(None, head + "Ο φούρνος είναι ζεστός. " * 10) == "el" and language("xx", head + "Печь горячая. " * 10) == "ru"
     assert language(None, "Zyx qwv. " * 300 + "Der Ofen ist nicht warm und das Lager ist voll. " * 9) == "de"
     assert language(None, "The gap of the dryer is 5 μm and the rest is to be set by you. " * 3) == "en"
+
+
+def test_terminators_of_all_scripts():
+    """Every character with the standard's property ends a sentence."""
+    import regex
+
+    from quernwork.llm.sentences import DOTS, STRONG
+
+    assert all(c in STRONG + DOTS for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Terminal}", c))
+    for stop in "։܀߹၊꧈᱾᰻꯫᥄﹖﹗":
+        assert len(sentence_spans(f"Абв где{stop} Жзи кл{stop}", None)) == 2
