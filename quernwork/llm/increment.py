@@ -178,7 +178,7 @@ class CellIndex:
         if not self.parts:
             return self.spark.createDataFrame([], _TABLES[name])
         held = self.spark.read.schema(f"{_TABLES[name]}, delivery int, bucket int").parquet(f"{self.path}/{name}")
-        return held.filter(F.col("bucket").isin(wanted)).drop("delivery", "bucket")
+        return held.filter(F.col("bucket").isin(wanted) & (F.col("delivery") < self.parts)).drop("delivery", "bucket")
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(opening, text_hash, first): for each distinct point of a batch (of _distinct) the smallest ref among its near duplicates in the index and in the batch itself.
