@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernwork.functions.text import fold_py, source_key
-from quernwork.llm.openings import Canonical, raw_fields, slips, with_fixes, word_counts
+from quernwork.llm.openings import MOST_BROADCAST, Canonical, raw_fields, slips, with_fixes, word_counts
 from quernwork.llm.places import place_rows
 from quernwork.session import bounded_rows, shared_dir, stored, table
 
@@ -35,8 +35,8 @@ from quernwork.session import bounded_rows, shared_dir, stored, table
 SHINGLE, SIMILAR, DIM, RING = 5, 0.8, 64, 1.25
 #: Descriptions of fewer words (placeholders among them) are no description.
 LEAST_WORDS = 5
-#: Buckets of the stored tables (an index keeps the number it was made with), and the points from which a cell is crowded.
-BUCKETS, CROWDED = 16, 64
+#: Buckets of the stored tables (an index keeps the number it was made with), the tasks that write one, and the points from which a cell is crowded.
+BUCKETS, SPREAD, CROWDED = 16, 4, 64
 #: p6_found delivers the postings in so many parts, in the order of their arrival; each is probed, then appended.
 DELIVERIES = 2
 
@@ -90,12 +90,13 @@ def reach(words):
     return (1 - SIMILAR) / SIMILAR * words + 2 * (SHINGLE - 1)
 
 
-def points(df: DataFrame, places: DataFrame, titles: DataFrame | None = None, companies: DataFrame | None = None) -> DataFrame:
+def points(df: DataFrame, places: DataFrame, found: DataFrame | None = None, once: bool = False) -> DataFrame:
     """(ref, opening, text_hash, size, norm, ring, prefix, vector, packed) of rows (ref, title, company, location, city, description).
 
     Rows whose employer, title, place or description is blank, or whose description has fewer than LEAST_WORDS words, name no
-    opening with a description and give no point. titles and companies: slips() of the two columns, or None. Counts of a
-    vector end at 255, which can only bring two vectors nearer, so the bound stays one.
+    opening with a description and give no point. found: slips() of the rows, or None. Counts of a
+    vector end at 255, which can only bring two vectors nearer, so the bound stays one. once: copies within a batch of rows are left out,
+    where all rows have the same ref.
     """
     rows = place_rows(places)
 
@@ -103,7 +104,7 @@ def points(df: DataFrame, places: DataFrame, titles: DataFrame | None = None, co
         forms = Canonical(rows)
         slot = lru_cache(200_000)(lambda w: zlib.crc32(w.encode()) % DIM)
         for b in batches:
-            out = []
+            out, met = [], set()
             for ref, t, tf, c, cf, l, y, d in zip(b["ref"], b["title"], b["title_fixes"], b["company"], b["company_fixes"], b["location"], b["city"], b["description"], strict=True):
                 ws = words_of(d)
                 if len(ws) < LEAST_WORDS or not (ck := forms.company(c, cf)) or not (tp := forms.title(t, tf))[0] or not (pk := forms.place(l, y)):
@@ -111,6 +112,10 @@ def points(df: DataFrame, places: DataFrame, titles: DataFrame | None = None, co
                 distinct = set(ws)
                 v = np.minimum(np.bincount([slot(w) for w in distinct], minlength=DIM), 255).astype("u1")
                 text = " ".join(ws).encode()
+                if once:
+                    if (key := (ck, tp, pk, text)) in met:
+                        continue
+                    met.add(key)
                 prefix = prefix_of(shingle_hashes(ws)).view(np.int64)
                 out.append((ref, ck, "|".join((*tp, pk)), _hash(text), len(ws), len(distinct), ring_of(len(distinct)), prefix, v.tobytes(), zlib.compress(text, 1)))
             yield pd.DataFrame(out, columns=["ref", "company_key", "rest", "text_hash", "size", "norm", "ring", "prefix", "vector", "packed"])
@@ -118,7 +123,7 @@ def points(df: DataFrame, places: DataFrame, titles: DataFrame | None = None, co
     spec = df.select("ref", "title", "company", "location", "city", "description").filter("description is not null and title is not null and company is not null")
     # 60 bits of a digest name an opening
     opening = F.conv(F.substring(F.sha1(F.concat_ws("|", "company_key", "rest")), 1, 15), 16, 10).cast("bigint")
-    return with_fixes(spec, titles, companies).mapInPandas(run, _POINT).select("ref", opening.alias("opening"), "text_hash", "size", "norm", "ring", "prefix", "vector", "packed")
+    return with_fixes(spec, found).mapInPandas(run, _POINT).select("ref", opening.alias("opening"), "text_hash", "size", "norm", "ring", "prefix", "vector", "packed")
 
 
 def _hash(b: bytes) -> int:
@@ -160,25 +165,30 @@ class CellIndex:
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def _write(self, df: DataFrame, name: str, key: str) -> None:
-        # rebalancing gives a bucket to one task, and a hot one to several
-        spread = self.spark.sql("select /*+ rebalance(bucket) */ * from {df}", df=df.withColumn("bucket", self._bucket(key)))
-        spread.sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/delivery={self.parts}")
-
     def append(self, pts: DataFrame, keys: DataFrame | None = None) -> None:
-        """Adds a delivery: points (of _distinct) to the cells, keys (key, first) to the keys. Earlier deliveries aren't touched."""
-        self._write(pts.select("opening", "ring", "text_hash", "first", "size", "norm", "prefix", "vector", "packed"), "cells", "opening")
+        """Adds a delivery: points to the cells, keys (key, ref) to the keys, exact copies as one with the smallest ref. Earlier deliveries aren't touched.
+
+        One shuffle brings a bucket to SPREAD tasks, a hot opening's texts to different ones, and rows are combined where they arrive.
+        """
+        part = F.pmod(F.col("text_hash"), F.lit(SPREAD))
+        cells = pts.withColumns({"bucket": self._bucket("opening"), "_part": part}).repartition("bucket", "_part")
+        columns = [F.min("ref").alias("first"), *[F.any_value(c).alias(c) for c in ("ring", "size", "norm", "prefix", "vector", "packed")]]
+        cells = cells.groupBy("bucket", "_part", "opening", "text_hash").agg(*columns).drop("_part")
+        cells.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/cells/delivery={self.parts}")
         if keys is not None:
-            self._write(keys, "keys", "key")
+            first = keys.withColumn("bucket", self._bucket("key")).groupBy("bucket", "key").agg(F.min("ref").alias("first")).repartition("bucket")
+            first.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/keys/delivery={self.parts}")
         self.parts += 1
 
     def read(self, name: str, key: str, asked: DataFrame) -> DataFrame:
-        """The buckets of a table that the keys of `asked` fall into; the scan skips all others by their folders."""
+        """The rows of a table with one of the keys `asked` (distinct). The scan skips all buckets but theirs by their folders; of these only the rows asked for go on,
+        met where they are read if the keys are at most MOST_BROADCAST, by a shuffle if they are more."""
         wanted = [r.bucket for r in bounded_rows(asked.select(self._bucket(key).alias("bucket")).distinct(), self.buckets, "the buckets")]
         if not self.parts:
             return self.spark.createDataFrame([], _TABLES[name])
         held = self.spark.read.schema(f"{_TABLES[name]}, delivery int, bucket int").parquet(f"{self.path}/{name}")
-        return held.filter(F.col("bucket").isin(wanted) & (F.col("delivery") < self.parts)).drop("delivery", "bucket")
+        few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        return held.filter(F.col("bucket").isin(wanted) & (F.col("delivery") < self.parts)).drop("delivery", "bucket").join(F.broadcast(asked) if few else asked, key, "left_semi")
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(opening, text_hash, first): for each distinct point of a batch (of _distinct) the smallest ref among its near duplicates in the index and in the batch itself.
@@ -186,7 +196,7 @@ class CellIndex:
         Cells are met by an equality join on opening and ring (and, in crowded cells, a shingle of the prefix); vectors bound the distance; only
         pairs within the bound are given their texts and reranked exactly. Equal texts need neither vectors nor texts.
         """
-        held = self.read("cells", "opening", batch)
+        held = self.read("cells", "opening", batch.select("opening").distinct())
         held = held.unionByName(batch.select(held.columns))
         cells, texts = held.drop("packed"), held.select("opening", "text_hash", "packed")
         crowd = cells.groupBy("opening", "ring").agg((F.count("*") > CROWDED).alias("crowded")).filter("crowded")
@@ -267,12 +277,11 @@ class History:
     def create(cls, spark: SparkSession, path: str, places: DataFrame, jobs: DataFrame, links: DataFrame, buckets: int = BUCKETS) -> History:
         """An index of jobs (title, company, location, city, description, content_hash) and links (source, source_id, raw). The words of jobs are the spellings that later ones are held against."""
         out = cls(spark, path, places, buckets)
-        for column in ("title", "company"):
-            word_counts(jobs, column).write.mode("overwrite").parquet(f"{path}/words-{column}")
+        word_counts(jobs).write.mode("overwrite").parquet(f"{path}/words")
         old = F.lit(-1).cast("bigint")
         records = jobs.select(old.alias("ref"), *_FIELDS).unionByName(raw_fields(links.filter("raw is not null")).select(old.alias("ref"), *_FIELDS))
         keys = keys_of(jobs, old, content_hash="content_hash").unionByName(keys_of(links, old, "source", "source_id"))
-        out.index.append(_distinct(out._points(records)), _first(keys))
+        out.index.append(out._points(records, once=True), keys)
         return out
 
     @classmethod
@@ -282,12 +291,9 @@ class History:
         out.index.parts = deliveries
         return out
 
-    def _points(self, records: DataFrame) -> DataFrame:
-        found = []
-        for column in ("title", "company"):
-            counts = self.spark.read.schema("w string, count bigint").parquet(f"{self.path}/words-{column}")
-            found.append(slips([records], column, counts))
-        return points(records, self.places, *found)
+    def _points(self, records: DataFrame, once: bool = False) -> DataFrame:
+        counts = self.spark.read.schema("column string, w string, count bigint").parquet(f"{self.path}/words")
+        return points(records, self.places, slips([records], counts), once)
 
     def deliver(self, postings: DataFrame) -> DataFrame:
         """(ingest_seq): the postings of a batch that repeat something accepted before or a posting of the batch with a smaller ingest_seq; then the batch is accepted itself.
@@ -296,14 +302,14 @@ class History:
         SIMILAR. Null ids, hashes and descriptions repeat nothing. Reads only the buckets that the batch falls into.
         """
         keys = stored(keys_of(postings, F.col("ingest_seq"), "source", "source_id", "content_hash"), "batch-keys")
-        own = _first(keys)
-        held = self.index.read("keys", "key", own).join(own.select("key"), "key", "left_semi")
-        by_key = keys.join(_first(held.withColumnRenamed("first", "ref").unionByName(keys.select("key", "ref"))), "key").filter("first < ref").select("ref")
+        held = self.index.read("keys", "key", keys.select("key").distinct()).withColumnRenamed("first", "ref")
+        first = held.unionByName(keys.select("key", "ref")).groupBy("key").agg(F.min("ref").alias("first"))
+        by_key = keys.join(first, "key").filter("first < ref").select("ref")
         pts = stored(self._points(postings.select(F.col("ingest_seq").alias("ref"), *_FIELDS)), "batch-points")
-        batch = stored(_distinct(pts), "batch-cells")
-        by_text = pts.select("ref", "opening", "text_hash").join(self.index.probe(batch), ["opening", "text_hash"]).filter("first < ref").select("ref")
+        near = self.index.probe(stored(_distinct(pts), "batch-cells"))
+        by_text = pts.select("ref", "opening", "text_hash").join(near, ["opening", "text_hash"]).filter("first < ref").select("ref")
         found = by_key.unionByName(by_text).select(F.col("ref").alias("ingest_seq")).distinct()
-        self.index.append(batch, own)
+        self.index.append(pts, keys)
         return found
 
 

@@ -188,11 +188,11 @@ def link_openings(links: DataFrame, jobs: DataFrame, places: DataFrame, assigned
     match for another link of it. One row per link; among several jobs the most confident, then the
     smallest job_id. Repeated links count once. Links without title, company or place match nothing.
     """
-    found = [stored(slips([jobs, links], c, stored(word_counts(jobs, c), f"{c}-counts")), f"{c}-slips") for c in ("title", "company")]
+    found = slips([jobs, links], stored(word_counts(jobs), "word-counts"))
     key = F.xxhash64(*OPENING).alias("opening")
-    j = stored(opening_forms(jobs, ["job_id"], places, *found).select("*", key), "jobs")
+    j = stored(opening_forms(jobs, ["job_id"], places, found).select("*", key), "jobs")
     asked = links.dropDuplicates(["source", "source_id", "title", "company", "location", "city"])
-    l = stored(opening_forms(asked, ["source", "source_id"], places, *found).select("*", key), "links")
+    l = stored(opening_forms(asked, ["source", "source_id"], places, found).select("*", key), "links")
     accepted = scored_pairs(l, j).filter(F.col("confidence") >= ACCEPT)
     accepted = accepted.select(F.xxhash64(*[f"l_{c}" for c in OPENING]).alias("opening"), F.xxhash64(*[f"r_{c}" for c in OPENING]).alias("job_opening"), "confidence")
 

@@ -19,6 +19,10 @@ from quernwork.functions.text import fold, fold_py, source_key, words_only
 from quernwork.llm.places import PlaceResolver, _mojibake, edit_distance, place_rows, squeeze
 from quernwork.session import stored
 
+#: Fewest letters of a word that may be misspelt.
+_LEAST = {"title": 3, "company": 4}
+#: Values with slips are broadcast where there are at most so many, and met in a shuffled join where there are more.
+MOST_BROADCAST = 200_000
 #: A word counts as known from so many rows on.
 LEAST_ROWS = 4
 #: A known word gives way to a neighbour this many times as frequent.
@@ -48,9 +52,11 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(words_only(fold(c)), " "), lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]"))
 
 
-def word_counts(df: DataFrame, column: str) -> DataFrame:
-    """(w, count): the words of a text column in LEAST_ROWS rows or more."""
-    return df.select(F.explode(_words(F.col(column))).alias("w")).groupBy("w").count().filter(F.col("count") >= LEAST_ROWS)
+def word_counts(df: DataFrame) -> DataFrame:
+    """(column, w, count): the words of title and of company in LEAST_ROWS rows or more."""
+    both = F.array(*[F.struct(F.lit(c).alias("column"), _words(F.col(c)).alias("ws")) for c in _LEAST])
+    words = df.select(F.explode(both).alias("x")).select("x.column", F.explode("x.ws").alias("w"))
+    return words.groupBy("column", "w").count().filter(F.col("count") >= LEAST_ROWS)
 
 
 class Corrections:
@@ -86,49 +92,57 @@ def _parts(w: str) -> Column:
     return F.array_distinct(F.concat(F.array(w), cut))
 
 
-def corrections(counts: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
-    """(w, right): the words (w) that are slips of a neighbour at distance 1, and that neighbour, the most frequent one; a lost, doubled or exchanged letter goes before a replaced one.
+def corrections(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """(column, w, right): the words (column, w) that are slips of a neighbour at distance 1, and that neighbour, the most frequent one; a lost, doubled or exchanged letter goes before a replaced one.
 
-    A word that counts (w, count) doesn't have gives way to any known neighbour, one that it has only to a neighbour OVERWHELMING
-    times as frequent. Words of under `least` letters and such with digits stay. counts may be of any size: words meet at what is left of
+    A word that counts (column, w, count) don't have gives way to any known neighbour, one that they have only to a neighbour OVERWHELMING
+    times as frequent. Words with few letters and such with digits stay. counts may be of any size: words meet at what is left of
     them without one letter, so a key has no more words than one letter can be put in, whatever the number of rows.
     """
-    asked = words.filter((F.length("w") >= least) & ~F.col("w").rlike("[0-9]")).distinct().join(counts, "w", "left")
-    asked = asked.select("w", F.when(F.col("count").isNull(), 3).otherwise(F.col("count") * OVERWHELMING).alias("wanted"))
-    pairs = asked.withColumn("part", F.explode(_parts("w"))).join(counts.select(F.col("w").alias("x"), "count").withColumn("part", F.explode(_parts("x"))), "part")
-    pairs = pairs.filter("x <> w and count >= wanted and abs(length(x) - length(w)) <= 1").select("w", "x", "count").distinct()
+    least = F.when(F.col("column") == "title", _LEAST["title"]).otherwise(_LEAST["company"])
+    asked = words.filter((F.length("w") >= least) & ~F.col("w").rlike("[0-9]")).distinct().join(counts, ["column", "w"], "left")
+    asked = asked.select("column", "w", F.when(F.col("count").isNull(), 3).otherwise(F.col("count") * OVERWHELMING).alias("wanted"))
+    known = counts.select("column", F.col("w").alias("x"), "count").withColumn("part", F.explode(_parts("x")))
+    pairs = asked.withColumn("part", F.explode(_parts("w"))).join(known, ["column", "part"])
+    pairs = pairs.filter("x <> w and count >= wanted and abs(length(x) - length(w)) <= 1").select("column", "w", "x", "count")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b.drop_duplicates()
             b = b[[edit_distance(w, x) == 1 for w, x in zip(b["w"], b["x"], strict=True)]]
             # a lost, doubled or exchanged letter
             yield b.assign(alike=[len(x) != len(w) or sorted(x) == sorted(w) for w, x in zip(b["w"], b["x"], strict=True)])
 
-    best = pairs.mapInPandas(near, "w string, x string, count bigint, alike boolean").groupBy("w").agg(F.max(F.struct("alike", "count", "x")).alias("best"))
-    return best.select("w", F.col("best.x").alias("right"))
+    best = pairs.mapInPandas(near, "column string, w string, x string, count bigint, alike boolean").groupBy("column", "w").agg(F.max(F.struct("alike", "count", "x")).alias("best"))
+    return best.select("column", "w", F.col("best.x").alias("right"))
 
 
-def slips(frames: list[DataFrame], column: str, counts: DataFrame) -> DataFrame:
-    """(column, fixes array<struct<w, right>>): the values of a column (title or company) of all frames that have misspelt words, and what these become. counts: word_counts()."""
-    names = frames[0].select(column)
+def slips(frames: list[DataFrame], counts: DataFrame) -> DataFrame:
+    """(column, name, fixes array<struct<w, right>>): the titles and companies of all frames that have misspelt words, and what these become. counts: word_counts(). Stored."""
+    both = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("name")) for c in _LEAST])
+    names = frames[0].select(F.explode(both).alias("x"))
     for f in frames[1:]:
-        names = names.unionByName(f.select(column))
-    words_of, least = _SPLIT[column]
+        names = names.unionByName(f.select(F.explode(both).alias("x")))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(s, w) for s in b["name"] for w in dict.fromkeys(words_of(s))], columns=["name", "w"])
+            yield pd.DataFrame([(c, s, w) for c, s in zip(b["column"], b["name"], strict=True) for w in dict.fromkeys(_SPLIT[c](s))], columns=["column", "name", "w"])
 
-    used = stored(names.select(F.col(column).alias("name")).filter("name is not null").distinct().mapInPandas(split, "name string, w string"), f"{column}-words")
-    fixed = used.join(corrections(counts, used.select("w"), least), "w").groupBy("name").agg(F.collect_list(F.struct("w", "right")).alias("fixes"))
-    return fixed.withColumnRenamed("name", column)
+    used = stored(names.select("x.*").filter("name is not null").distinct().mapInPandas(split, "column string, name string, w string"), "words")
+    fixed = used.join(corrections(counts, used.select("column", "w")), ["column", "w"]).groupBy("column", "name").agg(F.collect_list(F.struct("w", "right")).alias("fixes"))
+    return stored(fixed, "slips")
 
 
-def with_fixes(df: DataFrame, titles: DataFrame | None, companies: DataFrame | None) -> DataFrame:
-    """df with title_fixes and company_fixes (null for values without a slip), from slips()."""
-    for column, found in (("title", titles), ("company", companies)):
+def with_fixes(df: DataFrame, found: DataFrame | None) -> DataFrame:
+    """df with title_fixes and company_fixes (null for values without a slip), from slips(). Few slips travel to the rows, so that these needn't be shuffled."""
+    few = found is not None and found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    for column in _LEAST:
         named = f"{column}_fixes"
-        df = df.join(found.withColumnRenamed("fixes", named), column, "left") if found is not None else df.withColumn(named, F.lit(None).cast("array<struct<w: string, right: string>>"))
+        if found is None:
+            df = df.withColumn(named, F.lit(None).cast("array<struct<w: string, right: string>>"))
+        else:
+            mine = found.filter(F.col("column") == column).select(F.col("name").alias(column), F.col("fixes").alias(named))
+            df = df.join(F.broadcast(mine) if few else mine, column, "left")
     return df
 
 
@@ -170,10 +184,10 @@ def title_parts(s: str | None, spelling: Corrections) -> tuple[str, str, str, st
     return " ".join(sorted(w for w in words if w not in _SENIORITY)), " ".join(rank), " ".join(sorted(grades)), " ".join(codes)
 
 
-#: For each column of which slips are put right: its words that may be misspelt, and the fewest letters of one.
-_SPLIT: dict[str, tuple[Callable, int]] = {
-    "company": (lambda s: [w for w in company_words(s) if w not in _KNOWN], 4),
-    "title": (lambda s: [w for w in re.findall(r"[a-z0-9]+", fold_py(s)) if w not in _GRADES and w not in _TITLE_SHORT], 3),
+#: The words of a title or company that may be misspelt.
+_SPLIT: dict[str, Callable] = {
+    "company": lambda s: [w for w in company_words(s) if w not in _KNOWN],
+    "title": lambda s: [w for w in re.findall(r"[a-z0-9]+", fold_py(s)) if w not in _GRADES and w not in _TITLE_SHORT],
 }
 
 
@@ -186,10 +200,10 @@ def place_key(resolver: PlaceResolver, location: str | None, city: str | None) -
     return "~" + k if (k := squeeze(_mojibake(entry or ""))) else ""
 
 
-def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, titles: DataFrame | None, companies: DataFrame | None) -> DataFrame:
+def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, found: DataFrame | None) -> DataFrame:
     """(keys..., company_key, title_words, seniority, grade, client, place_key) of rows with title, company, location and city.
 
-    Blank and null fields give ''. titles and companies are slips() of the two columns, or None where nothing is put right.
+    Blank and null fields give ''. found: slips() of the rows, or None where nothing is put right.
     """
     rows = place_rows(places)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", company_key string, title_words string, seniority string, grade string, client string, place_key string"
@@ -206,7 +220,7 @@ def opening_forms(df: DataFrame, keys: list[str], places: DataFrame, titles: Dat
             yield out
 
     fields = ("title", "company", "location", "city", "title_fixes", "company_fixes")
-    spec = with_fixes(df.select(*dict.fromkeys([*keys, "title", "company", "location", "city"])), titles, companies).select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
+    spec = with_fixes(df.select(*dict.fromkeys([*keys, "title", "company", "location", "city"])), found).select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
     return spec.mapInPandas(run, schema)
 
 

@@ -16,11 +16,11 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernwork.functions.text import fold_py
-from quernwork.session import bounded_rows, table
+from quernwork.functions.text import fold, fold_py
+from quernwork.session import bounded_rows, stored, table
 
-#: Lists of up to so many entries become one broadcast tree; longer ones are split into shards of this size.
-TREE_ENTRIES = 20_000
+#: Lists of up to so many entries become one broadcast tree; longer ones are split into shards of this size. So many distinct values meet a shard in one task.
+TREE_ENTRIES, TASK_VALUES = 20_000, 200_000
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -89,8 +89,8 @@ def match_within(values: DataFrame, value_col: str, refs: DataFrame, ref_id: str
     """(value, ref_id, distance): for every distinct value all entries within the radius, after folding; values without an entry get one row of nulls.
 
     The distinct values are matched once. A list of up to TREE_ENTRIES entries is one tree in every
-    task; a longer one is split into shards, each distinct value visits every shard, and the shards' winners are
-    united. Null and blank values and entries match nothing; equal entries all come out.
+    task; a longer one is split into shards, each distinct value visits every shard, TASK_VALUES of them in a task, and the shards'
+    winners are united. Null and blank values and entries match nothing; equal entries all come out.
     """
     clean = refs.select(ref_id, ref_name).filter(F.col(ref_name).isNotNull()).dropDuplicates()
     vals = values.select(F.col(value_col).alias("value")).distinct()
@@ -112,14 +112,14 @@ def match_within(values: DataFrame, value_col: str, refs: DataFrame, ref_id: str
 
         hits = vals.filter("value is not null").mapInPandas(run, schema)
     else:
-        shards = -(-clean.count() // TREE_ENTRIES)
-        sharded = clean.withColumn("_shard", F.pmod(F.xxhash64(ref_id), F.lit(shards)))
-        visits = vals.filter("value is not null").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_shard", F.col("_shard").cast("bigint"))
+        shards, salts = -(-clean.count() // TREE_ENTRIES), max(1, -(-vals.count() // TASK_VALUES))
+        sharded = clean.withColumn("_shard", F.pmod(F.xxhash64(ref_id, ref_name), F.lit(shards))).withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+        visits = vals.filter("value is not null").withColumn("_shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)"))).withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
 
         def shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return search(EntryTree([(k, i) for i, n in zip(right[ref_id], right[ref_name], strict=True) if (k := squeeze(n))]), left["value"])
 
-        hits = visits.groupBy("_shard").cogroup(sharded.groupBy("_shard")).applyInPandas(shard, schema)
+        hits = visits.groupBy("_shard", "_salt").cogroup(sharded.groupBy("_shard", "_salt")).applyInPandas(shard, schema)
     return vals.join(hits, "value", "left")
 
 
@@ -163,12 +163,12 @@ def _mojibake(s: str) -> str:
 
 
 class PlaceResolver:
-    """Places by the way they are written. rows: (place_id, name, province code, province, alternative name or null)."""
+    """Places by the way they are written. rows: (place_id, name, province code, province, alternative name or null); provinces: codes by folded name, of places that aren't among the rows."""
 
-    def __init__(self, rows: list[tuple]) -> None:
+    def __init__(self, rows: list[tuple], provinces: dict[str, str] | None = None) -> None:
         self.by_key: dict[str, set[int]] = defaultdict(set)
         self.province: dict[int, str] = {}
-        self.codes: dict[str, str] = dict(PROVINCES)
+        self.codes: dict[str, str] = PROVINCES | (provinces or {})
         for pid, name, code, province, alt in rows:
             if code:
                 self.codes[fold_py(code)] = code
@@ -242,15 +242,16 @@ class PlaceResolver:
     def _length(self, t: str, at: int) -> int:
         return len(self.code_re.match(t, at)[0])
 
-    def named(self, text: str | None) -> list[tuple[frozenset[int], str | None]]:
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        """The folded components of an entry that aren't foreign."""
         if not text:
             return []
         t = re.sub(r"\bon[- ]?site\b", " ", re.sub(r"\s+", " ", fold_py(_mojibake(text)).replace("œ", "oe"))).strip()
-        out = []
-        for part in _PARTS.split(t):
-            if not FOREIGN.search(part):
-                out += self._part(part)
-        return out
+        return [part for part in _PARTS.split(t) if not FOREIGN.search(part)]
+
+    def named(self, text: str | None) -> list[tuple[frozenset[int], str | None]]:
+        return [x for part in self.parts(text) for x in self._part(part)]
 
     def resolve(self, location: str | None, city: str | None) -> list[int]:
         """Ids of the places that the entry names, ascending; [] for none. A place that neither location nor city decides comes out with all its candidates."""
@@ -276,8 +277,11 @@ def resolve_places(df: DataFrame, keys: list[str], location: str, city: str, pla
 
     The entry is location, or city where location is blank; blank entries and entries without a place give an empty
     array. A place in a foreign country, a street's name and a name in a province where the list doesn't have it
-    name no place. No shuffle: the bounded list travels to the tasks, equal entries of a task are resolved once.
+    name no place. A list of up to TREE_ENTRIES travels to the tasks, without a shuffle, and equal entries of a task are resolved once; with a
+    longer one each distinct entry meets the list's shards and is then resolved among the places that it could name.
     """
+    if places.limit(TREE_ENTRIES + 1).count() > TREE_ENTRIES:
+        return _resolve_sharded(df, keys, location, city, places)
     rows = place_rows(places)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes) + ", place_ids array<int>"
 
@@ -290,6 +294,39 @@ def resolve_places(df: DataFrame, keys: list[str], location: str, city: str, pla
     return df.select(*keys, F.col(location).alias("_location"), F.col(city).alias("_city")).mapInPandas(run, schema)
 
 
+def _resolve_sharded(df: DataFrame, keys: list[str], location: str, city: str, places: DataFrame) -> DataFrame:
+    """resolve_places() for lists of any size: every run of words of an entry is matched against all shards within one edit, which is all that the resolver could take it for."""
+    names = places.select("place_id", F.explode(F.array("place_name", "alt_name")).alias("name")).filter("length(trim(name)) > 0")
+    longest = names.agg(F.max(F.size(F.split(F.trim(F.regexp_replace(fold("name"), "[^a-z0-9]+", " ")), " "))).alias("n")).first().n or 1
+    said = places.filter("province_code is not null and province is not null").select("province_code", "province").distinct()
+    provinces = {fold_py(x): r.province_code for r in bounded_rows(said, TREE_ENTRIES, "the provinces") for x in (r.province, r.province_code)}
+    entries = df.select(F.col(location).alias("_location"), F.col(city).alias("_city")).distinct()
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for x, y in zip(b["_location"], b["_city"], strict=True):
+                found = {x or "": None, y or "": None}
+                words = [re.findall(r"[a-z0-9]+", p) for e in found for p in PlaceResolver.parts(e)]
+                rows += [(x, y, k) for k in {"".join(w[i : i + n]) for w in words for n in range(1, longest + 2) for i in range(len(w) - n + 1)}]
+            yield pd.DataFrame(rows, columns=["_location", "_city", "value"])
+
+    asked = stored(entries.mapInPandas(runs, "_location string, _city string, value string"), "entry-runs")
+    hits = match_within(asked, "value", names, "place_id", "name", 1).filter("place_id is not null").select("value", "place_id").distinct()
+    rows = places.select("place_id", F.struct("place_id", "place_name", "province_code", "province", "alt_name").alias("row"))
+    could = asked.join(hits, "value").select("_location", "_city", "place_id").distinct().join(rows, "place_id").groupBy("_location", "_city").agg(F.collect_list("row").alias("rows"))
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = ("place_id", "place_name", "province_code", "province", "alt_name")
+        for b in batches:
+            ids = [PlaceResolver([tuple(r[f] for f in fields) for r in rows], provinces).resolve(x, y) for x, y, rows in zip(b["_location"], b["_city"], b["rows"], strict=True)]
+            yield b[["_location", "_city"]].assign(place_ids=ids)
+
+    found = could.mapInPandas(resolve, "_location string, _city string, place_ids array<int>")
+    same = df[location].eqNullSafe(found["_location"]) & df[city].eqNullSafe(found["_city"])
+    return df.join(found, same, "left").select(*[df[c] for c in keys], F.coalesce("place_ids", F.array().cast("array<int>")).alias("place_ids"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places that each job's entry names; 0 for an entry that names none."""
     places = table(spark, sf_dir, "places")
@@ -309,4 +346,12 @@ def p4_unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.join(none, "job_id").groupBy("entry").agg(F.count("*").alias("jobs"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_unmatched_values": p4_unmatched_values}
+def p4_nearest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every free-typed city with all entries of the list (by name or alternative name) within one edit; a null place for values without one."""
+    places = table(spark, sf_dir, "places")
+    names = places.select("place_id", F.explode(F.array("place_name", "alt_name")).alias("name")).filter("name is not null")
+    typed = table(spark, sf_dir, "jobs").select("city").filter("length(trim(city)) > 0")
+    return match_within(typed, "city", names, "place_id", "name").groupBy("value", "place_id").agg(F.min("distance").alias("distance"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_unmatched_values": p4_unmatched_values, "p4_nearest_entries": p4_nearest_entries}

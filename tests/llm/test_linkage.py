@@ -33,8 +33,9 @@ def test_slips_of_titles_at_any_size(spark):
     """A word of four rows is known, and its misspellings are put right, among any number of other rows."""
     jobs = spark.range(50_000).selectExpr("'Mill Hand' as title").unionByName(spark.createDataFrame([("Kiln Clerk",)] * 4, "title string"))
     asked = spark.createDataFrame([("Kilnn Clerk",), ("Mill Hand",), (None,)], "title string")
-    got = O.slips([asked], "title", O.word_counts(jobs, "title")).collect()
-    assert [(r.title, [(f.w, f.right) for f in r.fixes]) for r in got] == [("Kilnn Clerk", [("kilnn", "kiln")])]
+    named = lambda d: d.selectExpr("title", "cast(null as string) as company")
+    got = O.slips([named(asked)], O.word_counts(named(jobs))).collect()
+    assert [(r.column, r.name, [(f.w, f.right) for f in r.fixes]) for r in got] == [("title", "Kilnn Clerk", [("kilnn", "kiln")])]
 
 
 def test_vote_model_learns_accuracies_and_correlations():
@@ -79,7 +80,7 @@ def test_corrections_equal_brute_force(spark):
     """The join finds what looking up every word finds."""
     counts = {"kalumpell": 200, "kalupell": 15, "tarrowick": 900, "tarrowikc": 5, "orbobury": 4, "orbobory": 9, "foods": 80, "food": 300}
     words = [*counts, "kalummpell", "orboburi", "orbobruy", "tarrowic", "zzzz", "fods", "foo", "fo0ds", "tarowick", "orbobry"]
-    got = {r.w: r.right for r in O.corrections(spark.createDataFrame(list(counts.items()), "w string, count bigint"), spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    got = {r.w: r.right for r in O.corrections(spark.createDataFrame([("company", *x) for x in counts.items()], "column string, w string, count bigint"), spark.createDataFrame([("company", w) for w in words], "column string, w string")).collect()}
     assert got == {w: r for w in words if (r := spelt_right(counts, w)) != w} and got["orbobruy"] == "orbobury" and got["tarrowikc"] == "tarrowick" and "kalupell" not in got
 
 

@@ -45,6 +45,16 @@ def test_match_within_and_shards(spark, monkeypatch):
     assert {tuple(r) for r in P.match_within(vals, "value", refs, "id", "name").collect()} == want
 
 
+def test_a_list_in_shards_resolves_alike(spark, sf, monkeypatch):
+    """A list beyond one tree gives every entry the places that a broadcast one gives."""
+    places = spark.read.parquet(f"{sf}/places.parquet")
+    jobs = spark.read.parquet(f"{sf}/jobs.parquet").select("job_id", "location", "city")
+    one = {r.job_id: r.place_ids for r in P.resolve_places(jobs, ["job_id"], "location", "city", places).collect()}
+    monkeypatch.setattr(P, "TREE_ENTRIES", 60)
+    monkeypatch.setattr(P, "TASK_VALUES", 500)
+    assert {r.job_id: r.place_ids for r in P.resolve_places(jobs, ["job_id"], "location", "city", places).collect()} == one
+
+
 def test_empty(spark, sf):
     jobs = spark.createDataFrame([], "job_id string, location string, city string, place_ids string")
     places = spark.read.parquet(f"{sf}/places.parquet")
