@@ -35,7 +35,7 @@ from quernwork.session import bounded_rows, shared_dir, stored, table
 SHINGLE, SIMILAR, DIM, RING = 5, 0.8, 64, 1.25
 #: Descriptions of fewer words (placeholders among them) are no description.
 LEAST_WORDS = 5
-#: Buckets of the stored tables (an index keeps the number it was made with), the tasks that write one, and the points from which a cell is crowded.
+#: Buckets of the stored tables (an index keeps the number it was made with), the tasks that write one, and the points from which an opening is crowded.
 BUCKETS, SPREAD, CROWDED = 16, 4, 64
 #: p6_found delivers the postings in so many parts, in the order of their arrival; each is probed, then appended.
 DELIVERIES = 2
@@ -156,6 +156,11 @@ def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["opening", "q_text_hash", "first"]]
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A stored table to be met: sent to the rows where it has at most MOST_BROADCAST rows, else met by a shuffle."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 class CellIndex:
     """The stored index in a folder that all executors share. Each delivery is a part of its own, so writing one again replaces it and touches no other."""
 
@@ -181,29 +186,27 @@ class CellIndex:
         self.parts += 1
 
     def read(self, name: str, key: str, asked: DataFrame) -> DataFrame:
-        """The rows of a table with one of the keys `asked` (distinct). The scan skips all buckets but theirs by their folders; of these only the rows asked for go on,
-        met where they are read if the keys are at most MOST_BROADCAST, by a shuffle if they are more."""
+        """The rows of a table with one of the keys `asked` (stored; may repeat). The scan skips all buckets but theirs by their folders; of these only the rows asked for go on."""
         wanted = [r.bucket for r in bounded_rows(asked.select(self._bucket(key).alias("bucket")).distinct(), self.buckets, "the buckets")]
         if not self.parts:
             return self.spark.createDataFrame([], _TABLES[name])
         held = self.spark.read.schema(f"{_TABLES[name]}, delivery int, bucket int").parquet(f"{self.path}/{name}")
-        few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        return held.filter(F.col("bucket").isin(wanted) & (F.col("delivery") < self.parts)).drop("delivery", "bucket").join(F.broadcast(asked) if few else asked, key, "left_semi")
+        return held.filter(F.col("bucket").isin(wanted) & (F.col("delivery") < self.parts)).drop("delivery", "bucket").join(_sent(asked), key, "left_semi")
 
     def probe(self, batch: DataFrame) -> DataFrame:
-        """(opening, text_hash, first): for each distinct point of a batch (of _distinct) the smallest ref among its near duplicates in the index and in the batch itself.
+        """(opening, text_hash, first): for each distinct point of a batch (of _distinct, stored) the smallest ref among its near duplicates in the index and in the batch itself.
 
-        Cells are met by an equality join on opening and ring (and, in crowded cells, a shingle of the prefix); vectors bound the distance; only
+        Cells are met by an equality join on opening and ring (and, in crowded openings, a shingle of the prefix); vectors bound the distance; only
         pairs within the bound are given their texts and reranked exactly. Equal texts need neither vectors nor texts.
         """
-        held = self.read("cells", "opening", batch.select("opening").distinct())
+        held = self.read("cells", "opening", batch.select("opening"))
         held = held.unionByName(batch.select(held.columns))
         cells, texts = held.drop("packed"), held.select("opening", "text_hash", "packed")
-        crowd = cells.groupBy("opening", "ring").agg((F.count("*") > CROWDED).alias("crowded")).filter("crowded")
+        crowd = _sent(stored(cells.groupBy("opening").agg((F.count("*") > CROWDED).alias("crowded")).filter("crowded"), "crowded"))
 
         def met(df: DataFrame) -> DataFrame:
             by = F.when(F.col("crowded"), F.col("prefix")).otherwise(F.array(F.lit(0).cast("bigint")))
-            return df.join(crowd, ["opening", "ring"], "left").withColumn("by", F.explode(by)).drop("crowded", "prefix")
+            return df.join(crowd, "opening", "left").withColumn("by", F.explode(by)).drop("crowded", "prefix")
 
         r = r_of("size")
         low, high = (F.floor(F.log(F.greatest(x, F.lit(1.0))) / float(np.log(RING))).cast("int") for x in (F.col("norm") - r, F.col("norm") + r))
@@ -212,8 +215,8 @@ class CellIndex:
         near = near.filter((F.col("q_text_hash") != F.col("text_hash")) & (F.abs(F.col("q_norm") - F.col("norm")) <= r_of("q_size")))
         near = near.select("opening", "q_text_hash", "q_size", "q_vector", "text_hash", "first", "vector")
         bounded = stored(near.mapInPandas(_within_bound, "opening bigint, q_text_hash bigint, text_hash bigint, first bigint").distinct(), "bounded")
-        asked = bounded.select("opening", F.col("q_text_hash").alias("text_hash")).distinct()
-        wanted = bounded.select("opening", "text_hash").distinct()
+        asked = _sent(bounded.select("opening", F.col("q_text_hash").alias("text_hash")))
+        wanted = _sent(bounded.select("opening", "text_hash"))
         q_texts = batch.select("opening", "text_hash", "packed").join(asked, ["opening", "text_hash"], "left_semi").withColumnsRenamed({"text_hash": "q_text_hash", "packed": "q_packed"})
         x_texts = texts.join(wanted, ["opening", "text_hash"], "left_semi").dropDuplicates(["opening", "text_hash"])
         pairs = bounded.join(q_texts, ["opening", "q_text_hash"]).join(x_texts, ["opening", "text_hash"]).select("opening", "q_text_hash", "q_packed", "packed", "first")
@@ -302,7 +305,7 @@ class History:
         SIMILAR. Null ids, hashes and descriptions repeat nothing. Reads only the buckets that the batch falls into.
         """
         keys = stored(keys_of(postings, F.col("ingest_seq"), "source", "source_id", "content_hash"), "batch-keys")
-        held = self.index.read("keys", "key", keys.select("key").distinct()).withColumnRenamed("first", "ref")
+        held = self.index.read("keys", "key", keys.select("key")).withColumnRenamed("first", "ref")
         first = held.unionByName(keys.select("key", "ref")).groupBy("key").agg(F.min("ref").alias("first"))
         by_key = keys.join(first, "key").filter("first < ref").select("ref")
         pts = stored(self._points(postings.select(F.col("ingest_seq").alias("ref"), *_FIELDS)), "batch-points")
