@@ -11,9 +11,9 @@ from pyspark.sql import Column, functions as F, types as T
 from quernwork.functions.text import fold, words_only
 
 #: Words that mean "nothing" in a field.
-_NOTHING = ("nan", "none", "nat", "null")
+_NOTHING = ("nan", "none", "nat")
 #: Legal forms that don't tell employers apart.
-COMPANY_SUFFIXES = ("inc", "incorporated", "ltd", "limited", "llc", "corp", "corporation", "co", "company", "ltee", "limitee", "group", "canada", "the", "enr")
+COMPANY_SUFFIXES = ("inc", "incorporated", "ltd", "limited", "ltee", "llc", "corp", "corporation", "co", "company", "plc", "ulc", "lp", "canada", "the")
 #: Job sites whose pages are no employer's own.
 AGGREGATOR_HOSTS = ("indeed.invalid", "linkedin.invalid", "glassdoor.invalid", "ziprecruiter.invalid", "google.invalid", "jobbank.invalid")
 #: Hours of a full-time year, the least amount read as yearly, and the most read as hourly where no unit is stated.
@@ -106,9 +106,10 @@ def format_pay(low: Column, high: Column, currency: Column, interval: Column) ->
 
 
 def pay_amounts(c: Column | str) -> Column:
-    """Amounts in a formatted pay text."""
+    """Amounts in a formatted pay text; null where one is written with a k ("60k" is no 60)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
+    amounts = F.transform(F.regexp_extract_all(c, F.lit(r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
+    return F.when(~c.rlike(r"(?i)\d\s*k\b"), amounts)
 
 
 def pay_unit(c: Column | str) -> Column:
@@ -144,14 +145,19 @@ def stated_annual_maximum(statements: Column, per_year: dict[str, float]) -> Col
     return F.array_max(F.transform(statements, yearly))
 
 
-OPEN_PAY = r"negotiable|commensurate|depend(?:s|ing|ent)? (?:on|upon) (?:experience|qualifications)|\bdoe\b|based on experience|to be discussed"
-CASUAL = r"\b(?:casual|on[- ]call|as needed|relief)\b"
+#: Wording that leaves pay open, and refusals that hold the same word.
+OPEN_PAY = (
+    r"negotiable|negotiated|commensurate"
+    r"|(?:depend\w*\s+(?:on|upon)|based\s+(?:on|upon)|according\s+to)\b[^.\n]{0,80}\b(?:experience|qualifications?|skills)"
+    r"|starting\s+(?:at|from|wage|rate|salary|pay)|\bfrom\s+(?:cad\s*|ca)?\$|\bdoe\b"
+)
+FIRM_PAY = r"(?:non-|non |not )negotiable"
 
 
 def pay_is_open(salary: Column | str, description: Column | str) -> Column:
-    """Whether wording leaves pay open."""
-    t = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (salary, description)]))
-    return t.rlike(OPEN_PAY)
+    """Whether wording leaves pay open; "not negotiable" doesn't."""
+    t = F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (salary, description)]))
+    return F.regexp_replace(t, FIRM_PAY, "\n").rlike(OPEN_PAY)
 
 
 def truncate_report(c: Column | str, most: int, mark: str = " [truncated]") -> Column:

@@ -7,6 +7,7 @@ and scales that it leaves open stay null for the operator in operators/units.py
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -82,6 +83,7 @@ def _unit(clause: str, after: int) -> str | None:
     return None
 
 
+@lru_cache(100_000)
 def scan_pay(text: str | None) -> list[dict]:
     """The statements of base pay in one text, in the order of the text; none for null, blank or pay-less text. Figures of zero are no pay."""
     if not text or not text.strip():
@@ -124,7 +126,7 @@ def scan_pay(text: str | None) -> list[dict]:
 
 @F.pandas_udf(STATEMENTS)
 def _pay_statements(texts: pd.Series) -> pd.Series:
-    return texts.map(scan_pay)
+    return texts.map(scan_pay)  # short texts repeat: a task scans each once
 
 
 def pay_statements(text: Column | str) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quernwork.functions.jobtext import external_url, url_host
+
 #: The classes of sources: what the absence or the answer of a link is worth.
 CLASSES = {
     "full_listing": ("greenhouse", "lever", "ashby", "smartrecruiters", "workday", "successfactors"),
+    "listing_only": ("smartrecruiters", "ashby", "successfactors"),
     "employer": ("greenhouse", "lever", "ashby", "smartrecruiters", "workday", "successfactors", "oracle"),
     "direct": ("jobbank", "linkedin", "indeed"),
     "uncheckable": ("glassdoor", "zip_recruiter"),
@@ -27,46 +30,97 @@ def is_due(checked_at: Column, streak: Column, now: Column) -> Column:
     return checked_at.isNull() | (checked_at + F.make_dt_interval(backoff_days(streak)) <= now)
 
 
-def candidates(entities: DataFrame, links: DataFrame, now: Column) -> DataFrame:
-    """(job_id, checked_at, last_seen, long_unseen): open records due for a check.
+def candidates(entities: DataFrame, links: DataFrame, now: Column, unwanted: DataFrame | None = None, page_check: Column | None = None, early: str | None = None) -> DataFrame:
+    """(job_id, checked_at, last_seen, checkable, long_unseen): open, included records due for a check, in the order of checked_at (never first), last_seen, job_id.
 
-    A record qualifies if its full listings haven't shown it for 2 days (none counts as never) and one of its links can be checked, or if none can and
-    all links have been unseen for 30 days. One aggregation over the links with conditional maxima.
+    All links must be of known sources. A record is checkable if a link's source can be asked or page_check (a condition on a link, such as
+    "its apply URL is an employer's page") holds for one. Checkable ones qualify when due and not shown by a full listing for
+    2 days (none counts as never); the others when no link has been seen for 30 days, whether due or not. early: a source that is
+    asked too where nothing else can be: its records qualify when due and unseen for 2 days. unwanted (job_id) spends no request, so it
+    only qualifies where none is needed. One aggregation over the links with conditional maxima.
     """
-    due = entities.filter(F.col("closed_at").isNull() & is_due(F.col("liveness_checked_at"), F.col("liveness_alive_streak"), now)).select("job_id", F.col("liveness_checked_at").alias("checked_at"))
+    one = is_class("source", "full_listing") | is_class("source", "direct")
     stats = links.groupBy("job_id").agg(
         F.max("last_seen").alias("last_seen"),
         F.max(F.when(is_class("source", "full_listing"), F.col("last_seen"))).alias("listed"),
-        F.bool_or(is_class("source", "full_listing") | is_class("source", "employer") | is_class("source", "direct")).alias("checkable"),
+        F.bool_or(one | F.coalesce(page_check, F.lit(False)) if page_check is not None else one).alias("checkable"),
+        F.bool_and(one | is_class("source", "uncheckable")).alias("known"),
+        F.bool_or(F.col("source") == early if early else F.lit(False)).alias("early"),
     )
-    stale = F.col("listed").isNull() | (F.col("listed") < now - F.make_dt_interval(F.lit(2)))
-    unseen = F.col("last_seen") <= now - F.make_dt_interval(F.lit(30))
-    kept = due.join(stats, "job_id").filter(stale & (F.col("checkable") | unseen))
-    return kept.select("job_id", "checked_at", "last_seen", (unseen & ~F.col("checkable")).alias("long_unseen"))
+    open_ones = entities.filter("closed_at is null and excluded_at is null").select("job_id", F.col("liveness_checked_at").alias("checked_at"), is_due(F.col("liveness_checked_at"), F.col("liveness_alive_streak"), now).alias("due"))
+    old = now - F.make_dt_interval(F.lit(2))
+    x = open_ones.join(stats.filter("known"), "job_id").withColumn("long_unseen", F.col("last_seen") <= now - F.make_dt_interval(F.lit(30)))
+    stale = F.col("listed").isNull() | (F.col("listed") < old)
+    qualifies = F.when(F.col("checkable"), F.col("due") & stale).when(F.col("early"), F.col("long_unseen") | (F.col("due") & (F.col("last_seen") < old))).otherwise(F.col("long_unseen"))
+    x = x.filter(qualifies)
+    if unwanted is not None:
+        flagged = unwanted.select("job_id").distinct().withColumn("_unwanted", F.lit(True))
+        asks = F.col("checkable") | (F.col("early") & ~F.col("long_unseen"))
+        x = x.join(flagged, "job_id", "left").filter(~(asks & F.coalesce("_unwanted", F.lit(False))))
+    return x.select("job_id", "checked_at", "last_seen", "checkable", "long_unseen").orderBy(F.col("checked_at").asc_nulls_first(), "last_seen", "job_id")
+
+
+def link_order() -> list[Column]:
+    """Employers' links first, then those answered in batches, then as they were first seen."""
+    return [~is_class("source", "employer"), F.col("source") != "indeed", F.col("first_seen"), F.col("source"), F.col("source_id")]
 
 
 def fold_answers(answers: DataFrame) -> DataFrame:
-    """(job_id, result, closed_by_employer) from answers (job_id, rank, employer, answer, hosted, long_unseen), answer in gone, alive, unknown.
+    """(job_id, result, closed_by_employer) from answers (job_id, rank, source, answer, hosted, long_unseen, dropped), answer in gone, alive, unknown.
 
-    In rank order: an employer's first answer other than unknown decides; without one, a hosted "gone" ahead of all others than gone decides, then the first
-    other than gone, else "gone" if all say so; without any aggregator the initial value stands (gone if long unseen).
-    Closed form: minima of the ranks that matter, in one aggregation.
+    Links of uncheckable sources have no say. An unknown link of a listing that dropped it counts as gone. In rank order: an employer's
+    first answer other than unknown decides; without one, a hosted "gone" ahead of all others than gone decides, then the first
+    other than gone, else "gone" if all say so; without any aggregator the result is unknown, but gone where no link can be checked and all are
+    long unseen. Closed form: minima of the ranks that matter, in one aggregation.
     """
-    emp, ans = F.col("employer"), F.col("answer")
-    r = answers.groupBy("job_id").agg(
-        F.min_by("answer", F.when(emp & (ans != "unknown"), F.col("rank"))).alias("own"),
-        F.count_if(~emp).alias("others"),
-        F.min(F.when(~emp & (ans != "gone"), F.col("rank"))).alias("first_not_gone"),
-        F.min_by("answer", F.when(~emp & (ans != "gone"), F.col("rank"))).alias("not_gone"),
-        F.min(F.when(~emp & (ans == "gone") & F.col("hosted"), F.col("rank"))).alias("first_hosted"),
-        F.bool_or("long_unseen").alias("long_unseen"),
+    checkable = ~is_class("source", "uncheckable")
+    turned = F.when((F.col("answer") == "unknown") & is_class("source", "listing_only") & F.coalesce("dropped", F.lit(False)), "gone").otherwise(F.col("answer"))
+    x = answers.withColumns({"answer": turned, "_own": checkable & is_class("source", "employer"), "_other": checkable & ~is_class("source", "employer")})
+    ans = F.col("answer")
+    r = x.groupBy("job_id").agg(
+        F.min_by("answer", F.when(F.col("_own") & (ans != "unknown"), F.col("rank"))).alias("own"),
+        F.count_if("_other").alias("others"),
+        F.min(F.when(F.col("_other") & (ans != "gone"), F.col("rank"))).alias("first_not_gone"),
+        F.min_by("answer", F.when(F.col("_other") & (ans != "gone"), F.col("rank"))).alias("not_gone"),
+        F.min(F.when(F.col("_other") & (ans == "gone") & F.col("hosted"), F.col("rank"))).alias("first_hosted"),
+        F.count_if(checkable).alias("checkable"),
+        F.bool_and(F.coalesce("long_unseen", F.lit(False))).alias("long_unseen"),
     )
-    initial = F.when(F.col("long_unseen"), "gone").otherwise("unknown")
+    initial = F.when((F.col("checkable") == 0) & F.col("long_unseen"), "gone").otherwise("unknown")
     others = F.when(F.col("first_hosted").isNotNull() & (F.col("first_not_gone").isNull() | (F.col("first_hosted") < F.col("first_not_gone"))), "gone").otherwise(F.coalesce("not_gone", F.lit("gone")))
     result = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("others") == 0, initial).otherwise(others)
     return r.select("job_id", result.alias("result"), F.coalesce(F.col("own") == "gone", F.lit(False)).alias("closed_by_employer"))
 
 
+def record_links(links: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """links with gone_at and apply_url after answers (source, source_id, answer, apply_url, answered): gone sets the instant, alive clears it, unknown leaves it.
+
+    The apply URL is replaced where the source answered about it (answered), blank by null; links without an answer stay as they are.
+    """
+    a = answers.select("source", "source_id", F.col("answer").alias("_a"), F.nullif(F.col("apply_url"), F.lit("")).alias("_u"), F.col("answered").alias("_said"))
+    x = links.join(a, ["source", "source_id"], "left")
+    gone = F.when(F.col("_a") == "gone", now).when(F.col("_a") == "alive", F.lit(None)).otherwise(F.col("gone_at"))
+    return x.withColumns({"gone_at": gone, "apply_url": F.when(F.coalesce("_said", F.lit(False)), F.col("_u")).otherwise(F.col("apply_url"))}).drop("_a", "_u", "_said")
+
+
+def batch_answers(asked: DataFrame, replies: DataFrame) -> DataFrame:
+    """asked (source_id) with answer, apply_url and hosted from replies (key, expired, view_url, host): a key that the reply leaves out stays without an answer (null), which is not "unknown".
+
+    The key is the id without its source's prefix; a reply whose flag isn't a boolean says nothing. hosted: the view URL is at the site itself (host).
+    """
+    r = replies.filter("expired is not null").groupBy("key").agg(F.max(F.struct("expired", "view_url", "host")).alias("r"))
+    own = F.endswith(F.concat(F.lit("."), url_host("r.view_url")), F.concat(F.lit("."), F.col("r.host")))
+    x = asked.join(r, F.regexp_replace(asked["source_id"], "^in-", "") == r["key"], "left")
+    return x.select(*asked.columns, F.when(F.col("r.expired"), "gone").when(~F.col("r.expired"), "alive").alias("answer"), external_url("r.view_url").alias("apply_url"), F.coalesce(own, F.lit(False)).alias("hosted"))
+
+
+def employer_pages(links: DataFrame, page: Column) -> DataFrame:
+    """(job_id, page): employers' pages behind a record's apply URLs, one for each URL; none where a link is an employer's own already. page: struct<source, source_id, url> of a link, or null."""
+    own = links.filter(is_class("source", "employer")).select("job_id").distinct()
+    found = links.filter("job_id is not null").withColumn("page", page).filter("page is not null").join(own, "job_id", "left_anti")
+    return found.groupBy("job_id", F.col("page.url").alias("_url")).agg(F.max_by("page", F.struct("first_seen", "source", "source_id")).alias("page")).drop("_url")
+
+
 def record_results(entities: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """(job_id, streak, closed_at, closed_by_employer) after the results: alive adds to the streak, gone resets it and closes, unknown keeps it; the employer's flag is overwritten."""
     e = entities.join(results, "job_id")
@@ -94,8 +148,8 @@ def within_budget(df: DataFrame, cost: str, order: list[Column], budget: int, bu
 
 
 def dropped_from_listing(links: DataFrame, now: Column) -> DataFrame:
-    """(source, source_id): links of full listings unseen for 2 days whose board was seen since. The board's last sighting is one value per board; a hot board is reduced before the join."""
-    mine = links.filter(is_class("source", "full_listing") & F.col("board").isNotNull())
+    """(source, source_id): links of sources whose listing alone can show a removal, unseen for 2 days while their board was seen since. The board's last sighting is one value per board; a hot board is reduced before the join."""
+    mine = links.filter(is_class("source", "listing_only") & F.col("board").isNotNull())
     limit = now - F.make_dt_interval(F.lit(2))
     live = mine.groupBy("source", "board").agg(F.max("last_seen").alias("board_seen")).filter(F.col("board_seen") >= limit)
     old = mine.groupBy("source", "board", "source_id").agg(F.max("last_seen").alias("last_seen")).filter(F.col("last_seen") < limit)

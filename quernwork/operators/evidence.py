@@ -11,48 +11,91 @@ from quernwork.functions.jobtext import parse_date, posting_key, url_host
 
 #: For each source the JSON fields that show a posting is there: its id, its title, and a flag that must not be false.
 ALIVE_FIELDS = {"greenhouse": ("id", "title", None), "lever": ("id", "text", None), "smartrecruiters": ("id", "name", "active")}
-#: Hosts (by ending) and paths of employers' own pages; the groups give board and id.
-EMPLOYER_PAGES = {
-    "greenhouse": (".greenhouse.io", r"^/([^/]+)/jobs/(\d+)/?$"),
-    "lever": ("jobs.lever.co", r"^/([^/]+)/([0-9a-f]{8}-[0-9a-f-]{27})(?:/.*)?$"),
-    "oracle": (".oraclecloud.com", r"^/hcmUI/CandidateExperience/[^/]+/sites/([^/]+)/(?:job|jobs/preview|requisitions/preview)/(\d+)/?$"),
-}
+#: Marks in pages: of a posting that is there, and of one that is no longer.
+ALIVE_MARKS = {"jobbank": r"job-posting-detail-requirements", "linkedin": r"top-card-layout__title", "successfactors": r"class=\"[^\"]*jobdescription|itemprop=\"?description|id=\"job-description\""}
+GONE_MARKS = {"linkedin": r"<figure[^>]*closed-job", "successfactors": r"view this job because it\S{1,6}s not available at this time"}
+
+
+#: Endings of the hosts of employers' own pages (a whole host without a leading dot).
+PAGE_HOSTS = {"workday": ".myworkdayjobs.com", "greenhouse": ".greenhouse.io", "lever": "jobs.lever.co", "oracle": ".oraclecloud.com", "successfactors": ".jobs.hr.cloud.sap"}
 
 
 def _path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
-def employer_link(url: Column | str, pages: dict[str, tuple[str, str]] | None = None) -> Column:
-    """struct<source, source_id, url> of an employer's own page behind an apply URL; null for other hosts and paths."""
+def employer_link(url: Column | str, hosts: dict[str, str] | None = None) -> Column:
+    """struct<source, source_id, url> of an employer's own page behind an apply URL; null for other hosts and paths.
+
+    The path is read by its segments. Where it names board and posting the id is "board:posting"; where the page can only be asked by its
+    URL, the id is the host with a colon, and the URL is without query and without the steps of an application. hosts: other endings, by source.
+    """
     url = F.col(url) if isinstance(url, str) else url
-    host, out = url_host(url), F.lit(None)
-    for source, (ending, path) in (pages or EMPLOYER_PAGES).items():
-        at = host.endswith(ending) if ending.startswith(".") else host == ending
-        found = F.regexp_extract(_path(url), path, 2)
-        link = F.struct(F.lit(source).alias("source"), F.concat_ws(":", F.regexp_extract(_path(url), path, 1), found).alias("source_id"), url.alias("url"))
-        out = F.when(at & (found != ""), link).otherwise(out)
+    host, path = url_host(url), _path(url)
+    seg = F.filter(F.split(path, "/"), lambda p: p != "")
+    at = lambda k: F.coalesce(F.try_element_at(seg, F.lit(k)), F.lit(""))
+    digits = lambda c: c.rlike("^[0-9]+$")
+    plain = F.concat(F.lit("https://"), host, path)
+    before = F.slice(seg, 1, F.coalesce(F.array_position(seg, "apply"), F.lit(0)).cast("int") - 1)
+    job = F.when(F.array_contains(seg, "apply"), F.concat(F.lit("https://"), host, F.lit("/"), F.array_join(before, "/"))).otherwise(plain)
+    inside = F.array_position(seg, "job")
+    at_oracle = (at(1) == "hcmUI") & (at(2) == "CandidateExperience") & (at(4) == "sites")
+    oracle_id = F.when((F.size(seg) == 7) & (at(6) == "job"), at(7)).when((F.size(seg) == 8) & at(6).isin("jobs", "requisitions") & (at(7) == "preview"), at(8)).otherwise("")
+    shapes = {
+        "workday": ((inside > 0) & (inside < F.size(seg)), F.concat(host, F.lit(":")), job),
+        "greenhouse": ((F.size(seg) == 3) & (at(2) == "jobs") & digits(at(3)), F.concat_ws(":", at(1), at(3)), url),
+        "lever": ((F.size(seg) >= 2) & (F.length(at(2)) == 36) & at(2).rlike("^[0-9a-f]{8}-[0-9a-f-]+$"), F.concat_ws(":", at(1), at(2)), url),
+        "oracle": (at_oracle & digits(oracle_id), F.concat_ws(":", at(5), oracle_id), plain),
+        "successfactors": ((at(1) == "job") & (F.size(seg) > 1), F.concat(host, F.lit(":")), plain),
+    }
+    out = F.lit(None)
+    for source, ending in (hosts or PAGE_HOSTS).items():
+        fits, source_id, shown = shapes[source]
+        here = F.endswith(host, F.lit(ending)) if ending.startswith(".") else host == ending
+        link = F.struct(F.lit(source).alias("source"), source_id.alias("source_id"), shown.alias("url"))
+        out = F.when(here & F.coalesce(fits, F.lit(False)), link).otherwise(out)
     return out
 
 
 def classify(responses: DataFrame) -> DataFrame:
     """responses (source, source_id, status, body) with `answer`: gone, alive or unknown.
 
-    404 and 410 say gone. 200 says alive where the body is JSON of the very posting with its title and no flag against it; other bodies, other statuses, malformed
-    JSON, null status (no response) and sources without a rule say nothing. A board's listing is for board_answers.
+    404 and 410 say gone for every source with a rule, and so does a source's own way to say it (a refusal with the code of an unposted
+    requisition, a search that finds nothing, a notice). 200 says alive where the body is the very posting with its title and no flag against it; what shows a
+    posting is there goes before what says it is gone, but a closed notice in a page goes first. A status with both of its two flags, or none, says nothing. Other
+    bodies and statuses, malformed JSON, null status (no response) and sources without a rule say nothing. A board's listing is for board_answers.
     """
+    j = lambda p: F.get_json_object("body", p)
+    source, ok = F.col("source"), F.col("status") == 200
     wanted = F.element_at(F.split("source_id", ":"), -1)
-    alive = F.lit(False)
-    for source, (key, title, flag) in ALIVE_FIELDS.items():
-        here = (F.get_json_object("body", f"$.{key}") == wanted) & (F.length(F.trim(F.get_json_object("body", f"$.{title}"))) > 0)
-        if flag:
-            here = here & (F.coalesce(F.get_json_object("body", f"$.{flag}"), F.lit("true")) != "false")
-        alive = alive | ((F.col("source") == source) & here)
-    known = F.col("source").isin(*ALIVE_FIELDS) & F.contains("source_id", F.lit(":"))
-    answer = F.when(known & F.col("status").isin(404, 410), "gone").when(known & (F.col("status") == 200) & F.coalesce(alive, F.lit(False)), "alive").otherwise("unknown")
+    filled = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    alive = gone = F.lit(False)
+    for name, (key, title, flag) in ALIVE_FIELDS.items():
+        here = (source == name) & F.contains("source_id", F.lit(":")) & (j(f"$.{key}") == wanted) & filled(j(f"$.{title}"))
+        alive = alive | (here & (F.coalesce(j(f"$.{flag}"), F.lit("true")) != "false") if flag else here)
+    alive = alive | ((source == "workday") & filled(j("$.jobPostingInfo.title")) & filled(j("$.jobPostingInfo.jobReqId")))
+    items = F.from_json(j("$.items"), "array<struct<Id: string, Title: string>>")
+    alive = alive | ((source == "oracle") & (j("$.count") == "1") & F.exists(items, lambda x: (x["Id"] == wanted) & filled(x["Title"])))
+    for name, mark in ALIVE_MARKS.items():
+        shut = F.col("body").rlike(GONE_MARKS[name]) if name == "linkedin" else F.lit(False)
+        alive = alive | ((source == name) & F.col("body").rlike(mark) & ~shut)
+    off, on = filled(j("$.status.deactivatedAtUtc")), F.coalesce(j("$.status.isActive") == "true", F.lit(False))
+    alive = alive | ((source == "zip_recruiter") & on & ~off)
+    gone = gone | ((source == "zip_recruiter") & off & ~on) | ((source == "oracle") & (j("$.count") == "0") & (F.size(items) == 0))
+    for name, mark in GONE_MARKS.items():
+        gone = gone | ((source == name) & F.col("body").rlike(mark))
+    ruled = source.isin(*ALIVE_FIELDS, *ALIVE_MARKS, "workday", "oracle", "zip_recruiter")
+    refused = (source == "workday") & (F.col("status") == 403) & (j("$.errorCode") == "S22")
+    no = F.lit(False)
+    answer = F.when(ruled & (F.col("status").isin(404, 410) | F.coalesce(refused, no)), "gone").when(ok & F.coalesce(alive, no), "alive").when(ok & F.coalesce(gone, no), "gone").otherwise("unknown")
     return responses.withColumn("answer", answer)
 
 
+def blocked(error: Column | str) -> Column:
+    """Whether an error's text tells of a block or rate limit: a 403, 429 or 999 standing by itself."""
+    return F.coalesce((F.col(error) if isinstance(error, str) else error).rlike(r"\b(?:403|429|999)\b"), F.lit(False))
+
+
 def board_answers(asked: DataFrame, boards: DataFrame) -> DataFrame:
     """asked (board, posting_id) with `answer` from whole listings, boards (board, status, body): absence counts only in a listing all of whose entries are well formed; an unlisted entry that is present is alive."""
     jobs = F.from_json(F.get_json_object("body", "$.jobs"), "array<struct<id: string, title: string>>")
@@ -109,7 +152,7 @@ def reference_faults(judgments: DataFrame, members: DataFrame) -> DataFrame:
 
 def conflicts(writes: DataFrame, table: DataFrame, key: str, inputs: list[str]) -> DataFrame:
     """writes with `conflict`: true where the record is missing, not unique, or has changed in one of the inputs since it was read (nulls compared as values)."""
-    now = table.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(f"_{c}") for c in inputs])
+    now = table.groupBy(key).agg(F.count("*").alias("_n"), *[F.min(c).alias(f"_{c}") for c in inputs])  # compared only where there is one row
     x = writes.join(now, key, "left")
     same = F.coalesce(F.col("_n") == 1, F.lit(False))
     for c in inputs:

@@ -13,8 +13,9 @@ from quernwork.functions.text import fold
 
 #: What separates places in a location, words of foreign countries, and codes of foreign states.
 _SEPARATORS = r"[;|\n]| / "
-_FOREIGN_WORDS = r"\b(?:usa|united states|united kingdom|england|scotland|wales)\b"
-_FOREIGN_STATE = r", (?:AL|AK|AZ|AR|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|OH|OK|OR|PA|RI|TN|TX|UT|VT|VA|WA|WV|WI|WY)(?:,|$| )"
+FOREIGN_WORDS = r"\b(?:united states|usa|united kingdom|england)\b"
+FOREIGN_STATES = "AL AK AZ AR CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
+FOREIGN_STATE = rf",\s*(?:{'|'.join(FOREIGN_STATES)})\b"
 _PROVINCE_CODE = r",\s*(AB|BC|MB|NB|NL|NS|NT|NU|ON|PE|QC|SK|YT),\s*CA$"
 
 
@@ -29,7 +30,7 @@ def _any(parts: list[Column]) -> Column:
 def home_places(location: Column | str) -> Column:
     """array<string>: the components of a location that don't look foreign."""
     parts = F.split(F.coalesce(_col(location), F.lit("")), _SEPARATORS)
-    return F.filter(parts, lambda p: fold(p).contains("canada") | ~(fold(p).rlike(_FOREIGN_WORDS) | p.rlike(_FOREIGN_STATE)))
+    return F.filter(parts, lambda p: fold(p).contains("canada") | ~(fold(p).rlike(FOREIGN_WORDS) | p.rlike(FOREIGN_STATE)))
 
 
 def keyword_regex(keywords: list[str]) -> str | None:
@@ -85,11 +86,12 @@ def part_time_only(job_type: Column | str) -> Column:
 def rejection_reason(rules: dict) -> Column:
     """The first failing test in the fixed order location, title, excluded_title, company, job_type; null for a posting that passes.
 
-    rules: cities {city: aliases}, titles, title_exclusions, title_exceptions, companies. Reads location, city, title, company, job_type.
+    rules: cities {city: aliases}, titles, title_exclusions, title_exceptions, companies, too_far (towns; a location of nothing else
+    is rejected even where the city is one of ours). Reads location, city, title, company, job_type.
     """
     found = city_match("location", rules["cities"]).isNotNull() | F.lower(F.coalesce("city", F.lit(""))).isin([c.lower() for c in rules["cities"]])
     return (
-        F.when(~found, "location")
+        F.when(~found | too_far("location", rules.get("too_far", [])), "location")
         .when(~keyword_match("title", rules["titles"]), "title")
         .when(keyword_excluded("title", rules["title_exclusions"], rules.get("title_exceptions")), "excluded_title")
         .when(keyword_match("company", rules["companies"]), "company")

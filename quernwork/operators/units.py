@@ -12,8 +12,6 @@ from __future__ import annotations
 import math
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernwork.session import bounded_rows
@@ -23,6 +21,8 @@ REFERENCE_ROWS = 10_000
 #: What it costs to depart from a source's habit, as a squared log residual: a habit gives way only where
 #: the identity speaks against it by more than a factor of about 1.4.
 HABIT_COST = 0.12
+#: The same for the habit of a whole source, which its median speaks against: it gives way only to a factor of about e.
+SOURCE_COST = 1.0
 #: Two choices whose costs differ by less count as equally good, and the solution as not unique.
 TIE = 1e-6
 
@@ -120,19 +120,31 @@ def settle_columns(df: DataFrame, by: str, identity: dict[str, int], candidates:
     )
 
 
+def settle_sources(df: DataFrame, by: str, statements: str, unit_factor: dict[str, float], currency_factor: dict[str, float], habit_unit: str, habit_currency: str, habit_scale: str) -> DataFrame:
+    """(by, unit, residual, figures, unique): the unit that each source means where it states none, for sources with a stated habit.
+
+    All records speak of one quantity, so the identity  figure x factor = quantity  ties a source's open figures to the stated ones of all
+    sources: of all units the one comes out whose squared log residual of the medians, plus SOURCE_COST for leaving the stated habit, is least. unique
+    is false where another one is as good. One aggregation by source; the units are tried on its medians. Sources without open or usable figures keep their habit.
+    """
+    units, currencies = _literal_map(unit_factor), _literal_map(currency_factor)
+    s = F.try_element_at(F.col(statements), F.lit(1))
+    bare = s["unit"].isNull() & s["currency"].isNull() & ~F.coalesce(s["thousands"], F.lit(False))
+    mid = (F.log(s["low"]) + F.log(s["high"])) / 2 + F.log(F.element_at(currencies, F.coalesce(s["currency"], F.col(habit_currency)))) + F.log(F.when(bare, F.coalesce(F.col(habit_scale), F.lit(1.0))).otherwise(1.0))
+    x = df.select(by, F.col(habit_unit).alias("_unit"), F.when(s["unit"].isNull(), mid).alias("open"), F.when(s["unit"].isNotNull(), mid + F.log(F.element_at(units, s["unit"]))).alias("said"))
+    said = x.agg(F.percentile_approx("said", 0.5, 10_000).alias("said"))
+    each = x.filter(F.col("_unit").isNotNull()).groupBy(by).agg(F.min("_unit").alias("_unit"), F.percentile_approx("open", 0.5, 10_000).alias("open"), F.count("open").alias("figures"))
+    tried = F.array(*[F.struct((F.coalesce(F.pow(F.col("open") + math.log(f) - F.col("said"), 2), F.lit(0.0)) + F.when(F.col("_unit") == u, 0.0).otherwise(SOURCE_COST)).alias("residual"), F.lit(u).alias("unit")) for u, f in unit_factor.items()])
+    best = each.crossJoin(F.broadcast(said)).withColumn("_t", F.array_sort(tried))  # one row
+    return best.select(by, F.col("_t")[0]["unit"].alias("unit"), F.col("_t")[0]["residual"].alias("residual"), "figures", (F.size("_t") < 2) | (F.try_element_at("_t", F.lit(2))["residual"] - F.col("_t")[0]["residual"] > TIE)).toDF(by, "unit", "residual", "figures", "unique")
+
+
 def band_of(amount: Column, bands: DataFrame, band_id: str, low: str, high: str) -> Column:
-    """The id of the band with low <= amount < high, as bigint; null outside all bands. bands is a bounded reference table."""
-    rows = sorted((r[low], r[high], r[band_id]) for r in bounded_rows(bands.select(low, high, band_id), REFERENCE_ROWS, "the bands") if None not in (r[low], r[high]))
+    """The id of the band with low <= amount < high, as bigint; null outside all bands and for null and NaN. bands is a bounded reference table without overlaps, looked up as literals."""
+    rows = sorted((float(r[low]), float(r[high]), int(r[band_id])) for r in bounded_rows(bands.select(low, high, band_id), REFERENCE_ROWS, "the bands") if None not in (r[low], r[high]))
     if not rows:
         return F.lit(None).cast("bigint")
-    lows, highs = (np.array([float(r[i]) for r in rows]) for i in (0, 1))
-    ids = np.array([int(r[2]) for r in rows])
-
-    @F.pandas_udf("bigint")
-    def find(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(float, na_value=np.nan)
-        at = np.searchsorted(lows, v, side="right") - 1  # NaN sorts behind all bands and is above every high
-        inside = (at >= 0) & (v < highs[at])
-        return pd.Series(np.where(inside, ids[at], 0), index=x.index, dtype="Int64").where(inside)
-
-    return find.asNondeterministic()(amount)  # else a filter on the band would run it twice
+    lows, highs, ids = (F.lit(list(x)) for x in zip(*rows, strict=True))
+    at = F.size(F.filter(lows, lambda x: x <= amount))
+    inside = amount.isNotNull() & ~F.isnan(amount) & (at > 0)
+    return F.when(inside & (amount < F.try_element_at(highs, at)), F.try_element_at(ids, at).cast("bigint"))

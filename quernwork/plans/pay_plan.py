@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernwork.functions.pay import pay_statements
 from quernwork.functions.text import source_key
-from quernwork.operators.units import REFERENCE_ROWS, band_of, settle_statements
-from quernwork.session import bounded_rows, table
+from quernwork.operators.units import REFERENCE_ROWS, band_of, settle_columns, settle_sources, settle_statements
+from quernwork.session import bounded_rows, stored, table
 
 
 def jobs_with_pay(jobs: DataFrame, profiles: DataFrame, units: DataFrame, rates: DataFrame) -> DataFrame:
     """(job_id, primary_source, salary, updated_at, statements, settled): yearly CAD pay of every job.
 
-    Null and blank salaries have no statements
-    and a null `settled`; sources without a profile have no habits. Repeated rows stay repeated.
+    What a source means by a figure without a unit is settled first, from all its figures (settle_sources(), the profile being the habit), then
+    each record. Null and blank salaries have no statements and a null `settled`; sources without a profile have no habits, those
+    with several the smallest. Repeated rows stay repeated.
     """
     spec = jobs.select("job_id", "primary_source", "salary", "updated_at", source_key("primary_source").alias("_source"))
     habits = F.broadcast(
-        profiles.select(source_key("source").alias("_source"), F.col("pay_unit").alias("_unit"), F.col("pay_currency").alias("_currency"), F.col("pay_scale").alias("_scale")).dropDuplicates(["_source"])
+        profiles.select(source_key("source").alias("_source"), F.col("pay_unit").alias("_unit"), F.col("pay_currency").alias("_currency"), F.col("pay_scale").alias("_scale")).groupBy("_source").agg(F.min(F.struct("_unit", "_currency", "_scale")).alias("p")).select("_source", "p.*")
     ) if len(bounded_rows(profiles.select("source"), REFERENCE_ROWS, "source_profiles")) else None
     unit_factor = {r.unit: float(r.per_year) for r in bounded_rows(units.select("unit", "per_year"), REFERENCE_ROWS, "pay_units")}
     currency_factor = {r.currency: float(r.cad) for r in bounded_rows(rates.select("currency", "cad"), REFERENCE_ROWS, "fx_rates")}
     spec = spec.join(habits, "_source", "left") if habits is not None else spec.selectExpr("*", "string(null) _unit", "string(null) _currency", "double(null) _scale")
     if not unit_factor or not currency_factor:
         raise ValueError("pay_units and fx_rates must not be empty")
-    spec = spec.withColumn("statements", pay_statements("salary"))
+    spec = stored(spec.withColumn("statements", pay_statements("salary")), "pay-statements")
+    meant = settle_sources(spec, "_source", "statements", unit_factor, currency_factor, "_unit", "_currency", "_scale")
+    # one row for each source with a profile
+    spec = spec.join(F.broadcast(meant.select("_source", F.when(F.col("unique"), F.col("unit")).alias("_meant"))), "_source", "left").withColumn("_unit", F.coalesce("_meant", "_unit")).drop("_meant")
     return settle_statements(spec, "statements", unit_factor, currency_factor, "_unit", "_currency", "_scale")
 
 
@@ -64,4 +68,21 @@ def p1_pay_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_pay_by_source": p1_pay_by_source}
+def p1_column_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units that each return flag's line items are recorded in, by the identity net = price x fraction, with all solutions that are equally good.
+
+    The columns are recorded in units of their own: net in cents where goods were accepted, the fraction in percent where nothing was returned yet.
+    """
+    x = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price"), (1 - F.col("l_discount")).alias("f"))
+    x = x.select("l_returnflag", "price", (F.col("price") * F.col("f") * F.when(F.col("l_returnflag") == "A", 100).otherwise(1)).alias("net"), (F.col("f") * F.when(F.col("l_returnflag") == "N", 100).otherwise(1)).alias("fraction"))
+    found = settle_columns(x, "l_returnflag", {"net": 1, "price": -1, "fraction": -1}, {"net": {"dollar": 1.0, "cent": 0.01}, "price": {"dollar": 1.0}, "fraction": {"one": 1.0, "percent": 0.01}})
+    return found.select("l_returnflag", F.col("units")["net"].alias("net_unit"), F.col("units")["fraction"].alias("fraction_unit"), F.round(F.col("residual"), 6).alias("residual"), "n", "unique")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pay_by_source": p1_pay_by_source, "p1_column_units": p1_column_units}
+SQL = {
+    "p1_column_units": """with x as (select l_returnflag, ln(l_extendedprice * (1 - l_discount) * case when l_returnflag = 'A' then 100 else 1 end) - ln(l_extendedprice) - ln((1 - l_discount) * case when l_returnflag = 'N' then 100 else 1 end) as raw from lineitem where l_extendedprice > 0 and l_discount < 1),
+    m as (select l_returnflag, quantile_disc(raw, 0.5) as raw, count(*) as n from x group by 1), net(net_unit, a) as (values ('dollar', 1.0), ('cent', 0.01)), fr(fraction_unit, b) as (values ('one', 1.0), ('percent', 0.01)),
+    c as (select *, round(abs(raw + ln(a) - ln(b)), 6) as residual from m, net, fr), k as (select *, min(residual) over (partition by l_returnflag) as least from c)
+    select l_returnflag, net_unit, fraction_unit, residual, n, count(*) over (partition by l_returnflag) = 1 as "unique" from k where residual <= least"""
+}

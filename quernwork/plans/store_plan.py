@@ -39,6 +39,9 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 _LINKS = "(select * from (select *, row_number() over (partition by source, source_id order by last_seen desc nulls last, recorded_at desc nulls last, job_id desc nulls last, board desc nulls last, url desc nulls last, first_seen desc nulls last, apply_url desc nulls last, gone_at desc nulls last) as rn from (select source, source_id, job_id, board, url, first_seen, last_seen, apply_url, gone_at, recorded_at from job_sources)) where rn = 1)"
 _FULL = "('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workday', 'successfactors')"
 _CHECKABLE = "('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workday', 'successfactors', 'oracle', 'jobbank', 'linkedin', 'indeed')"
+_ASKED = "('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workday', 'successfactors', 'jobbank', 'linkedin', 'indeed')"
+_UNCHECKABLE, _LISTING_ONLY = "('glassdoor', 'zip_recruiter')", "('smartrecruiters', 'ashby', 'successfactors')"
+_EMPLOYER = "('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workday', 'successfactors', 'oracle')"
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -121,13 +124,26 @@ def described_urls(spark: SparkSession, d: str) -> DataFrame:
     return h.join(j, "job_id").groupBy("url").agg(F.max_by("job_id", F.struct("updated_at", "job_id")).alias("from_job"))
 
 
+def unwanted(spark: SparkSession, d: str) -> DataFrame:
+    """(job_id): skipped records, and such whose current review rejects them, applied ones aside."""
+    r = reviews(spark, d).join(table(spark, d, "jobs").select("job_id", F.col("updated_at").alias("changed_at")), "job_id")
+    status = F.coalesce("status", F.lit(""))
+    return r.filter((status == "skip") | (V.current_reject(F.col("decision"), F.col("updated_at"), F.col("changed_at")) & (status != "applied"))).select("job_id")
+
+
 @query(
-    f"""with due as (select job_id, liveness_checked_at as checked_at from jobs where closed_at is null and (liveness_checked_at is null or liveness_checked_at + to_days(cast(pow(2, least(greatest(coalesce(liveness_alive_streak, 0) - 1, 0), 2)) as int)) <= {_N})),
-    s as (select job_id, max(last_seen) as last_seen, max(case when source in {_FULL} then last_seen end) as listed, bool_or(source in {_CHECKABLE}) as checkable from {_LINKS} where job_id is not null group by 1)
-    select job_id, checked_at, last_seen, last_seen <= {_N} - interval 30 day and not checkable as long_unseen from due join s using (job_id) where (listed is null or listed < {_N} - interval 2 day) and (checkable or last_seen <= {_N} - interval 30 day)"""
+    f"""with due as (select job_id, liveness_checked_at as checked_at, liveness_checked_at is null or liveness_checked_at + to_days(cast(pow(2, least(greatest(coalesce(liveness_alive_streak, 0) - 1, 0), 2)) as int)) <= {_N} as due from jobs where closed_at is null and excluded_at is null),
+    s as (select job_id, max(last_seen) as last_seen, max(case when source in {_FULL} then last_seen end) as listed, bool_or(source in {_ASKED} or coalesce(regexp_matches(apply_url, '/apply/[0-9]*7$'), false)) as checkable, bool_and(source in {_ASKED} or source in {_UNCHECKABLE}) as known, bool_or(source = 'zip_recruiter') as zip from {_LINKS} where job_id is not null group by 1),
+    u as (select r.job_id from {_REVIEWS} r join jobs j using (job_id) where coalesce(r.status, '') = 'skip' or (coalesce(r.decision = 'reject' and r.updated_at >= j.updated_at, false) and coalesce(r.status, '') <> 'applied')),
+    x as (select *, last_seen <= {_N} - interval 30 day as long_unseen from due join s using (job_id) where known)
+    select job_id, checked_at, last_seen, checkable, long_unseen from x
+    where case when checkable then due and (listed is null or listed < {_N} - interval 2 day) when zip then long_unseen or (due and last_seen < {_N} - interval 2 day) else long_unseen end
+    and not ((checkable or (zip and not long_unseen)) and job_id in (select job_id from u))"""
 )
 def closure_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return C.candidates(table(spark, d, "jobs"), links(spark, d).filter("job_id is not null"), now())
+    """Open records due for a check, an apply URL of some pages standing for one that can be asked, with the early check of one source."""
+    page = F.coalesce(F.col("apply_url").rlike("/apply/[0-9]*7$"), F.lit(False))
+    return C.candidates(table(spark, d, "jobs"), links(spark, d).filter("job_id is not null"), now(), unwanted(spark, d), page, "zip_recruiter")
 
 
 @query(f"select coalesce(liveness_alive_streak, 0) as streak, cast(pow(2, least(greatest(coalesce(liveness_alive_streak, 0) - 1, 0), 2)) as int) as wait_days, count(*) as jobs, count(*) filter (where liveness_checked_at is null or liveness_checked_at + to_days(cast(pow(2, least(greatest(coalesce(liveness_alive_streak, 0) - 1, 0), 2)) as int)) <= {_N}) as due from jobs group by 1, 2")
@@ -137,24 +153,27 @@ def backoff_due(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers about links, read from the store: gone where gone_at is set, alive where seen after NOW, else unknown; hosted where there is an apply URL."""
+    """Answers about links, read from the store: gone where gone_at is set, alive where seen after NOW, else unknown; hosted where there is an apply URL; dropped where the listing no longer has them."""
     x = links(spark, d).filter("job_id is not null")
-    rank = F.row_number().over(W.partitionBy("job_id").orderBy(F.desc(C.is_class("source", "employer")), "first_seen", "source", "source_id"))
-    return x.select(
-        "job_id", rank.alias("rank"), C.is_class("source", "employer").alias("employer"),
+    gone = C.dropped_from_listing(links(spark, d), now()).withColumn("dropped", F.lit(True))
+    rank = F.row_number().over(W.partitionBy("job_id").orderBy(*C.link_order()))
+    return x.join(gone, ["source", "source_id"], "left").select(
+        "job_id", rank.alias("rank"), "source", "dropped",
         F.when(F.col("gone_at").isNotNull(), "gone").when(F.col("last_seen") >= now(), "alive").otherwise("unknown").alias("answer"),
         F.col("apply_url").isNotNull().alias("hosted"), (F.col("last_seen") <= now() - F.make_dt_interval(F.lit(30))).alias("long_unseen"),
     )
 
 
-_ANSWERS = f"""(select job_id, source in ('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workday', 'successfactors', 'oracle') as employer, row_number() over (partition by job_id order by (source in ('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workday', 'successfactors', 'oracle')) desc, first_seen, source, source_id) as rank,
-    case when gone_at is not null then 'gone' when last_seen >= {_N} then 'alive' else 'unknown' end as answer, apply_url is not null as hosted, last_seen <= {_N} - interval 30 day as long_unseen from {_LINKS} where job_id is not null)"""
+_DROPPED = f"""(with m as (select source, board, source_id, max(last_seen) as last_seen from {_LINKS} where source in {_LISTING_ONLY} and board is not null group by 1, 2, 3), b as (select source, board, max(last_seen) as seen from m group by 1, 2)
+    select source, source_id from m join b using (source, board) where seen >= {_N} - interval 2 day and last_seen < {_N} - interval 2 day)"""
+_ANSWERS = f"""(select job_id, l.source, source in {_EMPLOYER} as employer, source in {_UNCHECKABLE} as silent, row_number() over (partition by job_id order by source not in {_EMPLOYER}, source <> 'indeed', first_seen, source, source_id) as rank,
+    case when gone_at is not null then 'gone' when last_seen >= {_N} then 'alive' when (source, source_id) in (select (source, source_id) from {_DROPPED}) then 'gone' else 'unknown' end as answer, apply_url is not null as hosted, last_seen <= {_N} - interval 30 day as long_unseen from {_LINKS} l where job_id is not null)"""
 
 
 @query(
-    f"""with r as (select job_id, arg_min(answer, rank) filter (where employer and answer <> 'unknown') as own, count(*) filter (where not employer) as others, min(rank) filter (where not employer and answer <> 'gone') as ng, arg_min(answer, rank) filter (where not employer and answer <> 'gone') as nga,
-      min(rank) filter (where not employer and answer = 'gone' and hosted) as hg, bool_or(long_unseen) as lu from {_ANSWERS} group by 1)
-    select job_id, case when own is not null then own when others = 0 then case when lu then 'gone' else 'unknown' end when hg is not null and (ng is null or hg < ng) then 'gone' else coalesce(nga, 'gone') end as result, coalesce(own = 'gone', false) as closed_by_employer from r"""
+    f"""with r as (select job_id, arg_min(answer, rank) filter (where employer and not silent and answer <> 'unknown') as own, count(*) filter (where not employer and not silent) as others, min(rank) filter (where not employer and not silent and answer <> 'gone') as ng, arg_min(answer, rank) filter (where not employer and not silent and answer <> 'gone') as nga,
+      min(rank) filter (where not employer and not silent and answer = 'gone' and hosted) as hg, count(*) filter (where not silent) as asked, bool_and(long_unseen) as lu from {_ANSWERS} group by 1)
+    select job_id, case when own is not null then own when others = 0 then case when asked = 0 and lu then 'gone' else 'unknown' end when hg is not null and (ng is null or hg < ng) then 'gone' else coalesce(nga, 'gone') end as result, coalesce(own = 'gone', false) as closed_by_employer from r"""
 )
 def closure_fold(spark: SparkSession, d: str) -> DataFrame:
     return C.fold_answers(answers(spark, d))
@@ -172,10 +191,7 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     return x.select("job_id", "cost", F.col("spent").cast("bigint").alias("spent"))
 
 
-@query(
-    f"""with m as (select source, board, source_id, max(last_seen) as last_seen from {_LINKS} where source in {_FULL} and board is not null group by 1, 2, 3), b as (select source, board, max(last_seen) as seen from m group by 1, 2)
-    select source, source_id from m join b using (source, board) where seen >= {_N} - interval 2 day and last_seen < {_N} - interval 2 day"""
-)
+@query(f"select source, source_id from {_DROPPED}")
 def listing_absence(spark: SparkSession, d: str) -> DataFrame:
     return C.dropped_from_listing(links(spark, d), now())
 
@@ -331,12 +347,17 @@ def input_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return V.fingerprints(table(spark, d, "jobs"))
 
 
+_AS_JOBS = "(select cast(ingest_seq as varchar) as job_id, title, company, location, city, description, salary, job_type, seen_at, url, ingest_seq from postings)"
+
+
 @query(
-    f"""with h as (select job_id, {_INPUT} as h from jobs), done as (select h.job_id, h, max(updated_at) as w from h join reviews using (job_id) group by 1, 2), best as (select h, arg_min(job_id, (epoch_us(w) * -1, job_id)) as twin_id from done group by 1)
-    select job_id, twin_id from h join best using (h) where job_id not in (select job_id from done)"""
+    f"""with h as (select job_id, {_INPUT} as h, ingest_seq, seen_at from {_AS_JOBS}), best as (select h, arg_min(job_id, (epoch_us(seen_at) * -1, job_id)) as twin_id from h where ingest_seq % 2 = 0 and seen_at is not null group by 1)
+    select job_id, twin_id from h join best using (h) where ingest_seq % 2 = 1 or seen_at is null"""
 )
 def twin_results(spark: SparkSession, d: str) -> DataFrame:
-    return V.twins(table(spark, d, "jobs"), table(spark, d, "reviews").select("job_id", F.col("updated_at").alias("written_at")))
+    """For postings of odd number an equal one of even number, whose result they could take over."""
+    p = table(spark, d, "postings").withColumn("job_id", F.col("ingest_seq").cast("string"))
+    return V.twins(p.select("job_id", *V.INPUTS), p.filter("ingest_seq % 2 = 0 and seen_at is not null").select("job_id", F.col("seen_at").alias("written_at")))
 
 
 @query(f"with w as (select job_id, case when closed_at is not null then 'closed' when excluded_at is not null then 'excluded' else 'open' end as want from jobs) select w.job_id, r.status as have, w.want from {_REVIEWS} r join w using (job_id) where r.status is distinct from w.want")
@@ -390,28 +411,40 @@ def replay_order(spark: SparkSession, d: str) -> DataFrame:
     return R.replay(raw, ["day", "first_seen", "source", "source_id", "job_id"]).agg(F.count("*").alias("snapshots"), F.max("seq").alias("last_seq"))
 
 
-_KEYED = "(select distinct job_id, coalesce('jid:' || nullif(regexp_extract(url, '[?&]jid=([^&#]+)', 1), ''), url) as k from job_sources where job_id is not null and url is not null)"
+_KEYED = "(select distinct cast(ingest_seq as varchar) as job_id, coalesce('jid:' || nullif(regexp_extract(url, '[?&]jid=([^&#]+)', 1), ''), url) as k from postings where url is not null)"
+_BARE = "(select cast(ingest_seq as varchar) as job_id, case when ingest_seq % 3 = 0 then '' else description end as description, seen_at as updated_at from postings)"
 
 
 @query(
-    f"""with g as (select k, max((j.updated_at, j.job_id)) as g from {_KEYED} k join jobs j using (job_id) where length(trim(j.description)) > 0 group by 1),
-    b as (select k.job_id, k.k from {_KEYED} k join jobs j using (job_id) where not coalesce(length(trim(j.description)) > 0, false))
+    f"""with g as (select k, max((j.updated_at, j.job_id)) as g from {_KEYED} k join {_BARE} j using (job_id) where length(trim(j.description)) > 0 group by 1),
+    b as (select k.job_id, k.k from {_KEYED} k join {_BARE} j using (job_id) where not coalesce(length(trim(j.description)) > 0, false))
     select b.job_id, arg_max(g.g[2], g.g) as from_job from b join g using (k) group by 1"""
 )
 def sibling_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    return E.sibling_texts(table(spark, d, "job_sources"), table(spark, d, "jobs"))
-
-
-_PAGES = {s: (f".{s}.invalid", r"^/(jobs)/([A-Z]?\d+)$") for s in ("greenhouse", "lever", "ashby", "workday")}
+    """For postings without a description (every third is taken for one) another posting of the same URL that has one."""
+    p = table(spark, d, "postings").withColumns({"job_id": F.col("ingest_seq").cast("string"), "updated_at": F.col("seen_at")})
+    bare = p.withColumn("description", F.when(F.col("ingest_seq") % 3 != 0, F.col("description")).otherwise(""))
+    return E.sibling_texts(p, bare)
 
 
 @query(
-    "select coalesce(case " + " ".join(f"when regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '\\.{s}\\.invalid$') and regexp_matches(url, '^https?://[^/]+/jobs/[A-Z]?[0-9]+$') then '{s}'" for s in ("greenhouse", "lever", "ashby", "workday")) + " end, 'none') as page, count(*) as links from job_sources group by 1"
+    """with u as (select source, source_id, case source when 'greenhouse' then 'https://boards.greenhouse.io/' || board || '/jobs/' || split_part(source_id, ':', 2) when 'lever' then 'https://jobs.lever.co/' || board || '/' || split_part(source_id, ':', 2)
+      when 'workday' then 'https://' || board || '.myworkdayjobs.com/en/site/job/x/' || split_part(source_id, ':', 2) || '/apply/now' when 'successfactors' then 'https://' || board || '.jobs.hr.cloud.sap/job/' || split_part(source_id, ':', 2) || '?a=b' else url end as url from job_sources)
+    select source, case source when 'greenhouse' then source_id when 'workday' then board_host || '.myworkdayjobs.com:' when 'successfactors' then board_host || '.jobs.hr.cloud.sap:' end as page_id, count(*) as links
+    from (select source, source_id, split_part(source_id, ':', 1) as board_host from u) group by 1, 2"""
 )
 def employer_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Links by the kind of employer's page that their URL is."""
-    page = E.employer_link("url", _PAGES)["source"]
-    return table(spark, d, "job_sources").groupBy(F.coalesce(page, F.lit("none")).alias("page")).agg(F.count("*").alias("links"))
+    """The employers' pages that links would lead to if they had the public shapes of these sites; ids that a site doesn't have (no UUID at lever) lead to none."""
+    number = F.element_at(F.split("source_id", ":"), -1)
+    url = (
+        F.when(F.col("source") == "greenhouse", F.concat(F.lit("https://boards.greenhouse.io/"), F.col("board"), F.lit("/jobs/"), number))
+        .when(F.col("source") == "lever", F.concat(F.lit("https://jobs.lever.co/"), F.col("board"), F.lit("/"), number))
+        .when(F.col("source") == "workday", F.concat(F.lit("https://"), F.col("board"), F.lit(".myworkdayjobs.com/en/site/job/x/"), number, F.lit("/apply/now")))
+        .when(F.col("source") == "successfactors", F.concat(F.lit("https://"), F.col("board"), F.lit(".jobs.hr.cloud.sap/job/"), number, F.lit("?a=b")))
+        .otherwise(F.col("url"))
+    )
+    page = E.employer_link(url)
+    return table(spark, d, "job_sources").groupBy("source", page["source_id"].alias("page_id")).agg(F.count("*").alias("links"))
 
 
 @query("select group_id, count(distinct job_id) as members, count(distinct case when job_id not in (select job_id from reviews) then job_id end) as unreviewed from dup_groups group by 1")

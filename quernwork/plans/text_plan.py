@@ -23,20 +23,24 @@ RULES = {
     "title_exclusions": ["senior", "lead", "kiln"],
     "title_exceptions": {"kiln": ["analyst"]},
     "companies": ["tarrowick*"],
+    "too_far": ["elmaby", "varnaby", "tambmere"],
 }
 
 #: SQL pieces. A text is folded to a-z, 0-9 and blanks and padded, so that a whole word is a substring.
 _PAD = "(' ' || trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g')) || ' ')"
 _TITLE_OK = f"({' or '.join(f'contains({_PAD.format("title")}, {w!r})' for w in (' technician ', ' scientist ', ' analyst ', ' assess'))})"
 _EXCLUDED = f"(contains({_PAD.format('title')}, ' senior ') or contains({_PAD.format('title')}, ' lead ') or (contains({_PAD.format('title')}, ' kiln ') and not contains({_PAD.format('title')}, ' analyst ')))"
-_FOREIGN = r"(regexp_matches(lower(strip_accents(p)), '\b(usa|united states|united kingdom|england|scotland|wales)\b') or regexp_matches(p, ', (AL|AK|AZ|AR|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|OH|OK|OR|PA|RI|TN|TX|UT|VT|VA|WA|WV|WI|WY)(,|$| )'))"
+_FOREIGN = rf"(regexp_matches(lower(strip_accents(p)), '{P.FOREIGN_WORDS}') or regexp_matches(p, '{P.FOREIGN_STATE}'))"
 _HOME = rf"list_filter(string_split_regex(coalesce(location, ''), '[;|\n]| / '), lambda p: contains(lower(strip_accents(p)), 'canada') or not {_FOREIGN})"
 _CITY = "case " + " ".join(
     f"when len(list_filter({_HOME}, lambda p: {' or '.join(f'contains({_PAD.format("p")}, {(" " + n.lower() + " ")!r})' for n in [c, *a])})) > 0 then '{c}'" for c, a in CITIES.items()
 ) + " end"
 _PART = "(contains(regexp_replace(lower(strip_accents(coalesce(job_type, ''))), '[^a-z]', '', 'g'), 'parttime') and not contains(regexp_replace(lower(strip_accents(coalesce(job_type, ''))), '[^a-z]', '', 'g'), 'fulltime'))"
-_REASON = f"case when {_CITY} is null and lower(coalesce(city, '')) not in ('nordbury', 'tambmere', 'keskmere') then 'location' when not {_TITLE_OK} then 'title' when {_EXCLUDED} then 'excluded_title' when contains({_PAD.format('company')}, ' tarrowick') then 'company' when {_PART} then 'job_type' end"
-_SUFFIX = "(inc|incorporated|ltd|limited|llc|corp|corporation|co|company|ltee|limitee|group|canada|the|enr)"
+_TOWNS = ["tambmere", "keskmere", "elmaby", "nordbury", "varnaby"]
+_TOO_FAR = r"""(select len(names) > 0 and len(list_filter(names, lambda p: p not in ({0}))) = 0 from (select list_filter(list_transform(string_split_regex(lower(strip_accents(coalesce(location, ''))), '[;|\n]| / |\)\s+'), lambda p: trim(regexp_extract(p, '^([^,(]*)', 1))), lambda p: p <> '') as names))"""
+_FAR = _TOO_FAR.format(", ".join(repr(t) for t in RULES["too_far"]))
+_REASON = f"case when ({_CITY} is null and lower(coalesce(city, '')) not in ('nordbury', 'tambmere', 'keskmere')) or {_FAR} then 'location' when not {_TITLE_OK} then 'title' when {_EXCLUDED} then 'excluded_title' when contains({_PAD.format('company')}, ' tarrowick') then 'company' when {_PART} then 'job_type' end"
+_SUFFIX = "(" + "|".join(X.COMPANY_SUFFIXES) + ")"
 _COMPANY = f"trim(regexp_replace(regexp_replace('  ' || replace(trim(regexp_replace(lower(strip_accents(coalesce(company, ''))), '[^a-z0-9]+', ' ', 'g')), ' ', '  ') || '  ', ' {_SUFFIX} ', ' ', 'g'), ' +', ' ', 'g'))"
 _TITLE = "trim(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[^a-z0-9]+', ' ', 'g'))"
 KEY = f"concat_ws('|', {_COMPANY}, {_TITLE}, lower(coalesce(city, '')))"
@@ -44,7 +48,7 @@ KEY = f"concat_ws('|', {_COMPANY}, {_TITLE}, lower(coalesce(city, '')))"
 
 def _clean(c: str) -> str:
     t = rf"regexp_replace(regexp_replace(coalesce({c}, ''), '[ \t\r\f\v]+', ' ', 'g'), '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')"
-    return f"case when lower({t}) in ('nan', 'none', 'nat', 'null') then '' else {t} end"
+    return f"case when lower({t}) in ('nan', 'none', 'nat') then '' else {t} end"
 
 
 def query(sql: str | None = None):
@@ -94,9 +98,6 @@ def title_keywords(spark: SparkSession, d: str) -> DataFrame:
     return j.select("job_id", P.keyword_match("title", RULES["titles"]).alias("kept"), P.keyword_excluded("title", RULES["title_exclusions"], RULES["title_exceptions"]).alias("excluded"))
 
 
-_TOWNS = ["tambmere", "keskmere", "elmaby", "nordbury", "varnaby"]
-
-
 @query(
     r"""with t as (select job_id, list_filter(list_transform(string_split_regex(lower(strip_accents(coalesce(location, ''))), '[;|\n]| / |\)\s+'), lambda p: trim(regexp_extract(p, '^([^,(]*)', 1))), lambda p: p <> '') as names from jobs)
     select job_id, len(names) > 0 and len(list_filter(names, lambda p: p not in ('tambmere', 'keskmere', 'elmaby', 'nordbury', 'varnaby'))) = 0 as too_far from t"""
@@ -197,7 +198,7 @@ def annual_maxima_of_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""select job_id, regexp_matches(lower(coalesce(salary, '') || ' ' || coalesce(description, '')), 'negotiable|commensurate|depend(s|ing|ent)? (on|upon) (experience|qualifications)|\bdoe\b|based on experience|to be discussed') as open from jobs"""
+    "select job_id, regexp_matches(regexp_replace(lower(coalesce(salary, '') || chr(10) || coalesce(description, '')), '" + X.FIRM_PAY + "', chr(10), 'g'), '" + X.OPEN_PAY + "') as open from jobs"
 )
 def open_pay(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("job_id", X.pay_is_open("salary", "description").alias("open"))

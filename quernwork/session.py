@@ -28,9 +28,11 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset (one machine, tests), a folder of our own, set in the session."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset on one machine (tests), a folder of our own, set in the session. A cluster without the setting is an error: its machines don't see each other's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quernwork-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)

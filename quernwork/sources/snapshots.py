@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,9 +25,9 @@ _POSTING = ["source_id", "url", "title", "location", "description", "posted_date
 
 
 def _exploded(df: DataFrame, array_json: Column, item: str) -> DataFrame:
-    """One row per element of a JSON array of objects, each parsed by itself, so that a malformed one spoils no other."""
+    """One row per element of a JSON array of objects, each parsed by itself, so that a malformed one spoils no other; a body without such an array is one row without an item. An empty array has no rows."""
     items = F.from_json(array_json, "array<string>")
-    return df.withColumn("_text", F.explode(items)).withColumn("_item", F.from_json("_text", item))
+    return df.withColumn("_text", F.explode(F.coalesce(items, F.array(F.col("body"))))).withColumn("_item", F.when(items.isNotNull(), F.from_json("_text", item)))
 
 
 def _split(rows: DataFrame, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,7 @@ def read_job_lists(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Boards of the form {"jobs": [{id, absolute_url, title, location: {name}, content, updated_at}]} in df (board, body): (postings, malformed elements)."""
     rows = _exploded(df, F.get_json_object("body", "$.jobs"), "id string, absolute_url string, title string, location struct<name: string>, content string, updated_at string")
     i = F.col("_item")
-    return _split(rows, {"source_id": F.concat_ws(":", "board", i["id"]), "url": i["absolute_url"], "title": i["title"], "location": F.coalesce(i["location"]["name"], F.lit("")), "description": html_text(i["content"]), "posted_date": parse_date(i["updated_at"])})
+    return _split(rows, {"source_id": F.when(F.length(i["id"]) > 0, F.concat_ws(":", "board", i["id"])), "url": i["absolute_url"], "title": i["title"], "location": F.coalesce(i["location"]["name"], F.lit("")), "description": html_text(i["content"]), "posted_date": parse_date(i["updated_at"])})
 
 
 def read_posting_arrays(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,29 +49,53 @@ def read_posting_arrays(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     i = F.col("_item")
     places = F.array_join(F.filter(F.array_distinct(F.concat(F.array(i["categories"]["location"]), F.coalesce(i["categories"]["allLocations"], F.expr("array()").cast("array<string>")))), lambda x: F.length(x) > 0), "; ")
     lists = F.array_join(F.transform(F.coalesce(i["lists"], F.expr("array()").cast("array<struct<text: string, content: string>>")), lambda x: F.concat_ws("\n", x["text"], x["content"])), "\n")
-    return _split(rows, {"source_id": F.concat_ws(":", "board", i["id"]), "url": i["hostedUrl"], "title": i["text"], "location": places, "description": html_text(F.concat_ws("\n", i["descriptionPlain"], F.nullif(lists, F.lit("")))), "posted_date": parse_date(i["createdAt"])})
+    return _split(rows, {"source_id": F.when(F.length(i["id"]) > 0, F.concat_ws(":", "board", i["id"])), "url": i["hostedUrl"], "title": i["text"], "location": places, "description": html_text(F.concat_ws("\n", i["descriptionPlain"], F.nullif(lists, F.lit("")))), "posted_date": parse_date(i["createdAt"])})
 
 
 def read_listed_jobs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Boards of the form {"jobs": [{id, jobUrl, title, isListed, location, secondaryLocations: [{location}], descriptionHtml, publishedAt}]}; unlisted postings are left out."""
     rows = _exploded(df, F.get_json_object("body", "$.jobs"), "id string, jobUrl string, title string, isListed boolean, location string, secondaryLocations array<struct<location: string>>, descriptionHtml string, publishedAt string")
-    rows = rows.filter(F.coalesce(F.col("_item.isListed"), F.lit(True)))
+    rows = rows.filter(F.coalesce(F.col("_item.isListed"), F.lit(True)))  # a malformed one stays, for the quarantine
     i = F.col("_item")
     places = F.array_join(F.concat(F.array(F.coalesce(i["location"], F.lit(""))), F.coalesce(F.transform(i["secondaryLocations"], lambda x: x["location"]), F.expr("array()").cast("array<string>"))), "; ")
-    return _split(rows, {"source_id": F.concat_ws(":", "board", i["id"]), "url": i["jobUrl"], "title": i["title"], "location": places, "description": html_text(i["descriptionHtml"]), "posted_date": parse_date(i["publishedAt"])})
+    return _split(rows, {"source_id": F.when(F.length(i["id"]) > 0, F.concat_ws(":", "board", i["id"])), "url": i["jobUrl"], "title": i["title"], "location": places, "description": html_text(i["descriptionHtml"]), "posted_date": parse_date(i["publishedAt"])})
+
+
+def _leaves(facets: list, parameter: str | None) -> list[tuple]:
+    out = []
+    for f in facets:
+        if not isinstance(f, dict):
+            continue
+        p = f.get("facetParameter") or parameter
+        if f.get("values") is not None:
+            out += _leaves(f["values"] if isinstance(f["values"], list) else [], p)
+        elif f.get("id"):
+            out.append((p, str(f["id"]), f.get("descriptor")))
+    return out
 
 
-def flatten_facets(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
-    """(board, parameter, id, descriptor): the leaves of nested facets [{facetParameter, values: [{id, descriptor, facetParameter?, values?}]}] down to `depth` levels, level by level."""
-    leaf = "array<struct<facetParameter: string, id: string, descriptor: string, values: string>>"
-    level = df.select("board", F.explode(F.from_json(column, leaf)).alias("f"), F.lit(None).cast("string").alias("parent"))
-    out = None
-    for _ in range(depth):
-        named = level.select("board", F.coalesce("f.facetParameter", "parent").alias("parameter"), "f")
-        leaves = named.filter("f.values is null and f.id is not null").select("board", "parameter", "f.id", "f.descriptor")
-        out = leaves if out is None else out.unionByName(leaves)
-        level = named.filter("f.values is not null").select("board", F.explode(F.from_json("f.values", leaf)).alias("f"), F.col("parameter").alias("parent"))
-    return out
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("parameter", "id", "descriptor")])))
+def _facet_leaves(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list:
+        try:
+            parsed = json.loads(text or "[]")
+        except ValueError:
+            parsed = []
+        return [dict(zip(("parameter", "id", "descriptor"), x, strict=True)) for x in _leaves(parsed if isinstance(parsed, list) else [], None)]
+
+    return texts.map(one)
+
+
+def flatten_facets(df: DataFrame, column: str) -> DataFrame:
+    """(board, parameter, id, descriptor): the leaves of facets [{facetParameter, values: [{id, descriptor, facetParameter?, values?}]}] nested to any depth, with the parameter nearest above; text that is no such list has none."""
+    return df.select("board", F.explode(_facet_leaves(column)).alias("f")).select("board", "f.*")
+
+
+def location_filter(leaves: DataFrame, is_ours: Column, country: str = "Canada") -> DataFrame:
+    """(board, parameter, ids): how each board's search is narrowed to our places: its facet of the whole country, else for each parameter the sorted ids of the places that is_ours (a condition on descriptor) holds for. Boards with neither have no row."""
+    whole = leaves.filter(F.col("descriptor") == country).groupBy("board").agg(F.min(F.struct("parameter", "id")).alias("w"))
+    ours = leaves.filter(is_ours).join(whole, "board", "left_anti").groupBy("board", "parameter").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return whole.select("board", "w.parameter", F.array("w.id").alias("ids")).unionByName(ours)
 
 
 def read_feed(df: DataFrame) -> DataFrame:
@@ -134,10 +159,10 @@ def read_tiles(df: DataFrame, column: str = "html") -> DataFrame:
 
 
 def union_sources(frames: list[DataFrame], order: str = "ingest_seq") -> DataFrame:
-    """All frames by name, missing columns as nulls, with a number that keeps the frames' order (and the order of rows within one read)."""
+    """All frames by name, missing columns as nulls, with a struct that keeps the frames' order (and the order of rows within one read), for any number of partitions."""
     out = None
     for n, f in enumerate(frames):
-        f = f.withColumn(order, F.lit(n).cast("bigint") * F.lit(2**48).cast("bigint") + F.monotonically_increasing_id())
+        f = f.withColumn(order, F.struct(F.lit(n).alias("source_no"), F.monotonically_increasing_id().alias("row_no")))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     if out is None:
         raise ValueError("no source")
