@@ -84,7 +84,8 @@ def classify(responses: DataFrame) -> DataFrame:
     gone = gone | ((source == "zip_recruiter") & off & ~on) | ((source == "oracle") & (j("$.count") == "0") & (F.size(items) == 0))
     for name, mark in GONE_MARKS.items():
         gone = gone | ((source == name) & F.col("body").rlike(mark))
-    ruled = source.isin(*ALIVE_FIELDS, *ALIVE_MARKS, "workday", "oracle", "zip_recruiter")
+    named = source.isin(*ALIVE_MARKS, "workday", "zip_recruiter") | F.contains("source_id", F.lit(":"))  # the others are asked by board and id
+    ruled = source.isin(*ALIVE_FIELDS, *ALIVE_MARKS, "workday", "oracle", "zip_recruiter") & named
     refused = (source == "workday") & (F.col("status") == 403) & (j("$.errorCode") == "S22")
     no = F.lit(False)
     answer = F.when(ruled & (F.col("status").isin(404, 410) | F.coalesce(refused, no)), "gone").when(ok & F.coalesce(alive, no), "alive").when(ok & F.coalesce(gone, no), "gone").otherwise("unknown")

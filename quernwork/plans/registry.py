@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["pay_plan", "text_plan", "store_plan"]
+_MODULES = ["pay_plan", "text_plan", "store_plan", "flow_plan"]
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ def read_until_stop(items: DataFrame, scope: list[str], page: str, key: str, tot
     fresh = F.coalesce("_fresh", F.lit(0))
     pages = pages.withColumns({"_whole": F.count("*").over(so_far) == F.col(page) + 1, "_met": F.sum(fresh).over(so_far), "_said": F.first(F.when(F.col("_total") > 0, F.col("_total")), ignorenulls=True).over(so_far)})
     pages = pages.withColumn("_goes_on", F.col("_whole") & (fresh > 0) & (F.col("_said").isNull() | (F.col("_met") < F.col("_said"))))
-    read = pages.filter(F.col("_whole") & (fresh > 0)).withColumn("_reached", F.coalesce(F.bool_and("_goes_on").over(before), F.lit(True))).filter("_reached")
+    read = pages.withColumn("_reached", F.coalesce(F.bool_and("_goes_on").over(before), F.lit(True))).filter(F.col("_reached") & F.col("_whole") & (fresh > 0))
     return items.join(read.select(*scope, page), [*scope, page], "left_semi")
 
 
@@ -115,8 +115,15 @@ class _Nodes(HTMLParser):
     def find(self, test, within: dict | None = None) -> list[dict]:
         return [n for n in self.nodes if test(n) and (within is None or any(x is within for x in n["inside"]))]
 
-    def text(self, node: dict | None) -> str:
-        return " ".join(html_text_py(self.page[node["start"] : node["end"]]).split()) if node else ""
+    def text(self, node: dict | None, hidden: str | None = None) -> str:
+        """The text of a node as one line, without the inner nodes of a class that readers don't see."""
+        if not node:
+            return ""
+        markup, at = "", node["start"]
+        for n in self.find(lambda n: hidden in n["classes"], node) if hidden else []:
+            if n["start"] >= at:
+                markup, at = markup + self.page[at : n["start"]] + " ", n["end"]
+        return " ".join(html_text_py(markup + self.page[at : node["end"]]).split())
 
     def long_text(self, node: dict | None) -> str:
         return html_text_py(self.page[node["start"] : node["end"]]) if node else ""
@@ -140,7 +147,7 @@ def results_of(page: str | None) -> dict | None:
     for row in doc.find(lambda n: n["tag"] == "article" and n["attrs"].get("id", "").startswith("article-")):
         link = _first(doc.find(lambda n: n["tag"] == "a" and "resultJobItem" in n["classes"], row))
         number = re.search(r"/jobposting/(\d+)(?:[;/?]|$)", link["attrs"].get("href", "")) if link else None
-        field = lambda name, row=row: doc.text(_first(doc.find(lambda n: name in n["classes"] and "wb-inv" not in n["classes"], row)))
+        field = lambda name, row=row: doc.text(_first(doc.find(lambda n: name in n["classes"], row)), "wb-inv")
         if number and (title := field("noctitle")):
             rows.append({"source_id": number[1], "title": title, "company": field("business"), "location": field("location"), "salary": re.sub(r"^Salary\s*", "", field("salary")), "date": field("date")})
     return {"total": int(digits), "rows": rows}
@@ -197,7 +204,8 @@ def detail_of(kind: str | None, page: str | None) -> dict:
             outside = _first(doc.find(lambda n: n["attrs"].get("id") == "externalJobLink" and n["attrs"].get("href"), holder))
             hidden = _first(doc.find(lambda n: n["attrs"].get("property") == "description", holder))
             text = _markup(doc.long_text(hidden)) if outside and hidden else "" if outside else None
-        out["description"], out["fault"] = text, None if text is not None and (text or holder) else "neither requirements nor a link outside"
+        read = bool(text) or (holder is not None and text is not None)
+        out["description"], out["fault"] = (text, None) if read else (None, "neither requirements nor a link outside")
     elif kind == "guest":
         out["description"], out["salary"] = doc.long_text(by_class("show-more-less-html__markup")), doc.text(by_class("compensation__salary"))
     elif kind == "tile":

@@ -98,14 +98,19 @@ def location_filter(leaves: DataFrame, is_ours: Column, country: str = "Canada")
     return whole.select("board", "w.parameter", F.array("w.id").alias("ids")).unionByName(ours)
 
 
-def read_feed(df: DataFrame) -> DataFrame:
-    """(source_id, url, title, updated, summary) of Atom entries, one XML text of an entry in each row of df (entry); entries without a link or title are left out."""
+def feed_entries(df: DataFrame, column: str = "feed") -> DataFrame:
+    """(entry): the entries of whole feeds; a feed without any has none."""
+    return df.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)(<entry[\s>].*?</entry>)"), F.lit(1))).alias("entry"))
+
+
+def read_feed(df: DataFrame, site: str = "") -> DataFrame:
+    """(source_id, url, title, updated, summary) of Atom entries, one XML text of an entry in each row of df (entry); entries without a title, or whose link doesn't start with `site` or end with a number, are left out."""
     def at(path: str) -> Column:
         return F.xpath_string("entry", F.lit(path))
 
     out = df.filter("entry is not null").select(at("//link/@href").alias("url"), at("//title").alias("title"), at("//updated").alias("updated"), at("//summary").alias("summary"))
-    out = out.filter("length(url) > 0 and length(title) > 0")
-    return out.select(F.regexp_extract("url", r"(\d+)/?$", 1).alias("source_id"), "url", "title", parse_date("updated").alias("updated"), "summary")
+    out = out.withColumn("source_id", F.regexp_extract("url", r"/(\d+)/?$", 1)).filter(F.col("url").startswith(site) & (F.col("source_id") != "") & (F.length(F.trim("title")) > 0))
+    return out.select("source_id", "url", "title", parse_date("updated").alias("updated"), "summary")
 
 
 def summary_field(c: Column | str, label: str) -> Column:

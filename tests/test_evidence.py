@@ -8,16 +8,19 @@ from quernwork.operators import evidence as E
 
 
 def test_employer_link(spark):
-    urls = ["https://boards.greenhouse.io/acme/jobs/77", "https://jobs.lever.co/acme/12345678-1234-1234-1234-123456789abc/apply", "https://x.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/job/9", "https://evil.invalid/acme/jobs/77", "https://greenhouse.io.invalid/a/jobs/1", "not a url", None, ""]
+    urls = ["https://boards.greenhouse.io/acme/jobs/77", "https://jobs.lever.co/acme/12345678-1234-1234-1234-123456789abc/apply", "https://x.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/job/9", "https://evil.invalid/acme/jobs/77", "https://greenhouse.io.invalid/a/jobs/1", "not a url", None, "", "https://acme.wd3.myworkdayjobs.com/en/Site/job/Here/Clerk_R1/apply/now?x=1", "https://acme.wd3.myworkdayjobs.com/en/Site/job", "https://a.jobs.hr.cloud.sap/job/1?x=2", "https://a.jobs.hr.cloud.sap/jobs/1", "https://jobs.lever.co/acme/123", "https://x.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/requisitions/preview/9"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(E.employer_link("u")["source_id"]).collect()]
-    assert got == ["acme:77", "acme:12345678-1234-1234-1234-123456789abc", "CX:9", None, None, None, None, None]
+    assert got == ["acme:77", "acme:12345678-1234-1234-1234-123456789abc", "CX:9", None, None, None, None, None, "acme.wd3.myworkdayjobs.com:", None, "a.jobs.hr.cloud.sap:", None, None, "CX:9"]
+    url = spark.createDataFrame([(urls[8],), (urls[10],)], "u string").select(E.employer_link("u")["url"]).collect()
+    assert [r[0] for r in url] == ["https://acme.wd3.myworkdayjobs.com/en/Site/job/Here/Clerk_R1", "https://a.jobs.hr.cloud.sap/job/1"]
 
 
 def test_classify(spark):
     ok = json.dumps({"id": 7, "title": "T"})
     data = [("greenhouse", "b:7", 200, ok), ("greenhouse", "b:8", 200, ok), ("greenhouse", "b:7", 404, None), ("lever", "b:7", 410, ""), ("greenhouse", "b:7", 500, ok), ("greenhouse", "b:7", 200, "{bad"), ("greenhouse", "7", 404, None), ("indeed", "b:7", 404, None), ("greenhouse", "b:7", None, None), ("smartrecruiters", "b:7", 200, '{"id":"7","name":"T","active":false}'), ("smartrecruiters", "b:7", 200, '{"id":"7","name":"T"}')]
+    data += [("workday", "w", 403, '{"errorCode":"S22"}'), ("workday", "w", 403, "{}"), ("workday", "w", 200, '{"jobPostingInfo":{"title":"t","jobReqId":"r"}}'), ("oracle", "s:7", 200, '{"count":0,"items":[]}'), ("oracle", "s:7", 200, '{"count":1,"items":[{"Id":"7","Title":"t"}]}'), ("oracle", "s:7", 200, '{"count":1,"items":[{"Id":"8","Title":"t"}]}'), ("linkedin", "1", 200, '<h1 class="top-card-layout__title">x</h1><figure class="closed-job">'), ("linkedin", "1", 200, '<h1 class="top-card-layout__title">'), ("zip_recruiter", "1", 200, '{"status":{"isActive":true,"deactivatedAtUtc":"x"}}'), ("zip_recruiter", "1", 200, '{"status":{"deactivatedAtUtc":"x"}}'), ("successfactors", "1", 200, "you can't view this job because it\u2019s not available at this time"), ("jobbank", "1", 410, None)]
     got = [r.answer for r in E.classify(spark.createDataFrame(data, "source string, source_id string, status int, body string")).collect()]
-    assert got == ["alive", "unknown", "gone", "gone", "unknown", "unknown", "unknown", "unknown", "unknown", "unknown", "alive"]
+    assert got == ["alive", "unknown", "gone", "gone", "unknown", "unknown", "unknown", "unknown", "unknown", "unknown", "alive", "gone", "unknown", "alive", "gone", "alive", "unknown", "gone", "alive", "unknown", "gone", "gone", "gone"]
 
 
 def test_boards(spark):

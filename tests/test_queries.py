@@ -38,4 +38,5 @@ def test_query(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))
 def test_query_without_sql_runs(spark, sf, name):
-    assert Q[name](spark, sf).count() >= 0
+    rows = Q[name](spark, sf).collect()
+    assert len(rows) == len(set(map(str, rows))) or name in ("description_pay", "html_texts")  # every row is another one

@@ -115,9 +115,12 @@ def test_rejected_history(spark):
 
 def fold(answers, long_unseen):
     """The answers of one job one after the other."""
-    result = "unknown" if any(not e for e, _, _ in answers) is False and not long_unseen else ("gone" if long_unseen and not [1 for e, _, _ in answers if not e] else "unknown")
+    asked = [a for a in answers if a[0] != "glassdoor"]
+    result = "gone" if not asked and long_unseen else "unknown"
     closed = False
-    for employer, answer, hosted in answers:
+    for source, answer, hosted, dropped in asked:
+        employer = source in C.CLASSES["employer"]
+        answer = "gone" if answer == "unknown" and dropped and source == "ashby" else answer
         if employer and answer == "unknown":
             continue
         result = answer
@@ -133,11 +136,12 @@ def test_closure_fold_matches_sequential_model(spark):
     rnd = random.Random(3)
     data, want = [], {}
     for j in range(300):
-        lu = rnd.random() < 0.3
-        answers = sorted(((rnd.random() < 0.4, rnd.choice(["gone", "alive", "unknown"]), rnd.random() < 0.3) for _ in range(rnd.randrange(1, 5))), key=lambda a: not a[0])
-        data += [(f"j{j}", n, e, a, h, lu) for n, (e, a, h) in enumerate(answers)]
-        want[f"j{j}"] = fold(answers, lu)
-    df = spark.createDataFrame(data, "job_id string, rank int, employer boolean, answer string, hosted boolean, long_unseen boolean")
+        pick = lambda: (rnd.choice(["ashby", "oracle", "indeed", "linkedin", "glassdoor"]), rnd.choice(["gone", "alive", "unknown"]), rnd.random() < 0.3, rnd.random() < 0.3)
+        answers = sorted((pick() for _ in range(rnd.randrange(1, 5))), key=lambda a: a[0] not in C.CLASSES["employer"])
+        unseen = [rnd.random() < 0.7 for _ in answers]
+        data += [(f"j{j}", n, *a, u) for n, (a, u) in enumerate(zip(answers, unseen, strict=True))]
+        want[f"j{j}"] = fold(answers, all(unseen))
+    df = spark.createDataFrame(data, "job_id string, rank int, source string, answer string, hosted boolean, dropped boolean, long_unseen boolean")
     got = {r.job_id: (r.result, r.closed_by_employer) for r in C.fold_answers(df).collect()}
     assert got == want
 
@@ -171,8 +175,8 @@ def test_best_url(spark):
 
 def test_absence_needs_a_live_board(spark):
     s = "source string, source_id string, board string, last_seen timestamp_ntz"
-    links = spark.createDataFrame([("lever", "b:1", "b", day(0)), ("lever", "b:2", "b", day(9)), ("lever", "c:1", "c", day(0)), ("indeed", "b:1", "b", day(0)), ("lever", "x", None, day(0))], s)
-    assert rows(C.dropped_from_listing(links, ts(day(10)))) == [("lever", "b:1")]
+    links = spark.createDataFrame([("ashby", "b:1", "b", day(0)), ("ashby", "b:2", "b", day(9)), ("ashby", "c:1", "c", day(0)), ("indeed", "b:1", "b", day(0)), ("ashby", "x", None, day(0)), ("lever", "b:1", "b", day(0)), ("lever", "b:2", "b", day(9))], s)
+    assert rows(C.dropped_from_listing(links, ts(day(10)))) == [("ashby", "b:1")]
 
 
 def test_fingerprint_is_of_the_set(spark):
@@ -186,7 +190,7 @@ def test_fingerprint_is_of_the_set(spark):
 def test_lookback(spark):
     df = spark.createDataFrame([(None, day(1)), (day(0), day(0, 3601)), (day(0), day(10))], "a timestamp_ntz, b timestamp_ntz")
     assert [r[0] for r in df.select(I.lookback_hours(F.col("a"), F.col("b"), 72)).collect()] == [None, 72, 242]
-    assert I.or_query(["a", "b c"]) == 'a OR "b c"' and I.rotation(["x", "y"], 3) == "y"
+    assert df.select(I.or_query(F.array(F.lit("a"), F.lit("b c")))).first()[0] == 'a OR "b c"' and I.rotation(["x", "y"], 3) == "y"
 
 
 def test_replay_order(spark):
