@@ -240,10 +240,10 @@ def aligned_end(short: str, long: str) -> str | None:
     return "complete" if b[k + 1] == a[-1] and k + 2 < len(b) else None
 
 
-def _positions(text: str) -> set[tuple[int, str, bool]]:
-    """(words, next, more) for every four words of a text that a word follows: their hash, that word, and whether its line or sentence goes on behind it."""
+def _positions(text: str) -> set[tuple[int, str, str]]:
+    """(words, next, behind) for every four words of a text that a word follows: their hash, that word, and what stands behind it: "on" where its line or sentence goes on, the mark of its unit's end where another unit follows, "" at the end of the text."""
     units = _units(text)
-    ws = [(w, units[i + 1] not in _MARKS) for i, w in enumerate(units) if w not in _MARKS]
+    ws = [(w, "on" if units[i + 1] not in _MARKS else units[i + 1] if i + 2 < len(units) else "") for i, w in enumerate(units) if w not in _MARKS]
     return {(_hash(" ".join(w for w, _ in ws[i - SHINGLE + 1 : i]).encode()), *ws[i]) for i in range(SHINGLE - 1, len(ws))}
 
 
@@ -254,10 +254,10 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_facts(texts: DataFrame) -> DataFrame:
-    """What one pass over the texts (id, text) gives: id, the sign and words of closing(), size, shingles, tail, last and bands of those long enough to align, and, in rows without an id, the counts of Uses."""
+    """What one pass over the texts (id, text) gives: id, the sign and words of closing(), size, shingles, tail, last, mark (of the end) and bands of those long enough to align, and, in rows without an id, the counts of Uses."""
     kind = dict(texts.dtypes)["id"]
-    schema = f"id {kind}, sign string, bullet boolean, a string, b string, w string, size int, shingles int, tail bigint, last string, bands array<bigint>, u_bullet array<boolean>, u_a array<string>, u_b array<string>, u_w array<string>, u_kind array<int>, u_n array<bigint>"
-    names = ["id", "sign", "bullet", "a", "b", "w", "size", "shingles", "tail", "last", "bands"]
+    schema = f"id {kind}, sign string, bullet boolean, a string, b string, w string, size int, shingles int, tail bigint, last string, mark string, bands array<bigint>, u_bullet array<boolean>, u_a array<string>, u_b array<string>, u_w array<string>, u_kind array<int>, u_n array<bigint>"
+    names = ["id", "sign", "bullet", "a", "b", "w", "size", "shingles", "tail", "last", "mark", "bands"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uses = Uses()
@@ -268,11 +268,12 @@ def text_facts(texts: DataFrame) -> DataFrame:
                 if end[0] == "none":
                     continue
                 uses.add(_lines(t))
-                ws = [w for w in _units(t) if w not in _MARKS]
-                more = (None, None, None, None, None)
+                units = _units(t)
+                ws = [w for w in units if w not in _MARKS]
+                more = (None, None, None, None, None, None)
                 if len(ws) >= SHINGLE + 2:
                     hashes = shingle_hashes(ws)
-                    more = (len(ws), len(hashes), _hash(" ".join(ws[-SHINGLE:-1]).encode()), ws[-1], band_keys(hashes))
+                    more = (len(ws), len(hashes), _hash(" ".join(ws[-SHINGLE:-1]).encode()), ws[-1], units[-1], band_keys(hashes))
                 rows.append((i, *end, *more))
                 if uses.texts >= COUNTED:
                     yield of([], uses)
@@ -294,15 +295,17 @@ def aligned_ends(facts: DataFrame, texts: DataFrame) -> DataFrame:
 
     In a bucket of up to SMALL_BUCKET texts each is aligned with every other that is as long and
     near enough in its number of shingles. In larger ones a text meets only those that hold its four words before the last one and
-    go on behind its last word, which a cut needs; of these first two for each of its buckets, then, where
-    none of the two settled it, all the others. So every longer near copy that shares a band and shows a cut is met.
+    behind them its last word or a longer one, which either verdict needs: a longer one or a line that goes on for "cut", the end of a unit alike
+    with another one behind it for "complete". Of these first two for each of its buckets, then, where
+    they settled nothing that goes before, all the others. So every longer near copy that shares a band and says something is met, and
+    the ends are those that all pairs of all buckets give, whatever SMALL_BUCKET is.
     """
     kind = dict(texts.dtypes)["id"]
     texts = texts.select("id", "text")
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, *x) for i, t in zip(b["id"], b["text"], strict=True) for x in _positions(t)], columns=["long_id", "tail", "next", "more"])
+            yield pd.DataFrame([(i, *x) for i, t in zip(b["id"], b["text"], strict=True) for x in _positions(t)], columns=["long_id", "tail", "next", "behind"])
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -313,7 +316,7 @@ def aligned_ends(facts: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.select("id", "long_id").distinct().join(texts, "id").join(texts.select(F.col("id").alias("long_id"), F.col("text").alias("long")), "long_id")
         return both.mapInPandas(align, f"id {kind}, end string").groupBy("id").agg(F.max("end").alias("end"))
 
-    bands = facts.filter("bands is not null").select("id", "size", "shingles", "tail", "last", F.posexplode("bands").alias("band", "key"))
+    bands = facts.filter("bands is not null").select("id", "size", "shingles", "tail", "last", "mark", F.posexplode("bands").alias("band", "key"))
     buckets = stored(bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     longer = lambda d: d.select("band", "key", F.col("id").alias("long_id"), F.col("size").alias("long_size"), F.col("shingles").alias("long_shingles"))
     fits = f"long_id <> id and long_size >= size and least(shingles, long_shingles) >= {SIMILAR} * greatest(shingles, long_shingles) - 1e-6"
@@ -322,16 +325,19 @@ def aligned_ends(facts: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = few.join(longer(few), ["band", "key"]).filter(fits)
 
     many = stored(bands.join(buckets.filter(F.col("n") > SMALL_BUCKET), ["band", "key"]).drop("n"), "crowded")
-    held = texts.join(many.select("id").distinct(), "id", "left_semi").mapInPandas(positions, f"long_id {kind}, tail bigint, next string, more boolean")
-    met = held.join(many.select("tail", "last").distinct(), "tail").filter(F.col("next").startswith(F.col("last")) & ((F.col("next") != F.col("last")) | F.col("more")))
-    met = stored(met.select("tail", "last", "long_id").distinct(), "continued")
-    keys = ["band", "key", "tail", "last"]
+    held = texts.join(many.select("id").distinct(), "id", "left_semi").mapInPandas(positions, f"long_id {kind}, tail bigint, next string, behind string")
+    says = F.when((F.col("next") != F.col("last")) | (F.col("behind") == "on"), "cut").when(F.col("behind") == F.col("mark"), "complete")
+    met = held.join(many.select("tail", "last", "mark").distinct(), "tail").filter(F.col("next").startswith(F.col("last"))).withColumn("says", says).filter("says is not null")
+    met = stored(met.select("tail", "last", "mark", "says", "long_id").distinct(), "continued")
+    keys = ["band", "key", "tail", "last", "mark"]
     longs = met.join(longer(many), "long_id").join(many.select(keys).distinct(), keys, "left_semi")
-    picks = longs.groupBy(keys).agg(F.max(F.struct("long_size", "long_id", "long_shingles")).alias("longest"), F.max(F.struct(F.xxhash64("long_id", "band").alias("h"), "long_size", "long_id", "long_shingles")).alias("drawn"))
+    picks = longs.groupBy(*keys, "says").agg(F.max(F.struct("long_size", "long_id", "long_shingles")).alias("longest"), F.max(F.struct(F.xxhash64("long_id", "band").alias("h"), "long_size", "long_id", "long_shingles")).alias("drawn"))
     first = many.join(picks, keys).select("id", "size", "shingles", F.explode(F.array(*[F.struct(*[f"{p}.{c}" for c in ("long_size", "long_id", "long_shingles")]) for p in ("longest", "drawn")])).alias("p")).select("id", "size", "shingles", "p.*").filter(fits)
     first = stored(first.select("id", "long_id").distinct(), "first-pairs")
     settled = stored(aligned(pairs.select("id", "long_id").unionByName(first)), "settled")
-    rest = many.join(settled.filter("end = 'cut'"), "id", "left_anti").join(longs, keys).filter(fits).select("id", "long_id").distinct().join(first, ["id", "long_id"], "left_anti")
+    # what only says "complete" matters where nothing else was said
+    known = many.join(settled.withColumnRenamed("end", "known"), "id", "left").filter("known is null or known <> 'cut'")
+    rest = known.join(longs, keys).filter(f"(says = 'cut' or known is null) and {fits}").select("id", "long_id").distinct().join(first, ["id", "long_id"], "left_anti")
     return stored(settled.unionByName(aligned(rest)).groupBy("id").agg(F.max("end").alias("end")), "aligned")
 
 
