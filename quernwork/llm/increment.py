@@ -156,9 +156,14 @@ def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["opening", "q_text_hash", "first"]]
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """A stored table to be met: sent to the rows where it has at most MOST_BROADCAST rows, else met by a shuffle."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table of so many rows (exact up to MOST_BROADCAST) to be met: sent to the rows where these are at most MOST_BROADCAST, else met by a shuffle."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def _rows(df: DataFrame) -> int:
+    """The rows of a stored table, counted up to MOST_BROADCAST + 1."""
+    return df.limit(MOST_BROADCAST + 1).count()
 
 
 class CellIndex:
@@ -185,13 +190,18 @@ class CellIndex:
             first.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/keys/delivery={self.parts}")
         self.parts += 1
 
-    def read(self, name: str, key: str, asked: DataFrame) -> DataFrame:
-        """The rows of a table with one of the keys `asked` (stored; may repeat). The scan skips all buckets but theirs by their folders; of these only the rows asked for go on."""
-        wanted = [r.bucket for r in bounded_rows(asked.select(self._bucket(key).alias("bucket")).distinct(), self.buckets, "the buckets")]
+    def _held(self, name: str, key: str, asked: DataFrame) -> tuple[DataFrame, int]:
+        """The buckets of a table that the keys `asked` (stored; may repeat) fall into, and the number of these keys. One job gives both; the scan skips all other buckets by their folders."""
+        met = bounded_rows(asked.groupBy(self._bucket(key).alias("bucket")).count(), self.buckets, "the buckets")
         if not self.parts:
-            return self.spark.createDataFrame([], _TABLES[name])
+            return self.spark.createDataFrame([], _TABLES[name]), sum(r["count"] for r in met)
         held = self.spark.read.schema(f"{_TABLES[name]}, delivery int, bucket int").parquet(f"{self.path}/{name}")
-        return held.filter(F.col("bucket").isin(wanted) & (F.col("delivery") < self.parts)).drop("delivery", "bucket").join(_sent(asked), key, "left_semi")
+        return held.filter(F.col("bucket").isin([r["bucket"] for r in met]) & (F.col("delivery") < self.parts)).drop("delivery", "bucket"), sum(r["count"] for r in met)
+
+    def read(self, name: str, key: str, asked: DataFrame) -> DataFrame:
+        """The rows of a table with one of the keys `asked` (stored; may repeat), out of their buckets."""
+        held, rows = self._held(name, key, asked)
+        return held.join(_sent(asked, rows), key, "left_semi")
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(opening, text_hash, first): for each distinct point of a batch (of _distinct, stored) the smallest ref among its near duplicates in the index and in the batch itself.
@@ -199,29 +209,39 @@ class CellIndex:
         Cells are met by an equality join on opening and ring (and, in crowded openings, a shingle of the prefix); vectors bound the distance; only
         pairs within the bound are given their texts and reranked exactly. Equal texts need neither vectors nor texts.
         """
-        held = self.read("cells", "opening", batch.select("opening"))
-        held = held.unionByName(batch.select(held.columns))
-        cells, texts = held.drop("packed"), held.select("opening", "text_hash", "packed")
-        crowd = _sent(stored(cells.groupBy("opening").agg((F.count("*") > CROWDED).alias("crowded")).filter("crowded"), "crowded"))
+        held, rows = self._held("cells", "opening", batch.select("opening"))
+        own = batch.select(held.columns)
+        near = held.join(_sent(batch.select("opening"), rows), "opening", "left_semi").unionByName(own)
+        cells = near.drop("packed")
+        crowd = stored(cells.groupBy("opening").agg((F.count("*") > CROWDED).alias("crowded")).filter("crowded"), "crowded")
+        crowds = _rows(crowd)
+        if crowds:
+            crowd = _sent(crowd, crowds)
 
         def met(df: DataFrame) -> DataFrame:
+            if not crowds:
+                return df.withColumn("by", F.lit(0).cast("bigint")).drop("prefix")
             by = F.when(F.col("crowded"), F.col("prefix")).otherwise(F.array(F.lit(0).cast("bigint")))
             return df.join(crowd, "opening", "left").withColumn("by", F.explode(by)).drop("crowded", "prefix")
 
         r = r_of("size")
         low, high = (F.floor(F.log(F.greatest(x, F.lit(1.0))) / float(np.log(RING))).cast("int") for x in (F.col("norm") - r, F.col("norm") + r))
         asking = batch.select("opening", F.explode(F.sequence(low, high)).alias("ring"), "prefix", F.col("text_hash").alias("q_text_hash"), F.col("size").alias("q_size"), F.col("norm").alias("q_norm"), F.col("vector").alias("q_vector"))
-        near = met(asking).join(met(cells.drop("size")), ["opening", "ring", "by"])
-        near = near.filter((F.col("q_text_hash") != F.col("text_hash")) & (F.abs(F.col("q_norm") - F.col("norm")) <= r_of("q_size")))
-        near = near.select("opening", "q_text_hash", "q_size", "q_vector", "text_hash", "first", "vector")
-        bounded = stored(near.mapInPandas(_within_bound, "opening bigint, q_text_hash bigint, text_hash bigint, first bigint").distinct(), "bounded")
-        asked = _sent(bounded.select("opening", F.col("q_text_hash").alias("text_hash")))
-        wanted = _sent(bounded.select("opening", "text_hash"))
-        q_texts = batch.select("opening", "text_hash", "packed").join(asked, ["opening", "text_hash"], "left_semi").withColumnsRenamed({"text_hash": "q_text_hash", "packed": "q_packed"})
-        x_texts = texts.join(wanted, ["opening", "text_hash"], "left_semi").dropDuplicates(["opening", "text_hash"])
-        pairs = bounded.join(q_texts, ["opening", "q_text_hash"]).join(x_texts, ["opening", "text_hash"]).select("opening", "q_text_hash", "q_packed", "packed", "first")
+        meet = met(asking).join(met(cells.drop("size")), ["opening", "ring", "by"])
+        meet = meet.filter((F.col("q_text_hash") != F.col("text_hash")) & (F.abs(F.col("q_norm") - F.col("norm")) <= r_of("q_size")))
+        meet = meet.select("opening", "q_text_hash", "q_size", "q_vector", "text_hash", "first", "vector")
+        bounded = stored(meet.mapInPandas(_within_bound, "opening bigint, q_text_hash bigint, text_hash bigint, first bigint").distinct(), "bounded")
+        # few pairs and few points go to the buckets' rows themselves, many to those of the openings asked for
+        number = _rows(bounded)
+        q_texts = batch.select("opening", F.col("text_hash").alias("q_text_hash"), F.col("packed").alias("q_packed"))
+        texts = (held.unionByName(own) if number <= MOST_BROADCAST else near).select("opening", "text_hash", "packed")
+        x_texts = texts.join(_sent(bounded.select("opening", "text_hash"), number), ["opening", "text_hash"], "left_semi").dropDuplicates(["opening", "text_hash"])
+        if number > MOST_BROADCAST:
+            q_texts = q_texts.join(bounded.select("opening", "q_text_hash"), ["opening", "q_text_hash"], "left_semi")
+        pairs = q_texts.join(_sent(bounded, number), ["opening", "q_text_hash"]).join(x_texts, ["opening", "text_hash"]).select("opening", "q_text_hash", "q_packed", "packed", "first")
         exact = pairs.mapInPandas(_rerank, "opening bigint, q_text_hash bigint, first bigint")
-        same = batch.select("opening", "text_hash").join(cells.select("opening", "text_hash", "first"), ["opening", "text_hash"]).withColumnRenamed("text_hash", "q_text_hash")
+        equal = (held.unionByName(own) if rows <= MOST_BROADCAST else near).select("opening", "text_hash", "first")
+        same = equal.join(_sent(batch.select("opening", "text_hash"), rows), ["opening", "text_hash"]).withColumnRenamed("text_hash", "q_text_hash")
         return exact.unionByName(same).groupBy("opening", F.col("q_text_hash").alias("text_hash")).agg(F.min("first").alias("first"))
 
 

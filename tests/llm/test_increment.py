@@ -1,8 +1,10 @@
 import random
 import re
 
+import pytest
+
 from quernwork.llm import increment as I
-from quernwork.session import shared_dir
+from quernwork.session import shared_dir, stored
 
 PLACES = "place_id int, place_name string, province_code string, province string, alt_name string"
 POST = "ingest_seq long, source string, source_id string, title string, company string, location string, city string, description string, content_hash string, first string"
@@ -105,6 +107,29 @@ def test_batches_equal_one_pass_and_brute_force(spark, monkeypatch):
         assert found == brute
 
 
+@pytest.mark.parametrize("crowded", [64, 3])
+def test_a_probe_asks_the_driver_little(spark, monkeypatch, crowded):
+    """A probe runs five queries, each of which leaves its plan and its threads to the driver; it finds the same whether tables are sent to the rows or met by a shuffle."""
+    monkeypatch.setattr(I, "CROWDED", crowded)
+    places = spark.createDataFrame([(1, "Nordbury", "ON", "Ontario", None)], PLACES)
+    rows = [(n, "Kiln Clerk", "Foo Foods", "Nordbury", "", changed(text(n % 7, 40), n % 3)) for n in range(30)]
+    pts = I.points(spark.createDataFrame(rows, "ref long, title string, company string, location string, city string, description string"), places)
+    old, new = stored(pts.filter("ref < 15"), "old"), stored(I._distinct(pts.filter("ref >= 15")), "new")
+    queries = spark._jsparkSession.sharedState().statusStore()
+    got = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(I, "MOST_BROADCAST", most)
+        index = I.CellIndex(spark, f"{shared_dir(spark)}/cells-q{crowded}-{most}")
+        index.append(old)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = queries.executionsCount()
+        near = index.probe(new)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert queries.executionsCount() - before <= 5
+        got.append({tuple(r) for r in near.collect()})
+    assert got[0] == got[1] and len(got[0]) == new.count() and {r[2] for r in got[0]} <= set(range(15))
+
+
 def test_similar_sets_share_a_prefix():
     rnd = random.Random(5)
     for _ in range(300):
